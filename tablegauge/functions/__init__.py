@@ -11,6 +11,7 @@ from tablegauge.functions.columns import (
     holds,
     number,
     restore,
+    row_digest,
     string_columns,
     text_of,
 )
@@ -43,6 +44,7 @@ __all__ = [
     "number",
     "rate",
     "restore",
+    "row_digest",
     "string_columns",
     "text_of",
     "traffic_light",

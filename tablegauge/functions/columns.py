@@ -137,3 +137,12 @@ def text_of(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, _NESTED):
         return F.to_json(c, {"ignoreNullFields": "false"})
     return c.cast("string")
+
+
+def row_digest(df: DataFrame, names: Iterable[str] | None = None) -> Column:
+    """SHA-256 of a row, equal for rows that compare as equal: 32 bytes for any width."""
+    texts = [
+        text_of(df, n).alias(f"c{i}")
+        for i, n in enumerate(df.columns if names is None else names)
+    ]
+    return F.unhex(F.sha2(F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}), 256))

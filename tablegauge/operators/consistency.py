@@ -37,7 +37,8 @@ def first_per_key(
     order = [
         comparable_column(df, o).asc_nulls_first() if isinstance(o, str) else o for o in order_by
     ]
-    ties = [comparable_column(df, n).asc_nulls_first() for n in df.columns if n not in keys]
+    done = {*keys, *(o for o in order_by if isinstance(o, str))}
+    ties = [comparable_column(df, n).asc_nulls_first() for n in df.columns if n not in done]
     window = Window.partitionBy(*[comparable_column(df, k) for k in keys]).orderBy(
         *(order + ties or [F.lit(0)])
     )
@@ -95,6 +96,10 @@ def pair_consistency(
         *[c.alias(f"k{i}") for i, c in enumerate(comparable(parent, on))],
         *[number(parent, n).cast("double").alias(f"p{i}") for i, n in enumerate(ours)],
     )
+    if all(isinstance(o, str) for o in order_by):
+        # Only these columns decide which row is first and what it measures.
+        used = {*keys, *theirs, *order_by}
+        child = child.select(*[col(n) for n in child.columns if n in used])
     first = first_per_key(child, keys, order_by)
     right = first.select(
         *[c.alias(f"j{i}") for i, c in enumerate(comparable(first, on))],

@@ -10,28 +10,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import check_columns, is_string, quoted, text_of
 from tablegauge.functions.missing import blank_to_null_column
+from tablegauge.operators.tally import literal_rows, result_row
+
+# A digest takes 69 bytes with its mark, which no text of up to 64 bytes can equal.
+_LONG = 64
 
 
 def value_frequencies(
-    df: DataFrame, columns: Sequence[str], *, blank_is_missing: bool = True
+    df: DataFrame,
+    columns: Sequence[str],
+    *,
+    blank_is_missing: bool = True,
+    digest: bool = False,
 ) -> DataFrame:
-    """``value`` is the value as text, null for missing; ``rows`` how many rows hold it."""
+    """``value`` is the value as text, null for missing; ``rows`` how many rows hold it.
+
+    ``digest`` puts the SHA-256 of texts above 64 bytes in their place, so that long
+    texts need not be shuffled.
+    """
     columns = check_columns(df, columns)
-    cells = df.select(
-        *[
-            (
-                blank_to_null_column(df, name)
-                if blank_is_missing and is_string(df, name)
-                else text_of(df, name)
-            ).alias(name)
-            for name in columns
-        ]
-    )
+
+    def text(name: str) -> Column:
+        if blank_is_missing and is_string(df, name):
+            value = blank_to_null_column(df, name)
+        else:
+            value = text_of(df, name)
+        if digest:
+            long = F.octet_length(value) > _LONG
+            value = F.when(long, F.concat(F.lit("sha2:"), F.sha2(value, 256))).otherwise(value)
+        return value.alias(name)
+
+    cells = df.select(*[text(name) for name in columns])
     return (
         cells.unpivot([], [quoted(name) for name in columns], "column", "value")
         .groupBy("column", "value")
@@ -41,8 +55,10 @@ def value_frequencies(
 
 def distinct_counts(frequencies: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column ``total``, ``missing`` and ``distinct``; zeros when the table is empty."""
-    zeros = frequencies.sparkSession.createDataFrame(
-        [(name, None, 0) for name in columns], "column string, value string, rows long"
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    zeros = literal_rows(
+        frequencies.sparkSession,
+        [result_row(column=F.lit(name), value=none, rows=zero) for name in columns],
     )
     return (
         frequencies.unionByName(zeros)

@@ -17,13 +17,16 @@ from tablegauge.functions.columns import (
     check_key_types,
     col,
     comparable,
+    holds,
     number,
     quoted,
     restore,
+    row_digest,
 )
 from tablegauge.functions.rates import rate
 from tablegauge.operators.consistency import first_per_key
 from tablegauge.operators.profile import distinct_rows
+from tablegauge.sources.work import broadcast_if_small
 
 
 def key_presence(
@@ -108,14 +111,19 @@ def missing_children_keys(
     )
 
 
-def key_conflicts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def key_conflicts(
+    df: DataFrame, keys: Sequence[str], *, digest: bool = False
+) -> DataFrame:
     """``rows, exact_duplicates, conflicts, rows_after_cleaning``.
 
     Conflicts are distinct rows beyond the first of their key; cleaning keeps one row
     per key. Rows are shuffled once over all columns, then only keys and counts.
+    ``digest`` shuffles the key and a SHA-256 of the row instead of whole rows.
     """
     check_columns(df, keys)
     copies = "\tcopies"
+    if digest:
+        df = df.select(*comparable(df, keys), row_digest(df).alias("\tdigest"))
     per_key = (
         distinct_rows(df, copies)
         .groupBy(*[col(k) for k in keys])
@@ -143,37 +151,52 @@ def _with_keys(
     return joined.drop(*renamed.values())
 
 
-def rows_of_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _keys_with_several(rows: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
+    """Keys that more than one row has, with aggregates over these rows."""
+    return (
+        rows.groupBy(*[col(k) for k in keys])
+        .agg(F.count(F.lit(1)).alias("\tn"), *extra)
+        .filter(F.col("`\tn`") > 1)
+        .drop("\tn")
+    )
+
+
+def rows_of_repeated_keys(
+    df: DataFrame, keys: Sequence[str], *, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Distinct rows whose key occurs more than once in the raw table.
 
     Repeated keys are found from the key columns alone; rows of all other keys drop out
-    before whole rows are compared.
+    before whole rows are compared. By default that is a shuffle join, whole rows by key,
+    which adaptive execution splits where a key is hot. ``broadcast_bytes`` counts the
+    repeated keys first and, if they fit, broadcasts them: then whole rows of other keys
+    are never shuffled. Beyond the bound it is the shuffle join again.
     """
+    check_columns(df, keys)
     rows = df.select(*comparable(df))
-    repeated = (
-        rows.groupBy(*[col(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("\tn"))
-        .filter(F.col("`\tn`") > 1)
-        .drop("\tn")
-    )
+    repeated = _keys_with_several(rows, keys)
+    if broadcast_bytes is not None:
+        repeated = broadcast_if_small(repeated, broadcast_bytes)
     return _with_keys(rows, keys, repeated).distinct()
 
 
-def key_conflict_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All distinct rows whose key has more than one distinct row."""
-    check_columns(df, keys)
-    rows = rows_of_repeated_keys(df, keys)
-    conflicting = (
-        rows.groupBy(*[col(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("\tn"))
-        .filter(F.col("`\tn`") > 1)
-        .drop("\tn")
-    )
-    return restore(_with_keys(rows, keys, conflicting), df)
+def key_conflict_rows(
+    df: DataFrame, keys: Sequence[str], *, broadcast_bytes: int | None = None
+) -> DataFrame:
+    """All distinct rows whose key has more than one distinct row.
+
+    ``broadcast_bytes`` as in :func:`rows_of_repeated_keys`.
+    """
+    rows = rows_of_repeated_keys(df, keys, broadcast_bytes=broadcast_bytes)
+    return restore(_with_keys(rows, keys, _keys_with_several(rows, keys)), df)
 
 
 def key_conflict_columns(
-    df: DataFrame, keys: Sequence[str], label: str = "conflict_in"
+    df: DataFrame,
+    keys: Sequence[str],
+    label: str = "conflict_in",
+    *,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Rows of :func:`key_conflict_rows`, saying which columns differ inside the key.
 
@@ -182,54 +205,47 @@ def key_conflict_columns(
     """
     check_columns(df, keys)
     others = [n for n in df.columns if n not in keys]
-    rows = rows_of_repeated_keys(df.dropna(subset=[quoted(k) for k in keys]), keys)
+    complete = df.dropna(subset=[quoted(k) for k in keys])
+    rows = rows_of_repeated_keys(complete, keys, broadcast_bytes=broadcast_bytes)
     # A column differs when its smallest and largest present value differ: constant
     # memory per key, however many rows the key has.
-    differing = {
-        n: F.coalesce(F.min(col(n)) != F.max(col(n)), F.lit(False)) for n in others
-    }
     flags = {n: f"\tdiffers{i}" for i, n in enumerate(others)}
-    conflicting = (
-        rows.groupBy(*[col(k) for k in keys])
-        .agg(
-            F.count(F.lit(1)).alias("\tn"),
-            *[differing[n].alias(flag) for n, flag in flags.items()],
-        )
-        .filter(F.col("`\tn`") > 1)
-        .drop("\tn")
+    conflicting = _keys_with_several(
+        rows, keys, *[holds(F.min(col(n)) != F.max(col(n))).alias(f) for n, f in flags.items()]
     )
 
-    def differs(name: str) -> Column:
-        return F.col(f"`{flags[name]}`")
+    def if_differs(name: str, value: Column) -> Column:
+        return F.when(F.col(f"`{flags[name]}`"), value)
 
-    names = F.array_compact(
-        F.array(*[F.when(differs(n), F.lit(n)) for n in others])
-    ) if others else F.array().cast("array<string>")
+    names = [if_differs(n, F.lit(n)) for n in others] or [F.lit(None).cast("string")]
     joined = _with_keys(rows, keys, conflicting, "inner").select(
         *[col(k) for k in keys],
-        F.array_join(names, ", ").alias(label),
-        *[F.when(differs(n), col(n)).alias(n) for n in others],
+        F.concat_ws(", ", *names).alias(label),
+        *[if_differs(n, col(n)).alias(n) for n in others],
     )
     return restore(joined, df)
 
 
 def repeated_rows(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str | Column] = (),
+    *,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Second and later distinct rows of each key, in the order of ``order_by``.
 
-    The first rows are added to all rows with a mark, and whole rows are grouped; those
-    without a mark remain. No task ever holds all rows of a key.
+    Each row is compared with the first of its key. The join splits a hot key over
+    several tasks, so no task holds or sorts all rows of a key.
     """
-    check_columns(df, keys)
-    rows = rows_of_repeated_keys(df, keys)
-    mark = "\tfirst"
-    first = first_per_key(rows, keys, order_by)
-    marked = rows.withColumn(mark, F.lit(False)).unionByName(first.withColumn(mark, F.lit(True)))
-    rest = (
-        marked.groupBy(*[col(n) for n in rows.columns])
-        .agg(F.bool_or(f"`{mark}`").alias(mark))
-        .filter(~F.col(f"`{mark}`"))
-        .drop(mark)
+    rows = rows_of_repeated_keys(df, keys, broadcast_bytes=broadcast_bytes)
+    others = [n for n in df.columns if n not in keys]
+    marks = {n: f"\tfirst{i}" for i, n in enumerate(others)}
+    first = first_per_key(rows, keys, order_by).withColumnsRenamed(marks)
+    is_first = reduce(
+        lambda a, b: a & b,
+        [col(n).eqNullSafe(F.col(f"`{m}`")) for n, m in marks.items()],
+        F.lit(True),
     )
+    rest = _with_keys(rows, keys, first, "inner").filter(~is_first).drop(*marks.values())
     return restore(rest, df)

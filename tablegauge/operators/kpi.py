@@ -41,13 +41,14 @@ def completeness(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return measure(df, completeness_tally(df, fields))
 
 
-def uniqueness(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+def uniqueness(df: DataFrame, fields: Sequence[str], *, digest: bool = False) -> DataFrame:
     """Per field: total, missing, distinct, duplicates, and distinct / total.
 
-    Duplicates are present values beyond the first of their kind.
+    Duplicates are present values beyond the first of their kind. ``digest`` compares
+    long texts by their SHA-256.
     """
     fields = check_columns(df, fields)
-    return distinct_counts(value_frequencies(df, fields), fields).select(
+    return distinct_counts(value_frequencies(df, fields, digest=digest), fields).select(
         F.col("column").alias("field"),
         "total",
         "missing",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import check_columns, col, comparable, quoted, string_columns
 from tablegauge.operators.frequencies import distinct_counts, value_frequencies
-from tablegauge.operators.tally import Tally, Totals, measure, result_row
+from tablegauge.operators.tally import Tally, Totals, literal_rows, measure, result_row
 
 
 def _contains_any(text: Column, delimiters: Sequence[str]) -> Column:
@@ -80,6 +80,8 @@ def _distinct_combinations(
     Grouping sets count each combination's groups side by side; nulls are values.
     """
     used = sorted({n for columns in key_sets.values() for n in columns}, key=df.columns.index)
+    if len(used) > 63:
+        raise ValueError(f"at most 63 columns can be combined, not {len(used)}")
     # Bit i of the grouping id, from the left, is 1 when column i is not in the set.
     ids = {
         name: sum(1 << (len(used) - 1 - i) for i, n in enumerate(used) if n not in columns)
@@ -92,11 +94,13 @@ def _distinct_combinations(
         [[F.col(positions[n]) for n in columns] for columns in distinct_sets.values()],
         *[F.col(c) for c in positions.values()],
     ).agg(F.grouping_id().alias("id"), F.count(F.lit(1)).alias("rows"))
-    zeros = df.sparkSession.createDataFrame([(i,) for i in distinct_sets], "id long").select(
-        "id", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("groups")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    zeros = literal_rows(
+        df.sparkSession,
+        [result_row(id=F.lit(i).cast("long"), rows=zero, groups=zero) for i in distinct_sets],
     )
     counted = (
-        groups.select("id", "rows", F.lit(1).cast("long").alias("groups"))
+        groups.select("id", "rows", one.alias("groups"))
         .unionByName(zeros)
         .groupBy("id")
         .agg(F.sum("rows").alias("rows"), F.sum("groups").alias("distinct"))

@@ -8,7 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import check_columns, comparable, is_string, type_of
+from tablegauge.functions.columns import (
+    check_columns,
+    comparable,
+    is_string,
+    row_digest,
+    type_of,
+)
 from tablegauge.functions.missing import blank_in, blank_to_null_column, is_missing, null_in
 from tablegauge.functions.rates import rate
 from tablegauge.operators.frequencies import distinct_counts, value_frequencies
@@ -35,33 +41,44 @@ def _cells(df: DataFrame, predicate) -> Column:
     )
 
 
-def _shape(df: DataFrame) -> DataFrame:
+def _shape(df: DataFrame, digest: bool) -> DataFrame:
     """One row of table-wide counts, from one scan and one shuffle.
 
-    Cells are counted on the distinct rows, weighted with their copies.
+    Cells are counted per row, once for each group of equal rows.
     """
-    copies = "\tcopies"
-    rows = distinct_rows(df, copies)
-    n = F.col(f"`{copies}`")
-    # Maps are entry arrays by now; their cells are null or not just the same.
+    marked = df.select(
+        *(
+            [row_digest(df).alias("\tdigest")]
+            if digest
+            else [c.alias(f"\tc{i}") for i, c in enumerate(comparable(df))]
+        ),
+        _cells(df, null_in).alias("\tnulls"),
+        _cells(df, blank_in).alias("\tblanks"),
+    )
+    # Equal rows have equal counts, so these can be grouping columns as well.
+    rows = marked.groupBy(*[F.col(f"`{n}`") for n in marked.columns]).agg(
+        F.count(F.lit(1)).alias("\tcopies")
+    )
+    n = F.col("`\tcopies`")
     return rows.agg(
         _sum(n).alias("rows"),
         F.lit(len(df.columns)).cast("long").alias("columns"),
-        _sum(n * _cells(df, null_in)).alias("null_cells"),
-        _sum(n * _cells(df, blank_in)).alias("blank_cells"),
+        _sum(n * F.col("`\tnulls`")).alias("null_cells"),
+        _sum(n * F.col("`\tblanks`")).alias("blank_cells"),
         _sum(n - 1).alias("duplicate_rows"),
     )
 
 
-def table_overview(df: DataFrame) -> DataFrame:
+def table_overview(df: DataFrame, *, digest: bool = False) -> DataFrame:
     """``metric, value, percent`` for rows, columns, null cells, blank cells, duplicate rows.
 
     Cell percentages are over rows x columns, duplicates over rows. Percentages are
     numbers from 0 to 100, null where they have no meaning or the table is empty.
+    ``digest`` as in :func:`duplicate_row_count`.
     """
     cells = F.col("rows") * F.col("columns")
     none = F.lit(None).cast("double")
-    return _shape(df).select(
+    return _shape(df, digest).select(
         F.inline(
             F.array(
                 *[
@@ -79,10 +96,13 @@ def table_overview(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_share(df: DataFrame) -> DataFrame:
-    """``rows, columns, missing, missing_percent, duplicate_rows`` of the whole table."""
+def missing_share(df: DataFrame, *, digest: bool = False) -> DataFrame:
+    """``rows, columns, missing, missing_percent, duplicate_rows`` of the whole table.
+
+    ``digest`` as in :func:`duplicate_row_count`.
+    """
     missing = F.col("null_cells") + F.col("blank_cells")
-    return _shape(df).select(
+    return _shape(df, digest).select(
         "rows",
         "columns",
         missing.alias("missing"),
@@ -91,8 +111,14 @@ def missing_share(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """``rows, distinct_rows, duplicate_rows``; nulls equal nulls."""
+def duplicate_row_count(df: DataFrame, *, digest: bool = False) -> DataFrame:
+    """``rows, distinct_rows, duplicate_rows``; nulls equal nulls.
+
+    Whole rows are compared, and shuffled for it. ``digest`` compares a SHA-256 of each
+    row instead: 32 bytes per row in the shuffle, however wide the table is.
+    """
+    if digest:
+        df = df.select(row_digest(df).alias("\tdigest"))
     return distinct_rows(df, "\tcopies").agg(
         _sum(F.col("`\tcopies`")).alias("rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -105,16 +131,18 @@ def column_profile(
     columns: Sequence[str] | None = None,
     *,
     approximate: float | None = None,
+    digest: bool = False,
 ) -> DataFrame:
     """Per column: type, missing cells, distinct present values, and their percentages.
 
     Percentages are over all rows. Distinct counts are exact; ``approximate`` takes a
-    maximum relative error instead and then needs no shuffle of values.
+    maximum relative error instead and then needs no shuffle of values. ``digest``
+    compares long texts by their SHA-256.
     """
     names = check_columns(df, df.columns if columns is None else columns)
     types = {n: type_of(df, n).simpleString() for n in names}
     if approximate is None:
-        counted = distinct_counts(value_frequencies(df, names), names)
+        counted = distinct_counts(value_frequencies(df, names, digest=digest), names)
     else:
         counted = _approximate_counts(df, names, approximate)
     kind = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
@@ -146,16 +174,21 @@ def _approximate_counts(df: DataFrame, names: Sequence[str], error: float) -> Da
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+def profile_tables(tables: Mapping[str, DataFrame], *, digest: bool = False) -> DataFrame:
     """:func:`table_overview` of every table, with a ``table`` column in front."""
-    return _for_each(tables, table_overview)
+    return _for_each(tables, lambda df: table_overview(df, digest=digest))
 
 
 def profile_columns(
-    tables: Mapping[str, DataFrame], *, approximate: float | None = None
+    tables: Mapping[str, DataFrame],
+    *,
+    approximate: float | None = None,
+    digest: bool = False,
 ) -> DataFrame:
     """:func:`column_profile` of every table, with a ``table`` column in front."""
-    return _for_each(tables, lambda df: column_profile(df, approximate=approximate))
+    return _for_each(
+        tables, lambda df: column_profile(df, approximate=approximate, digest=digest)
+    )
 
 
 def _for_each(tables: Mapping[str, DataFrame], check) -> DataFrame:

@@ -17,12 +17,13 @@ from tablegauge.sources.tables import (
     preview,
     tables_in,
 )
-from tablegauge.sources.work import settle, use_checkpoint_folder
+from tablegauge.sources.work import broadcast_if_small, settle, use_checkpoint_folder
 
 __all__ = [
     "GROUPS",
     "RESULT_LABELS",
     "append_metrics",
+    "broadcast_if_small",
     "check_table_names",
     "datasets_in",
     "load_tables",
