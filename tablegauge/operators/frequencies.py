@@ -1,4 +1,4 @@
-"""Value frequencies of several columns in one pass: rows ``(column, value, rows)``.
+"""How often each value of a column occurs, and how many values there are.
 
 Counting distinct values of many columns side by side makes Spark carry every column
 through the shuffle once per column. Here each cell becomes a narrow ``(column, value)``
@@ -9,11 +9,21 @@ table is a single row per task by then.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablegauge.functions.columns import check_columns, is_string, quoted, text_of
+from tablegauge.functions.columns import (
+    check_columns,
+    is_float,
+    is_string,
+    number,
+    quoted,
+    text_of,
+    type_of,
+)
 from tablegauge.functions.missing import blank_to_null_column
 from tablegauge.operators.tally import literal_rows, result_row
 
@@ -21,51 +31,83 @@ from tablegauge.operators.tally import literal_rows, result_row
 _LONG = 64
 
 
-def value_frequencies(
+def _frequencies(cells: DataFrame) -> DataFrame:
+    """``column, value, rows`` of a frame whose columns all have one type."""
+    return (
+        cells.unpivot([], [quoted(name) for name in cells.columns], "column", "value")
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
+def _text(df: DataFrame, name: str, blank_is_missing: bool) -> Column:
+    if blank_is_missing and is_string(df, name):
+        return blank_to_null_column(df, name)
+    return text_of(df, name)
+
+
+def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, rows``: values as text, null for missing."""
+    columns = check_columns(df, columns)
+    return _frequencies(df.select(*[_text(df, n, True).alias(n) for n in columns]))
+
+
+def _native(df: DataFrame, name: str, blank_is_missing: bool, digest: bool) -> Column:
+    """A column in one of few types, with equal values staying equal and no others."""
+    kind, value = type_of(df, name), number(df, name)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return value.cast("bigint")
+    if is_float(df, name):
+        return value.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, (T.DecimalType, T.TimestampNTZType)):
+        return value
+    value = _text(df, name, blank_is_missing)
+    if digest:
+        shortened = F.concat(F.lit("sha2:"), F.sha2(value, 256))
+        value = F.when(F.octet_length(value) > _LONG, shortened).otherwise(value)
+    return value
+
+
+def distinct_counts(
     df: DataFrame,
     columns: Sequence[str],
     *,
     blank_is_missing: bool = True,
     digest: bool = False,
 ) -> DataFrame:
-    """``value`` is the value as text, null for missing; ``rows`` how many rows hold it.
+    """Per column ``total``, ``missing`` and ``distinct``; zeros when the table is empty.
 
-    ``digest`` puts the SHA-256 of texts above 64 bytes in their place, so that long
-    texts need not be shuffled.
+    Columns of one type are counted together in their own type, each group of them in a
+    scan that reads these columns only. ``digest`` counts texts above 64 bytes by their
+    SHA-256, so that long texts need not be shuffled.
     """
     columns = check_columns(df, columns)
+    cells = df.select(*[_native(df, n, blank_is_missing, digest).alias(n) for n in columns])
+    groups: dict[str, list[str]] = {}
+    for field in cells.schema:
+        groups.setdefault(field.dataType.simpleString(), []).append(field.name)
 
-    def text(name: str) -> Column:
-        if blank_is_missing and is_string(df, name):
-            value = blank_to_null_column(df, name)
-        else:
-            value = text_of(df, name)
-        if digest:
-            long = F.octet_length(value) > _LONG
-            value = F.when(long, F.concat(F.lit("sha2:"), F.sha2(value, 256))).otherwise(value)
-        return value.alias(name)
-
-    cells = df.select(*[text(name) for name in columns])
-    return (
-        cells.unpivot([], [quoted(name) for name in columns], "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-
-
-def distinct_counts(frequencies: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column ``total``, ``missing`` and ``distinct``; zeros when the table is empty."""
-    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    zeros = literal_rows(
-        frequencies.sparkSession,
-        [result_row(column=F.lit(name), value=none, rows=zero) for name in columns],
-    )
+    zero = F.lit(0).cast("long")
+    parts = [
+        literal_rows(
+            df.sparkSession,
+            [result_row(column=F.lit(n), present=zero, rows=zero) for n in columns],
+        )
+    ]
+    for names in groups.values():
+        found = _frequencies(cells.select(*[quoted(n) for n in names]))
+        present = F.col("value").isNotNull().cast("long").alias("present")
+        parts.append(found.select("column", present, "rows"))
     return (
-        frequencies.unionByName(zeros)
+        reduce(DataFrame.unionByName, parts)
         .groupBy("column")
         .agg(
             F.sum("rows").alias("total"),
-            F.sum(F.when(F.col("value").isNull(), F.col("rows")).otherwise(0)).alias("missing"),
-            F.count("value").alias("distinct"),
+            F.sum(F.when(F.col("present") == 0, F.col("rows")).otherwise(0)).alias("missing"),
+            F.sum("present").alias("distinct"),
         )
     )

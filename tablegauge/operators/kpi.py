@@ -48,7 +48,7 @@ def uniqueness(df: DataFrame, fields: Sequence[str], *, digest: bool = False) ->
     long texts by their SHA-256.
     """
     fields = check_columns(df, fields)
-    return distinct_counts(value_frequencies(df, fields, digest=digest), fields).select(
+    return distinct_counts(df, fields, digest=digest).select(
         F.col("column").alias("field"),
         "total",
         "missing",

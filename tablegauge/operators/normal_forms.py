@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import check_columns, col, comparable, quoted, string_columns
-from tablegauge.operators.frequencies import distinct_counts, value_frequencies
+from tablegauge.operators.frequencies import distinct_counts
 from tablegauge.operators.tally import Tally, Totals, literal_rows, measure, result_row
 
 
@@ -181,7 +181,6 @@ def decomposition_summary(
 
 def entity_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, rows, entities``: distinct non-null values next to the row count."""
-    frequencies = value_frequencies(df, columns, blank_is_missing=False)
-    return distinct_counts(frequencies, columns).select(
+    return distinct_counts(df, columns, blank_is_missing=False).select(
         "column", F.col("total").alias("rows"), F.col("distinct").alias("entities")
     )

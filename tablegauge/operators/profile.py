@@ -17,7 +17,7 @@ from tablegauge.functions.columns import (
 )
 from tablegauge.functions.missing import blank_in, blank_to_null_column, is_missing, null_in
 from tablegauge.functions.rates import rate
-from tablegauge.operators.frequencies import distinct_counts, value_frequencies
+from tablegauge.operators.frequencies import distinct_counts
 from tablegauge.operators.tally import result_row
 
 
@@ -142,7 +142,7 @@ def column_profile(
     names = check_columns(df, df.columns if columns is None else columns)
     types = {n: type_of(df, n).simpleString() for n in names}
     if approximate is None:
-        counted = distinct_counts(value_frequencies(df, names, digest=digest), names)
+        counted = distinct_counts(df, names, digest=digest)
     else:
         counted = _approximate_counts(df, names, approximate)
     kind = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
