@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog.views import TABLES, Inputs
+from catalog.views import Inputs
 from tablegauge import operators as op
 from tablegauge import plans, sources
 
@@ -131,8 +131,13 @@ def _references(t: Inputs) -> DataFrame:
 
 
 def _null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {name: f"{name}.parquet" for name in TABLES}
-    tables = sources.load_tables(spark, names, folder=sf_dir, null_tokens=NULL_TOKENS)
+    tables = sources.load_tables(
+        spark,
+        {"customer": "customer.parquet"},
+        folder=sf_dir,
+        check_names=False,
+        null_tokens=NULL_TOKENS,
+    )
     return tables["customer"]
 
 

@@ -141,8 +141,10 @@ def text_of(df: DataFrame, name: str) -> Column:
 
 def row_digest(df: DataFrame, names: Iterable[str] | None = None) -> Column:
     """SHA-256 of a row, equal for rows that compare as equal: 32 bytes for any width."""
-    texts = [
-        text_of(df, n).alias(f"c{i}")
-        for i, n in enumerate(df.columns if names is None else names)
-    ]
-    return F.unhex(F.sha2(F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}), 256))
+    cells = []
+    for name in df.columns if names is None else names:
+        text = text_of(df, name)
+        # The length in front keeps cells apart; a null has none.
+        cell = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+        cells.append(F.coalesce(cell, F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*cells), 256))

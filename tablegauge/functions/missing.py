@@ -38,12 +38,14 @@ DEFAULT_NULL_TOKENS = (
 
 
 def is_blank(text: Column) -> Column:
-    """True for ``''`` and whitespace-only text; null for null.
+    """True for ``''`` and whitespace-only text; null or false for null.
 
     Left trimming stops at the first other character and does not decode or copy the
-    value, so long texts cost no more than short ones.
+    value, so long texts cost no more than short ones. Text that starts with a printable
+    ASCII character, nearly all of it, is told apart by two comparisons alone.
     """
-    return F.ltrim(text, F.lit(WHITESPACE)) == ""
+    may_be_blank = (text < F.lit("!")) | (text >= F.lit("\u0080"))
+    return may_be_blank & (F.ltrim(text, F.lit(WHITESPACE)) == "")
 
 
 def blank_in(df: DataFrame, name: str) -> Column:

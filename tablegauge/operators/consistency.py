@@ -92,9 +92,14 @@ def pair_consistency(
     theirs = check_numeric(child, [c for _, c in pairs], "child table")
     check_key_types(parent, on, child, on)
 
-    left = parent.select(
-        *[c.alias(f"k{i}") for i, c in enumerate(comparable(parent, on))],
-        *[number(parent, n).cast("double").alias(f"p{i}") for i, n in enumerate(ours)],
+    # Equal parent rows are counted before they are shuffled for the join.
+    left = (
+        parent.select(
+            *[c.alias(f"k{i}") for i, c in enumerate(comparable(parent, on))],
+            *[number(parent, n).cast("double").alias(f"p{i}") for i, n in enumerate(ours)],
+        )
+        .groupBy(*[f"k{i}" for i in range(len(on))], *[f"p{i}" for i in range(len(ours))])
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     if all(isinstance(o, str) for o in order_by):
         # Only these columns decide which row is first and what it measures.
@@ -114,11 +119,14 @@ def pair_consistency(
     if zero_baseline == "row_consistent":
         deviates = deviates & ~any_of(F.col(f"p{i}") == 0 for i in measures)
 
+    def pairs_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
     counted = left.join(right, same_key, "inner").agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.count_if(excluded).alias("excluded"),
-        F.count_if(~excluded & ~deviates).alias("consistent"),
-        F.count_if(~excluded & deviates).alias("inconsistent"),
+        pairs_where(F.lit(True)).alias("pairs"),
+        pairs_where(excluded).alias("excluded"),
+        pairs_where(~excluded & ~deviates).alias("consistent"),
+        pairs_where(~excluded & deviates).alias("inconsistent"),
     )
     total, out, good, bad = map(F.col, ("pairs", "excluded", "consistent", "inconsistent"))
     compared = total - out

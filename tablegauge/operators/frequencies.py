@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
     check_columns,
+    col,
     is_float,
     is_string,
     number,
-    quoted,
     text_of,
     type_of,
 )
@@ -32,14 +32,22 @@ _LONG = 64
 
 
 def _frequencies(cells: DataFrame) -> DataFrame:
-    """``column, value, rows`` of a frame whose columns all have one type."""
+    """``position, value, rows`` of a frame whose columns all have one type.
+
+    A column's position is a cheaper grouping key than its name.
+    """
+    values = F.array(*[col(name) for name in cells.columns])
     return (
-        cells.unpivot([], [quoted(name) for name in cells.columns], "column", "value")
-        .groupBy("column", "value")
+        cells.select(F.posexplode(values).alias("position", "value"))
+        .groupBy("position", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
 
+def _name_at(names: Sequence[str], position: Column) -> Column:
+    return F.array(*[F.lit(name) for name in names])[position]
+
+
 def _text(df: DataFrame, name: str, blank_is_missing: bool) -> Column:
     if blank_is_missing and is_string(df, name):
         return blank_to_null_column(df, name)
@@ -49,7 +57,8 @@ def _text(df: DataFrame, name: str, blank_is_missing: bool) -> Column:
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, rows``: values as text, null for missing."""
     columns = check_columns(df, columns)
-    return _frequencies(df.select(*[_text(df, n, True).alias(n) for n in columns]))
+    found = _frequencies(df.select(*[_text(df, n, True).alias(n) for n in columns]))
+    return found.select(_name_at(columns, F.col("position")).alias("column"), "value", "rows")
 
 
 def _native(df: DataFrame, name: str, blank_is_missing: bool, digest: bool) -> Column:
@@ -95,19 +104,26 @@ def distinct_counts(
     parts = [
         literal_rows(
             df.sparkSession,
-            [result_row(column=F.lit(n), present=zero, rows=zero) for n in columns],
+            [
+                result_row(position=F.lit(i), present=zero, rows=zero)
+                for i, _ in enumerate(cells.columns)
+            ],
         )
     ]
-    for names in groups.values():
-        found = _frequencies(cells.select(*[quoted(n) for n in names]))
+    names: list[str] = []
+    for group in groups.values():
+        found = _frequencies(cells.select(*[col(n) for n in group]))
         present = F.col("value").isNotNull().cast("long").alias("present")
-        parts.append(found.select("column", present, "rows"))
+        position = (F.col("position") + len(names)).alias("position")
+        parts.append(found.select(position, present, "rows"))
+        names += group
     return (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("column")
+        .groupBy("position")
         .agg(
             F.sum("rows").alias("total"),
             F.sum(F.when(F.col("present") == 0, F.col("rows")).otherwise(0)).alias("missing"),
             F.sum("present").alias("distinct"),
         )
+        .select(_name_at(names, F.col("position")).alias("column"), "total", "missing", "distinct")
     )

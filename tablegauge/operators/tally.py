@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.functions.columns import col
+
 Totals = Callable[[str], Column]
 
 
@@ -42,7 +44,7 @@ def result_rows(name: str, tally: Tally) -> Column:
     """Array of result rows of one tally, over a frame made by :func:`totals`."""
 
     def total(counter: str) -> Column:
-        return F.col("rows") if counter == "rows" else F.col(f"`{name}\t{counter}`")
+        return F.col("rows") if counter == "rows" else col(f"{name}\t{counter}")
 
     return F.array(*tally.rows(total))
 
