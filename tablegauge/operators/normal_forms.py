@@ -8,7 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import check_columns, col, comparable, quoted, string_columns
+from tablegauge.functions.columns import (
+    check_columns,
+    col,
+    comparable,
+    quoted,
+    row_digest,
+    string_columns,
+)
 from tablegauge.operators.frequencies import distinct_counts
 from tablegauge.operators.tally import Tally, Totals, literal_rows, measure, result_row
 
@@ -119,14 +126,27 @@ def _distinct_combinations(
 
 
 def candidate_key_scan(
-    df: DataFrame, key_sets: Sequence[Sequence[str]], *, dedupe: bool = True
+    df: DataFrame,
+    key_sets: Sequence[Sequence[str]],
+    *,
+    dedupe: bool = True,
+    digest: bool = False,
 ) -> DataFrame:
     """``key_columns, rows, distinct_keys, duplicates`` for each column combination.
 
-    ``duplicates`` is 0 exactly for a key. ``dedupe`` drops exact copies first.
+    ``duplicates`` is 0 exactly for a key. ``dedupe`` drops exact copies first; with
+    ``digest`` it compares a SHA-256 of each row, so that the shuffle carries this and
+    the key columns only.
     """
     sets = {", ".join(check_columns(df, columns)): columns for columns in key_sets}
-    rows = df.select(*comparable(df)).distinct() if dedupe else df
+    if not sets:
+        raise ValueError("no key sets given")
+    rows = df
+    if dedupe and digest:
+        used = [n for n in df.columns if any(n in columns for columns in sets.values())]
+        rows = df.select(*comparable(df, used), row_digest(df).alias("\tdigest")).distinct()
+    elif dedupe:
+        rows = df.select(*comparable(df)).distinct()
     return _distinct_combinations(rows, sets).select(
         F.col("name").alias("key_columns"),
         "rows",

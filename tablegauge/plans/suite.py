@@ -24,23 +24,6 @@ from tablegauge.plans import report
 from tablegauge.plans.rules import allowed_values
 from tablegauge.sources.work import settle as keep
 
-CHECKS = (
-    "overview",
-    "completeness",
-    "uniqueness",
-    "pair_consistency",
-    "unit_consistency",
-    "vocabulary_validity",
-    "plausible_range",
-    "identifier_format",
-    "price_validity",
-    "referential_integrity",
-    "key_conflicts",
-    "missing_children",
-    "atomicity",
-)
-
-
 @dataclass(frozen=True)
 class _Counted:
     check: str
@@ -60,7 +43,8 @@ def run_suite(
 
     Values of ``rules`` are the parameters of the check; ``False`` or ``None`` switches
     it off. Vocabularies may be dotted paths into ``rules``. ``details`` adds the
-    offending rows of each check. ``settle`` materialises the row counts; ``None`` keeps
+    offending rows of each check. ``"digest": True`` in the rules compares rows and long
+    texts by digest where a check offers that. ``settle`` materialises the row counts; ``None`` keeps
     everything lazy, and each result then reads its table again.
     """
     rules = {name: block for name, block in rules.items() if block not in (None, False)}
@@ -156,15 +140,18 @@ def _table_names(tables: Mapping[str, DataFrame], block: Any) -> Sequence[str]:
 
 def _key_level(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dict[str, DataFrame]:
     results: dict[str, DataFrame] = {}
+    digest = bool(rules.get("digest"))
     if "overview" in rules:
         chosen = {name: tables[name] for name in _table_names(tables, rules["overview"])}
-        results["table_overview"] = profile.profile_tables(chosen)
-        results["column_profile"] = profile.profile_columns(chosen)
+        results["table_overview"] = profile.profile_tables(chosen, digest=digest)
+        results["column_profile"] = profile.profile_columns(chosen, digest=digest)
     if "uniqueness" in rules:
         results["uniqueness"] = reduce(
             DataFrame.unionByName,
             [
-                kpi.uniqueness(tables[table], fields).select(F.lit(table).alias("table"), "*")
+                kpi.uniqueness(tables[table], fields, digest=digest).select(
+                    F.lit(table).alias("table"), "*"
+                )
                 for table, fields in rules["uniqueness"].items()
             ],
         )
@@ -189,7 +176,9 @@ def _key_level(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dic
         )
     if "key_conflicts" in rules:
         block = rules["key_conflicts"]
-        results["key_conflicts"] = key_checks.key_conflicts(tables[block["table"]], block["keys"])
+        results["key_conflicts"] = key_checks.key_conflicts(
+            tables[block["table"]], block["keys"], digest=digest
+        )
     if "missing_children" in rules:
         results["missing_children"] = key_checks.missing_children(
             *_parent_and_child(tables, rules["missing_children"])
@@ -232,8 +221,11 @@ def _details(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dict[
     if "key_conflicts" in rules:
         block = rules["key_conflicts"]
         table = tables[block["table"]]
-        results["key_conflict_rows"] = key_checks.key_conflict_rows(table, block["keys"])
-        results["key_conflict_columns"] = key_checks.key_conflict_columns(table, block["keys"])
+        bound = {"broadcast_bytes": block.get("broadcast_bytes")}
+        results["key_conflict_rows"] = key_checks.key_conflict_rows(table, block["keys"], **bound)
+        results["key_conflict_columns"] = key_checks.key_conflict_columns(
+            table, block["keys"], **bound
+        )
     if "missing_children" in rules:
         results["missing_children_keys"] = key_checks.missing_children_keys(
             *_parent_and_child(tables, rules["missing_children"])

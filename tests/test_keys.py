@@ -126,6 +126,9 @@ def test_candidate_keys(spark, rows):
         ("n r", 4, 3, 1),
         ("n r, b", 4, 4, 0),
     ]
+    assert rows(op.candidate_key_scan(df, sets, digest=True)) == rows(
+        op.candidate_key_scan(df, sets)
+    )
     assert ("n r", 5, 3, 2) in rows(op.candidate_key_scan(df, sets, dedupe=False))
     assert rows(op.candidate_key_scan(df.limit(0), [["c"]])) == [("c", 0, 0, 0)]
 

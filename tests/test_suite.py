@@ -203,6 +203,9 @@ def test_suite_equals_single_checks(spark, rows):
     results = plans.run_suite(_tables(t), SUITE_RULES)
     single = op.completeness(t.v_articles, SUITE_RULES["completeness"]["articles"])
     assert rows(results["completeness"].filter("table = 'articles'").drop("table")) == rows(single)
+    by_digest = plans.run_suite(_tables(t), SUITE_RULES | {"digest": True})
+    for check in ("uniqueness", "key_conflicts"):
+        assert rows(by_digest[check]) == rows(results[check])
     lazy = plans.run_suite(_tables(t), SUITE_RULES, settle=None)
     for check in ("completeness", "price_validity", "identifier_format"):
         assert rows(lazy[check]) == rows(results[check])
