@@ -149,7 +149,7 @@ def _on(query: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], D
     return lambda spark, sf_dir: query(Inputs(spark, sf_dir))
 
 
-_QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
+QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
     # missing values
     "blank_counts": lambda t: op.blank_count(t.v_articles),
     "missing_counts": lambda t: op.missing_count(t.v_articles),
@@ -275,4 +275,4 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on(query) for name, query in _QUERIES.items()} | {"null_tokens": _null_tokens}
+    return {name: _on(query) for name, query in QUERIES_BY_NAME.items()} | {"null_tokens": _null_tokens}

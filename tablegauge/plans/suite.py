@@ -241,7 +241,8 @@ def _details(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dict[
 def report_panels(results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The datasets behind a dashboard, from the results of :func:`run_suite`.
 
-    Panels whose checks did not run are left out.
+    Panels whose checks did not run are left out. Pass results read back after writing
+    them, so that the checks behind them are not computed once more per panel.
     """
     has = results.keys().__contains__
     panels: dict[str, DataFrame] = {}

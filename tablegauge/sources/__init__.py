@@ -6,6 +6,7 @@ from tablegauge.sources.results import (
     append_metrics,
     long_metrics,
     metrics_of,
+    read_results,
     result_path,
     with_result_labels,
     write_results,
@@ -30,6 +31,7 @@ __all__ = [
     "long_metrics",
     "metrics_of",
     "preview",
+    "read_results",
     "result_path",
     "settle",
     "tables_in",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,6 +173,16 @@ def write_results(
     return paths
 
 
+def read_results(
+    spark: SparkSession, paths: Mapping[str, str], *, format: str = "parquet"
+) -> dict[str, DataFrame]:
+    """Results read back from the paths :func:`write_results` returned.
+
+    Dashboard datasets made from these do not compute the checks again.
+    """
+    return {check: spark.read.format(format).load(path) for check, path in paths.items()}
+
+
 _FIELD_NAMES = ("field", "column", "columns", "metric", "segment", "kpi")
 _METRIC_TYPES = (T.NumericType, T.BooleanType)
 

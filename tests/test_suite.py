@@ -247,7 +247,13 @@ def test_results_are_written_and_read_back(spark, articles, rows, tmp_path):
     paths = sources.write_results(results, str(tmp_path / "out"))
     assert paths["completeness"].endswith("/out/kpis/completeness")
     assert paths["table_overview"].endswith("/out/datenueberblick/table_overview")
-    assert rows(spark.read.parquet(paths["completeness"])) == rows(results["completeness"])
+    back = sources.read_results(spark, paths)
+    assert rows(back["completeness"]) == rows(results["completeness"])
+    panels = plans.report_panels(back)
+    assert rows(panels["row_count_notice"]) == [(True, 5, 3, 1, 1)]
+    assert sources.write_results(panels, str(tmp_path / "out"))["scorecard"].endswith(
+        "/out/dashboard/scorecard"
+    )
 
     few = {k: results[k] for k in ("completeness", "key_conflicts")}
     paths = sources.write_results(few, str(tmp_path / "csv"), format="csv", labels=True)
