@@ -275,4 +275,5 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on(query) for name, query in QUERIES_BY_NAME.items()} | {"null_tokens": _null_tokens}
+    found = {name: _on(query) for name, query in QUERIES_BY_NAME.items()}
+    return found | {"null_tokens": _null_tokens}

@@ -26,8 +26,8 @@ def article_rules(
 ) -> dict[str, Any]:
     """Suite rules from a parsed rule file for article master data, in its German keys.
 
-    The German keys below are fixed values: they are the format of that file. ``config`` holds the on/off flags: ``normalization.check_1nf`` and those under
-    ``extra_checks``. Checks whose flag is absent or false are left out; without a
+    The German keys below are fixed values: they are the format of that file. ``config``
+    holds the on/off flags: ``normalization.check_1nf`` and those under ``extra_checks``. Checks whose flag is absent or false are left out; without a
     ``config``, every check the rules name is kept.
     """
 

@@ -1,13 +1,13 @@
 """Running many checks over a set of tables, reading each table as few times as possible.
 
-All checks that only count rows are one aggregate per table; the aggregates of all
-tables are one job, and their result, a row per table, is kept in the checkpoint folder
+Checks that only count rows share the passes over a table; the passes over all tables
+are one job, and their result, a row per table, is kept in the checkpoint folder
 for the checks to lay out. Checks on keys and distinct values stay lazy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -134,17 +134,26 @@ def _row_level(tables, rules, settle) -> dict[str, DataFrame]:
     return {check: reduce(DataFrame.unionByName, rows) for check, rows in parts.items()}
 
 
-def _table_names(tables: Mapping[str, DataFrame], block: Any) -> Sequence[str]:
-    return list(tables) if block is True else list(block)
+def _overview(
+    tables: Mapping[str, DataFrame], block: Any, digest: bool
+) -> dict[str, DataFrame]:
+    """``block`` is True, a list of tables, or a mapping with ``tables`` and ``approximate``."""
+    options = block if isinstance(block, Mapping) else {"tables": block}
+    names = options.get("tables", True)
+    chosen = {name: tables[name] for name in (tables if names is True else names)}
+    return {
+        "table_overview": profile.profile_tables(chosen, digest=digest),
+        "column_profile": profile.profile_columns(
+            chosen, approximate=options.get("approximate"), digest=digest
+        ),
+    }
 
 
 def _key_level(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dict[str, DataFrame]:
     results: dict[str, DataFrame] = {}
     digest = bool(rules.get("digest"))
     if "overview" in rules:
-        chosen = {name: tables[name] for name in _table_names(tables, rules["overview"])}
-        results["table_overview"] = profile.profile_tables(chosen, digest=digest)
-        results["column_profile"] = profile.profile_columns(chosen, digest=digest)
+        results |= _overview(tables, rules["overview"], digest)
     if "uniqueness" in rules:
         results["uniqueness"] = reduce(
             DataFrame.unionByName,

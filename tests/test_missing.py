@@ -171,3 +171,13 @@ def test_long_texts_count_the_same_by_digest(spark, rows):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert rows(op.uniqueness(df, ["t"])) == [("t", 6, 0, 5, 1, 5 / 6)]
     assert rows(op.uniqueness(df, ["t"], digest=True)) == [("t", 6, 0, 5, 1, 5 / 6)]
+
+
+def test_many_counters_take_several_passes(spark, rows):
+    wide = spark.range(10).selectExpr(
+        "id", *[f"nullif(id, {i % 10}) AS `c.{i}`" for i in range(70)]
+    )
+    names = [f"c.{i}" for i in range(70)]
+    found = {r.field: r.missing for r in op.completeness(wide, names).collect()}
+    assert found == {n: 1 for n in names} | {"_gesamt": 70}
+    assert rows(op.missing_total(wide.limit(0))) == [(0,)]

@@ -174,6 +174,14 @@ def test_switched_off_blocks_do_not_run(articles):
     assert plans.run_suite(articles, {}) == {}
 
 
+def test_overview_of_some_tables(articles, rows):
+    rules = {"overview": {"tables": ["werk"], "approximate": 0.01}}
+    results = plans.run_suite(articles, rules)
+    assert set(results) == {"table_overview", "column_profile"}
+    exact = op.column_profile(articles["werk"])
+    assert rows(results["column_profile"].drop("table")) == rows(exact)
+
+
 def test_vocabulary_paths():
     rules = {"a": {"b": ["x"]}}
     assert plans.lookup(rules, "a.b") == ["x"]
