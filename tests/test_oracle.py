@@ -6,11 +6,12 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as spark_entry
+from catalog.oracles import oracle_sql
+from catalog.queries import queries
 from catalog.views import TABLES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, ORACLES = queries(), oracle_sql()
 
 KINDS = {
     "bigint": "BIGINT",
