@@ -8,7 +8,8 @@ Those draws are balanced: the flight phase moves the probabilities of three docu
 time along the null space of the two constraints (size and number of documents), until one
 of them is 0 or 1. Blocks of a source fly in parallel and leave at most two undecided
 documents each, which meet in the next level's blocks; when one block is left per source,
-at most two documents remain to land, where the outcome nearest to the target is taken.
+at most two documents remain to land, where the outcome nearest to the target is taken. The
+largest documents of a block fly first, so those left to land are small.
 
 Draws depend on the seed, the id and the size alone, so reruns agree. Blocks hold about
 ``BLOCK`` documents whatever a source's size, and a task holds three documents at a time.
@@ -137,7 +138,7 @@ def _fly(units: DataFrame, last: bool, seed: int) -> DataFrame:
 
     return (
         units.repartition("source", "block")
-        .sortWithinPartitions("source", "block", "h", "size", "row")
+        .sortWithinPartitions("source", "block", F.col("size").desc(), "h", "row")
         .mapInPandas(walk, "row long, source string, block long, size long, h long, p double")
     )
 
