@@ -7,8 +7,8 @@ that is alone in its group leaves; a group whose text has ended is a class of eq
 Bytes are compared as they are, so equality rests on no digest.
 
 Digits are counted with partial aggregation, so copies collapse within each task, and group
-numbers return to the documents through a join that adaptive execution splits where a group
-is hot. Only documents that still share their group carry text into the next round.
+numbers return to the documents through a merge join at every size, which adaptive execution
+splits where a group is hot. Only documents that still share their group carry text into the next round.
 
 Defined results: a null ``doc_id`` sorts after all others; of rows equal in text and id one
 stays (``kept``); an empty table gives an empty result; empty texts are equal to each other.
@@ -29,7 +29,8 @@ GROWTH = 64  # of the digits, so that the rounds grow with the logarithm of the
 def _groups(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """The groups with more than one row, numbered."""
     shared = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return scratch.keep(shared.withColumn("_next", F.monotonically_increasing_id()), name)
+    numbered = scratch.keep(shared.withColumn("_next", F.monotonically_increasing_id()), name)
+    return numbered.hint("merge")
 
 
 def radix_classes(
@@ -98,7 +99,7 @@ def radix_classes(
         members = members.union(more)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     leaders = members.groupBy("_group").agg(first.alias("_first"), F.count("*").alias("group_size"))
-    classes = members.join(leaders, "_group").select(
+    classes = members.join(leaders.hint("merge"), "_group").select(
         "row",
         F.col("_first.doc_id").alias("keep_id"),
         F.col("_first.row").alias("keep_row"),
