@@ -16,7 +16,7 @@ from tablegauge.llm.work import Scratch
 
 def _with_smallest(edges: DataFrame) -> DataFrame:
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(smallest.withColumn("m", F.least("u", "m")), "u")
+    return edges.join(smallest.withColumn("m", F.least("u", "m")).hint("merge"), "u")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -274,7 +274,7 @@ def near_duplicate_classes(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     leaders = rooted.groupBy("root").agg(F.min("first").alias("leader"))
-    labelled = rooted.join(leaders, "root").select(
+    labelled = rooted.join(leaders.hint("merge"), "root").select(
         "fp",
         F.col("leader.doc_id").alias("component_id"),
         F.col("leader.row").alias("component_row"),
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``
     (the smallest id that links lead to, its own included)."""
     table, labelled = near_duplicate_classes(docs, **parameters)
-    return table.select("doc_id", "fp").join(labelled, "fp").select(
+    return table.select("doc_id", "fp").join(labelled.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -295,4 +295,4 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that stay: the first document of each component."""
     table, labelled = near_duplicate_classes(docs, carry=True, **parameters)
     first = labelled.select(F.col("component_row").alias("row")).distinct()
-    return rows_again(table.join(first, "row", "left_semi").select("doc"), "doc", docs)
+    return rows_again(table.join(first.hint("merge"), "row", "left_semi").select("doc"), "doc", docs)
