@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-OP2 = """
+OP2 = r"""
 WITH n AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
 ), g AS (
   SELECT doc_id, t,
          min(doc_id) OVER (PARTITION BY t) AS keep_id,
@@ -16,5 +16,101 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256
 """
 
 
+ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+KINDS = (
+    (0, "assign", ASSIGN, 2, "length(v[i]) >= 6"),
+    (1, "access", "AKIA[A-Z0-9]+", 0, "length(v[i]) >= 20"),
+    (2, "hex", "[0-9a-f]+", 0, "length(v[i]) >= 24"),
+    (
+        3,
+        "token",
+        "[A-Za-z0-9+_=-]+",
+        0,
+        "length(v[i]) >= 20 AND regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')",
+    ),
+)
+MATCHES = " UNION ALL ".join(
+    f"""
+  SELECT r, k, kind, value, start, start + width AS stop FROM (
+    SELECT r, {k} AS k, '{kind}' AS kind, v[i] AS value, length(w[i]) AS width,
+           list_sum(list_transform(g[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (
+      SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
+        SELECT r, regexp_extract_all(t, '{pattern}', 0) AS w, regexp_extract_all(t, '{pattern}', {group}) AS v,
+               string_split_regex(t, '{pattern}') AS g
+        FROM d
+      )
+    ) WHERE {fits}
+  )"""
+    for k, kind, pattern, group, fits in KINDS
+)
+OP3 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), m AS ({MATCHES}
+), c AS (
+  SELECT * FROM m WHERE k < 3 OR NOT EXISTS (
+    SELECT 1 FROM m AS b WHERE b.r = m.r AND b.k < 3 AND b.start < m.stop AND m.start < b.stop)
+), o AS (
+  SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners
+  FROM c JOIN d USING (r) GROUP BY value
+), j AS (
+  SELECT r, k, kind, start, stop, owners <= 2 AS live, concat(kind, ':', start, ':', stop) AS span
+  FROM c JOIN o USING (value) WHERE k < 3 OR owners <= 2
+), s AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+         string_agg(span, ',' ORDER BY start, k) AS spans, count(*) FILTER (live) AS n_live
+  FROM j GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN s USING (r)
+"""
+
+OP9 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS times FROM (
+    SELECT r, i, array_to_string(words[i:i + 4], ' ') AS gram
+    FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+  )
+), p AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest(range(0, 5)) AS k FROM g WHERE times > 1) GROUP BY r
+), m AS (
+  SELECT r, doc_id, source, len(words) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN p USING (r)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), h AS (
+  SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM b GROUP BY source
+), v AS (
+  SELECT avg(failed / docs) AS mean, var_pop(failed / docs) AS variance, avg(1 / docs) AS chance FROM h
+), e AS (
+  SELECT mean, variance - mean * (1 - mean) * chance AS excess FROM v
+), z AS (
+  SELECT mean, CASE WHEN excess > 1e-12 THEN greatest(mean * (1 - mean) / excess - 1, 1.0) ELSE 1e6 END AS size FROM e
+), k AS (
+  SELECT source, (failed + mean * size) / (docs + size) <= 0.5 AS host_kept FROM h, z
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND host_kept AS kept
+FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2}
+    return {"op2_exact_dedup": OP2, "op3_secrets": OP3, "op9_quality": OP9}
