@@ -99,6 +99,7 @@ def radix_classes(
         members = members.union(more)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     leaders = members.groupBy("_group").agg(first.alias("_first"), F.count("*").alias("group_size"))
+    leaders = scratch.keep(leaders, "leaders")  # read back, it is a join side of its own
     classes = members.join(leaders.hint("merge"), "_group").select(
         "row",
         F.col("_first.doc_id").alias("keep_id"),
