@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 _FLOATS = (T.FloatType, T.DoubleType)
 _STRINGS = (T.StringType, T.CharType, T.VarcharType)
-_NESTED = (T.ArrayType, T.MapType, T.StructType)
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def quoted(name: str) -> str:
@@ -61,17 +61,17 @@ def check_numeric(df: DataFrame, names: Iterable[str], what: str = "table") -> l
 def check_key_types(
     left: DataFrame, left_keys: Sequence[str], right: DataFrame, right_keys: Sequence[str]
 ) -> None:
-    """Raises ``TypeError`` where a join would have to convert one key to the other's type.
+    """Raises ``TypeError`` where keys of two tables cannot be compared as they are.
 
-    Integers of different width are fine. Text against numbers is not: Spark would
-    convert silently and match ``1`` with ``'1'``.
+    Numbers of any kinds can, see :func:`key_pair`. Text against numbers cannot: Spark
+    would convert silently and match ``1`` with ``'1'``.
     """
     for a, b in zip(left_keys, right_keys, strict=True):
         type_a, type_b = type_of(left, a), type_of(right, b)
         both = (
             lambda kinds, x=type_a, y=type_b: isinstance(x, kinds) and isinstance(y, kinds)
         )
-        if type_a == type_b or both(T.IntegralType) or both(_STRINGS):
+        if type_a == type_b or both(T.NumericType) or both(_STRINGS):
             continue
         raise TypeError(
             f"key {a!r} is {type_a.simpleString()} but {b!r} is {type_b.simpleString()}; "
@@ -79,6 +79,33 @@ def check_key_types(
         )
 
 
+def key_pair(
+    left: DataFrame, left_key: str, right: DataFrame, right_key: str
+) -> tuple[Column, Column]:
+    """Two key columns in a form that is equal exactly when the keys are.
+
+    Numbers of one kind keep their type. Of different kinds they become text without
+    trailing zeros: ``1``, ``1.0`` and ``1.00`` are one key, and large integers do not
+    lose digits to a floating type.
+    """
+    kinds = [type_of(left, left_key), type_of(right, right_key)]
+    same = kinds[0] == kinds[1] or not all(isinstance(k, T.NumericType) for k in kinds)
+    if same or all(isinstance(k, T.IntegralType) for k in kinds):
+        return comparable_column(left, left_key), comparable_column(right, right_key)
+    return _exact_text(left, left_key), _exact_text(right, right_key)
+
+
+def _exact_text(df: DataFrame, name: str) -> Column:
+    c, kind = number(df, name), type_of(df, name)
+    if isinstance(kind, _FLOATS):
+        whole = (c == F.floor(c)) & (F.abs(c) < F.lit(2.0**63))
+        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    text = c.cast("string")
+    if isinstance(kind, T.DecimalType) and kind.scale > 0:
+        return F.regexp_replace(text, r"\.?0+$", "")
+    return text
+
+
 def number(df: DataFrame, name: str) -> Column:
     """Numeric column with NaN turned into null, so that it fails every comparison."""
     c = col(name)
@@ -111,6 +138,12 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def unique(df: DataFrame) -> DataFrame:
+    """Distinct rows, also with maps inside of structs, which ``distinct`` refuses."""
+    counted = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("\tcopies"))
+    return counted.drop("\tcopies")
+
+
 def restore(rows: DataFrame, like: DataFrame) -> DataFrame:
     """Turns the sorted entries made by :func:`comparable` back into maps."""
     return rows.select(
@@ -125,26 +158,41 @@ def restore(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 def text_of(df: DataFrame, name: str) -> Column:
     """Text that is equal exactly when two values of this column are equal."""
-    c, kind = number(df, name), type_of(df, name)
+    return _text(number(df, name), type_of(df, name))
+
+
+def _text(c: Column, kind: T.DataType) -> Column:
+    """Text of a value, null for null; nested values cell by cell, maps in order of keys."""
     if isinstance(kind, _FLOATS):
-        c = c + F.lit(0.0)  # -0.0 and 0.0 are one value
-    elif isinstance(kind, T.TimestampType):
-        c = F.unix_micros(c)  # wall-clock text is ambiguous when clocks go back
-    elif isinstance(kind, T.BinaryType):
+        return (c + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")  # wall-clock text is ambiguous when clocks go back
+    if isinstance(kind, T.BinaryType):
         return F.base64(c)
-    elif isinstance(kind, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(c)), {"ignoreNullFields": "false"})
-    elif isinstance(kind, _NESTED):
-        return F.to_json(c, {"ignoreNullFields": "false"})
+    if isinstance(kind, T.StructType):
+        cells = [_cell(c[f.name], f.dataType) for f in kind.fields]
+        return F.when(c.isNotNull(), F.concat(F.lit("("), *cells))
+    if isinstance(kind, T.ArrayType):
+        cells = F.transform(c, lambda x: _cell(x, kind.elementType))
+        return F.concat(F.lit("["), F.array_join(cells, ""))
+    if isinstance(kind, T.MapType):
+        cells = F.transform(
+            F.map_entries(c),
+            lambda e: F.concat(_cell(e["key"], kind.keyType), _cell(e["value"], kind.valueType)),
+        )
+        return F.concat(F.lit("{"), F.array_join(F.array_sort(cells), ""))
     return c.cast("string")
 
 
+def _cell(c: Column, kind: T.DataType) -> Column:
+    """A text with its length in front, which keeps cells apart; a null has none."""
+    text = _text(c, kind)
+    cell = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+    return F.coalesce(cell, F.lit("-"))
+
+
 def row_digest(df: DataFrame, names: Iterable[str] | None = None) -> Column:
     """SHA-256 of a row, equal for rows that compare as equal: 32 bytes for any width."""
-    cells = []
-    for name in df.columns if names is None else names:
-        text = text_of(df, name)
-        # The length in front keeps cells apart; a null has none.
-        cell = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
-        cells.append(F.coalesce(cell, F.lit("-")))
+    names = df.columns if names is None else names
+    cells = [_cell(number(df, name), type_of(df, name)) for name in names]
     return F.unhex(F.sha2(F.concat(*cells), 256))

@@ -97,7 +97,9 @@ def identifier_format_tally(
     digits = F.length(code.cast("string"))
     unparseable = ~missing & code.isNull()
     sentinel = holds(code.isin([int(s) for s in sentinels])) if sentinels else F.lit(False)
-    wrong_length = holds(digits > length if pad else digits != length) & ~sentinel
+    # A minus sign is no digit: padded codes may not be that long, exact ones not negative.
+    wrong = digits > length if pad else (digits != length) | (code < 0)
+    wrong_length = holds(wrong) & ~sentinel
 
     def rows(total: Totals) -> list[Column]:
         invalid = total("sentinel") + total("format_invalid") + total("unparseable")

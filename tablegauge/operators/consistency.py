@@ -14,9 +14,9 @@ from tablegauge.functions.columns import (
     check_key_types,
     check_numeric,
     col,
-    comparable,
     comparable_column,
     holds,
+    key_pair,
     number,
 )
 from tablegauge.functions.rates import rate
@@ -92,22 +92,15 @@ def pair_consistency(
     theirs = check_numeric(child, [c for _, c in pairs], "child table")
     check_key_types(parent, on, child, on)
 
-    # Equal parent rows are counted before they are shuffled for the join.
-    left = (
-        parent.select(
-            *[c.alias(f"k{i}") for i, c in enumerate(comparable(parent, on))],
-            *[number(parent, n).cast("double").alias(f"p{i}") for i, n in enumerate(ours)],
-        )
-        .groupBy(*[f"k{i}" for i in range(len(on))], *[f"p{i}" for i in range(len(ours))])
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if all(isinstance(o, str) for o in order_by):
-        # Only these columns decide which row is first and what it measures.
-        used = {*keys, *theirs, *order_by}
-        child = child.select(*[col(n) for n in child.columns if n in used])
+    # The child's first rows are those of dedupe_keep_first: all columns break ties.
     first = first_per_key(child, keys, order_by)
+    pairs_of_keys = [key_pair(parent, k, first, k) for k in on]
+    left = parent.select(
+        *[k.alias(f"k{i}") for i, (k, _) in enumerate(pairs_of_keys)],
+        *[number(parent, n).cast("double").alias(f"p{i}") for i, n in enumerate(ours)],
+    )
     right = first.select(
-        *[c.alias(f"j{i}") for i, c in enumerate(comparable(first, on))],
+        *[k.alias(f"j{i}") for i, (_, k) in enumerate(pairs_of_keys)],
         *[number(first, n).cast("double").alias(f"c{i}") for i, n in enumerate(theirs)],
     )
     same_key = reduce(
@@ -120,7 +113,7 @@ def pair_consistency(
         deviates = deviates & ~any_of(F.col(f"p{i}") == 0 for i in measures)
 
     def pairs_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+        return F.count_if(condition)
 
     counted = left.join(right, same_key, "inner").agg(
         pairs_where(F.lit(True)).alias("pairs"),

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
+    NESTED,
     check_columns,
     col,
+    comparable_column,
     is_float,
     is_string,
     number,
@@ -27,10 +29,6 @@ from tablegauge.functions.columns import (
 from tablegauge.functions.missing import blank_to_null_column
 from tablegauge.operators.tally import literal_rows, result_row
 
-# A digest takes 69 bytes with its mark, which no text of up to 64 bytes can equal.
-_LONG = 64
-
-
 def _frequencies(cells: DataFrame) -> DataFrame:
     """``position, value, rows`` of a frame whose columns all have one type.
 
@@ -74,11 +72,11 @@ def _native(df: DataFrame, name: str, blank_is_missing: bool, digest: bool) -> C
         return F.unix_micros(value)
     if isinstance(kind, (T.DecimalType, T.TimestampNTZType)):
         return value
-    value = _text(df, name, blank_is_missing)
     if digest:
-        shortened = F.concat(F.lit("sha2:"), F.sha2(value, 256))
-        value = F.when(F.octet_length(value) > _LONG, shortened).otherwise(value)
-    return value
+        return F.unhex(F.sha2(_text(df, name, blank_is_missing), 256))
+    if isinstance(kind, NESTED):
+        return comparable_column(df, name)
+    return _text(df, name, blank_is_missing)
 
 
 def distinct_counts(
@@ -91,8 +89,8 @@ def distinct_counts(
     """Per column ``total``, ``missing`` and ``distinct``; zeros when the table is empty.
 
     Columns of one type are counted together in their own type, each group of them in a
-    scan that reads these columns only. ``digest`` counts texts above 64 bytes by their
-    SHA-256, so that long texts need not be shuffled.
+    scan that reads these columns only. ``digest`` counts texts and nested values by their
+    SHA-256, so that long ones need not be shuffled.
     """
     columns = check_columns(df, columns)
     cells = df.select(*[_native(df, n, blank_is_missing, digest).alias(n) for n in columns])

@@ -11,22 +11,24 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.functions.columns import (
+    any_of,
     check_columns,
     check_key_types,
     col,
     comparable,
     holds,
-    number,
-    quoted,
+    key_pair,
     restore,
     row_digest,
+    type_of,
+    unique,
 )
 from tablegauge.functions.rates import rate
 from tablegauge.operators.consistency import first_per_key
 from tablegauge.operators.profile import distinct_rows
-from tablegauge.sources.work import broadcast_if_small
 
 
 def key_presence(
@@ -41,20 +43,25 @@ def key_presence(
     check_columns(right, [right_key])
     check_key_types(left, [left_key], right, [right_key])
 
-    def side(df: DataFrame, key: str, is_left: bool) -> DataFrame:
+    def side(df: DataFrame, key: Column, is_left: bool) -> DataFrame:
         return df.select(
-            number(df, key).alias("key"),
+            key.alias("key"),
             F.lit(is_left).alias("in_left"),
             F.lit(not is_left).alias("in_right"),
         )
 
-    return (
-        side(left, left_key, True)
-        .unionByName(side(right, right_key, False))
+    left_form, right_form = key_pair(left, left_key, right, right_key)
+    found = (
+        side(left, left_form, True)
+        .unionByName(side(right, right_form, False))
         .filter(F.col("key").isNotNull())
         .groupBy("key")
         .agg(F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"))
     )
+    kind = type_of(left, left_key)
+    if found.schema["key"].dataType == kind or not isinstance(kind, T.NumericType):
+        return found
+    return found.withColumn("key", F.col("key").try_cast(kind))
 
 
 def referential_integrity(
@@ -151,52 +158,38 @@ def _with_keys(
     return joined.drop(*renamed.values())
 
 
-def _keys_with_several(rows: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
-    """Keys that more than one row has, with aggregates over these rows."""
-    return (
-        rows.groupBy(*[col(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("\tn"), *extra)
-        .filter(F.col("`\tn`") > 1)
-        .drop("\tn")
-    )
-
-
-def rows_of_repeated_keys(
-    df: DataFrame, keys: Sequence[str], *, broadcast_bytes: int | None = None
+def _conflicting_keys(
+    rows: DataFrame, keys: Sequence[str], flags: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Distinct rows whose key occurs more than once in the raw table.
+    """Keys with more than one distinct row, from one aggregate over the raw rows.
 
-    Repeated keys are found from the key columns alone; rows of all other keys drop out
-    before whole rows are compared. By default that is a shuffle join, whole rows by key,
-    which adaptive execution splits where a key is hot. ``broadcast_bytes`` counts the
-    repeated keys first and, if they fit, broadcasts them: then whole rows of other keys
-    are never shuffled. Beyond the bound it is the shuffle join again.
+    A column varies inside a key exactly when its smallest and largest present values
+    differ, or when it is null in some rows only; copies of rows change neither. So rows
+    need not be compared: three values per column and key, made in each task first.
+    ``flags`` names columns that say whether present values differ.
     """
-    check_columns(df, keys)
-    rows = df.select(*comparable(df))
-    repeated = _keys_with_several(rows, keys)
-    if broadcast_bytes is not None:
-        repeated = broadcast_if_small(repeated, broadcast_bytes)
-    return _with_keys(rows, keys, repeated).distinct()
+    others = [n for n in rows.columns if n not in keys]
+    differs = {n: holds(F.min(col(n)) != F.max(col(n))) for n in others}
+    partly = [F.count(col(n)).between(1, F.count(F.lit(1)) - 1) for n in others]
+    varies = any_of([*differs.values(), *partly, F.lit(False)])
+    named = [differs[n].alias(flag) for n, flag in (flags or {}).items()]
+    found = rows.groupBy(*[col(k) for k in keys]).agg(varies.alias("\tvaries"), *named)
+    return found.filter(F.col("`\tvaries`")).drop("\tvaries")
 
 
-def key_conflict_rows(
-    df: DataFrame, keys: Sequence[str], *, broadcast_bytes: int | None = None
-) -> DataFrame:
+def key_conflict_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All distinct rows whose key has more than one distinct row.
 
-    ``broadcast_bytes`` as in :func:`rows_of_repeated_keys`.
+    Whole rows are shuffled twice: by key, to those that conflict, where adaptive
+    execution splits a hot key, and over all columns, to drop copies.
     """
-    rows = rows_of_repeated_keys(df, keys, broadcast_bytes=broadcast_bytes)
-    return restore(_with_keys(rows, keys, _keys_with_several(rows, keys)), df)
+    check_columns(df, keys)
+    rows = df.select(*comparable(df))
+    return restore(unique(_with_keys(rows, keys, _conflicting_keys(rows, keys))), df)
 
 
 def key_conflict_columns(
-    df: DataFrame,
-    keys: Sequence[str],
-    label: str = "conflict_in",
-    *,
-    broadcast_bytes: int | None = None,
+    df: DataFrame, keys: Sequence[str], label: str = "conflict_in"
 ) -> DataFrame:
     """Rows of :func:`key_conflict_rows`, saying which columns differ inside the key.
 
@@ -205,20 +198,18 @@ def key_conflict_columns(
     """
     check_columns(df, keys)
     others = [n for n in df.columns if n not in keys]
-    complete = df.dropna(subset=[quoted(k) for k in keys])
-    rows = rows_of_repeated_keys(complete, keys, broadcast_bytes=broadcast_bytes)
-    # A column differs when its smallest and largest present value differ: constant
-    # memory per key, however many rows the key has.
+    complete = df.filter(reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys]))
+    rows = complete.select(*comparable(complete))
+    rows = rows.filter(reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys]))
     flags = {n: f"\tdiffers{i}" for i, n in enumerate(others)}
-    conflicting = _keys_with_several(
-        rows, keys, *[holds(F.min(col(n)) != F.max(col(n))).alias(f) for n, f in flags.items()]
-    )
+    conflicting = _conflicting_keys(rows, keys, flags)
 
     def if_differs(name: str, value: Column) -> Column:
         return F.when(F.col(f"`{flags[name]}`"), value)
 
     names = [if_differs(n, F.lit(n)) for n in others] or [F.lit(None).cast("string")]
-    joined = _with_keys(rows, keys, conflicting, "inner").select(
+    # Copies go before columns that agree are blanked: distinct rows may then look alike.
+    joined = unique(_with_keys(rows, keys, conflicting, "inner")).select(
         *[col(k) for k in keys],
         F.concat_ws(", ", *names).alias(label),
         *[if_differs(n, col(n)).alias(n) for n in others],
@@ -227,18 +218,16 @@ def key_conflict_columns(
 
 
 def repeated_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str | Column] = (),
-    *,
-    broadcast_bytes: int | None = None,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] = ()
 ) -> DataFrame:
     """Second and later distinct rows of each key, in the order of ``order_by``.
 
-    Each row is compared with the first of its key. The join splits a hot key over
-    several tasks, so no task holds or sorts all rows of a key.
+    Each row is compared with the first of its key, which is picked within each task
+    before it is shuffled. The join splits a hot key over several tasks, so no task holds
+    or sorts all rows of a key.
     """
-    rows = rows_of_repeated_keys(df, keys, broadcast_bytes=broadcast_bytes)
+    check_columns(df, keys)
+    rows = df.select(*comparable(df))
     others = [n for n in df.columns if n not in keys]
     marks = {n: f"\tfirst{i}" for i, n in enumerate(others)}
     first = first_per_key(rows, keys, order_by).withColumnsRenamed(marks)
@@ -248,4 +237,4 @@ def repeated_rows(
         F.lit(True),
     )
     rest = _with_keys(rows, keys, first, "inner").filter(~is_first).drop(*marks.values())
-    return restore(rest, df)
+    return restore(unique(rest), df)

@@ -120,11 +120,12 @@ def vocabulary_validity(
 
 
 def vocabulary_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, value, rows``: how often each present value occurs.
+    """``column, value, rows``: how often each present value occurs, frequent ones first.
 
     Long rows rather than one map per column, so the number of values is not bounded.
     """
-    return value_frequencies(df, columns).filter(F.col("value").isNotNull())
+    found = value_frequencies(df, columns).filter(F.col("value").isNotNull())
+    return found.orderBy("column", F.desc("rows"), "value")
 
 
 def vocabulary_invalid(df: DataFrame, column: str, allowed: Sequence[object]) -> DataFrame:

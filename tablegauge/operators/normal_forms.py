@@ -13,11 +13,13 @@ from tablegauge.functions.columns import (
     col,
     comparable,
     quoted,
-    row_digest,
+    restore,
     string_columns,
+    unique,
 )
 from tablegauge.operators.frequencies import distinct_counts
-from tablegauge.operators.tally import Tally, Totals, literal_rows, measure, result_row
+from tablegauge.operators.profile import duplicate_row_count
+from tablegauge.operators.tally import Tally, Totals, measure, result_row
 
 
 def _contains_any(text: Column, delimiters: Sequence[str]) -> Column:
@@ -82,47 +84,28 @@ def atomicity_counts(
 def _distinct_combinations(
     df: DataFrame, key_sets: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """``name, rows, distinct`` per column combination, all from one pass.
+    """``name, distinct`` per column combination; nulls are values.
 
-    Grouping sets count each combination's groups side by side; nulls are values.
+    The distinct values of a combination come from those of the smallest combination that
+    holds it, so nested sets roll up: only the widest ones read the table.
     """
     used = sorted({n for columns in key_sets.values() for n in columns}, key=df.columns.index)
-    if len(used) > 63:
-        raise ValueError(f"at most 63 columns can be combined, not {len(used)}")
-    # Bit i of the grouping id, from the left, is 1 when column i is not in the set.
-    ids = {
-        name: sum(1 << (len(used) - 1 - i) for i, n in enumerate(used) if n not in columns)
-        for name, columns in key_sets.items()
-    }
-    distinct_sets = {ids[name]: list(dict.fromkeys(columns)) for name, columns in key_sets.items()}
     positions = {n: f"c{i}" for i, n in enumerate(used)}
     narrow = df.select(*[c.alias(positions[n]) for n, c in zip(used, comparable(df, used))])
-    groups = narrow.groupingSets(
-        [[F.col(positions[n]) for n in columns] for columns in distinct_sets.values()],
-        *[F.col(c) for c in positions.values()],
-    ).agg(F.grouping_id().alias("id"), F.count(F.lit(1)).alias("rows"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    zeros = literal_rows(
-        df.sparkSession,
-        [result_row(id=F.lit(i).cast("long"), rows=zero, groups=zero) for i in distinct_sets],
-    )
-    counted = (
-        groups.select("id", "rows", one.alias("groups"))
-        .unionByName(zeros)
-        .groupBy("id")
-        .agg(F.sum("rows").alias("rows"), F.sum("groups").alias("distinct"))
-    )
-    names: dict[int, list[str]] = {}
-    for name, i in ids.items():
-        names.setdefault(i, []).append(name)
-    labels = F.create_map(
-        *[
-            x
-            for i, same in names.items()
-            for x in (F.lit(i).cast("long"), F.array(*map(F.lit, same)))
-        ]
+    found: dict[frozenset[str], DataFrame] = {}
+    for columns in sorted({frozenset(c) for c in key_sets.values()}, key=lambda c: (-len(c), sorted(c))):
+        wider = [c for c in found if columns < c]
+        rows = found[min(wider, key=lambda c: (len(c), sorted(c)))] if wider else narrow
+        found[columns] = unique(rows.select(*[positions[n] for n in used if n in columns]))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            found[frozenset(columns)].agg(F.count(F.lit(1)).alias("distinct")).select(
+                F.lit(name).alias("name"), "distinct"
+            )
+            for name, columns in key_sets.items()
+        ],
     )
-    return counted.select(F.explode(labels[F.col("id")]).alias("name"), "rows", "distinct")
 
 
 def candidate_key_scan(
@@ -134,31 +117,39 @@ def candidate_key_scan(
 ) -> DataFrame:
     """``key_columns, rows, distinct_keys, duplicates`` for each column combination.
 
-    ``duplicates`` is 0 exactly for a key. ``dedupe`` drops exact copies first; with
-    ``digest`` it compares a SHA-256 of each row, so that the shuffle carries this and
-    the key columns only.
+    ``duplicates`` is 0 exactly for a key. ``dedupe`` counts exact copies once, which
+    concerns ``rows`` only: copies have the same keys. With ``digest`` rows are compared
+    by their SHA-256.
     """
     sets = {", ".join(check_columns(df, columns)): columns for columns in key_sets}
     if not sets:
         raise ValueError("no key sets given")
-    rows = df
-    if dedupe and digest:
-        used = [n for n in df.columns if any(n in columns for columns in sets.values())]
-        rows = df.select(*comparable(df, used), row_digest(df).alias("\tdigest")).distinct()
-    elif dedupe:
-        rows = df.select(*comparable(df)).distinct()
-    return _distinct_combinations(rows, sets).select(
-        F.col("name").alias("key_columns"),
-        "rows",
-        F.col("distinct").alias("distinct_keys"),
-        (F.col("rows") - F.col("distinct")).alias("duplicates"),
+    if dedupe:
+        counted = duplicate_row_count(df, digest=digest).select(F.col("distinct_rows").alias("distinct"))
+    else:
+        counted = df.agg(F.count(F.lit(1)).alias("distinct"))
+    # One row per set, and one without a name for the table.
+    every = _distinct_combinations(df, sets).unionByName(
+        counted.select(F.lit(None).cast("string").alias("name"), "distinct")
+    )
+    rows = F.max(F.when(F.col("name").isNull(), F.col("distinct")))
+    found = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "distinct")))
+    return (
+        every.agg(rows.alias("rows"), found.alias("found"))
+        .select("rows", F.inline("found"))
+        .select(
+            F.col("name").alias("key_columns"),
+            "rows",
+            F.col("distinct").alias("distinct_keys"),
+            (F.col("rows") - F.col("distinct")).alias("duplicates"),
+        )
     )
 
 
 def projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct rows of a projection: one table of a decomposition."""
+    """Distinct rows of a projection: one table of a decomposition. NaN is null."""
     check_columns(df, columns)
-    return df.select(*[col(n) for n in columns]).distinct()
+    return restore(unique(df.select(*comparable(df, columns))), df)
 
 
 def decompose(
@@ -176,8 +167,8 @@ def decomposition_summary(
     """``projection, rows, distinct_keys, key_conflicts`` per table of a decomposition.
 
     The key of a projection defaults to all its columns, which never conflicts; with a
-    smaller key, ``key_conflicts`` counts rows beyond the first of their key. All
-    projections and keys are counted in one pass.
+    smaller key, ``key_conflicts`` counts rows beyond the first of their key. Keys roll
+    up from the rows of their projection.
     """
     keys = dict(keys or {})
     sets: dict[str, Sequence[str]] = {}

@@ -31,32 +31,37 @@ class Tally:
     rows: Callable[[Totals], list[Column]]
 
 
-# Counters of one aggregate become one generated method. The JVM does not compile methods
-# above 8000 bytes of bytecode, and a pass with 72 counters took thirty times as long as
-# one with 36.
-COUNTERS_PER_PASS = 30
+_BITS = 60  # predicates of a row that one number holds
 
 
 def totals(df: DataFrame, tallies: Mapping[str, Tally]) -> DataFrame:
-    """One row with every counter of every tally.
+    """One row with every counter of every tally, from one pass over ``df``.
 
-    One pass over ``df`` for up to :data:`COUNTERS_PER_PASS` counters; further passes
-    read the columns of their own counters only.
+    Predicates of a row are first packed into numbers, a bit each, and the aggregate
+    counts bits. Its generated methods then read a few numbers however many counters
+    there are; predicates inside a lambda are evaluated, not generated, so no method
+    outgrows what the JVM compiles.
     """
-    counts = [
-        F.count_if(predicate).alias(f"{name}\t{counter}")
+    counters = [
+        (f"{name}\t{counter}", predicate)
         for name, tally in tallies.items()
         for counter, predicate in tally.counters.items()
     ]
-    row_count = F.count(F.lit(1)).alias("rows")
-    passes = [
-        df.agg(row_count, *counts[i : i + COUNTERS_PER_PASS])
-        for i in range(0, max(len(counts), 1), COUNTERS_PER_PASS)
+    packed = [
+        _packed([predicate for _, predicate in counters[i : i + _BITS]]).alias(f"\tbits{i // _BITS}")
+        for i in range(0, len(counters), _BITS)
+    ]
+    counts = [
+        F.count_if(F.getbit(col(f"\tbits{i // _BITS}"), F.lit(i % _BITS)) == 1).alias(name)
+        for i, (name, _) in enumerate(counters)
     ]
-    if len(passes) == 1:
-        return passes[0]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), passes)
-    return every.agg(*[F.max(col(n)).alias(n) for n in every.columns])
+    return df.select(*packed).agg(F.count(F.lit(1)).alias("rows"), *counts)
+
+
+def _packed(predicates: Sequence[Column]) -> Column:
+    bits = [F.when(p, F.lit(1 << i)).otherwise(0).cast("bigint") for i, p in enumerate(predicates)]
+    either = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return F.transform(F.array(F.lit(0)), lambda _: either)[0]
 
 
 def result_rows(name: str, tally: Tally) -> Column:

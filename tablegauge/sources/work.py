@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tablegauge.functions.columns import col
 
 
 def use_checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session, which has no other machines, may go without the setting; it
-    gets a folder of its own.
+    uses ``checkpoints`` in its warehouse.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir()
@@ -24,7 +19,7 @@ def use_checkpoint_folder(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tablegauge-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     context.setCheckpointDir(folder)
     return folder
 
@@ -33,20 +28,3 @@ def settle(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and keeps it in the checkpoint folder."""
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
-
-
-_ROW_OVERHEAD = 64  # bytes a row takes in a broadcast table besides its values
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
-    """``df`` settled, and marked for broadcast only if it is small enough.
-
-    The size is measured on the settled rows. Above the bound ``df`` comes back unmarked
-    and joins by shuffle.
-    """
-    settled = settle(df)
-    text = F.concat_ws("", *[col(n).cast("string") for n in df.columns])
-    size = settled.agg(
-        F.coalesce(F.sum(F.octet_length(text) + _ROW_OVERHEAD), F.lit(0))
-    ).first()[0]
-    return F.broadcast(settled) if size <= max_bytes else settled

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -37,10 +38,9 @@ def test_conflicts(table, rows):
     assert rows(op.key_conflicts(table.limit(0), ["k"])) == [(0, 0, 0, 0)]
 
 
-@pytest.mark.parametrize("bound", [None, 0, 1 << 20])
-def test_conflict_details(table, rows, bound):
+def test_conflict_details(table, rows):
     keys = ["k", "n"]
-    assert rows(op.key_conflict_rows(table, keys, broadcast_bytes=bound)) == sorted(
+    assert rows(op.key_conflict_rows(table, keys)) == sorted(
         [
             ("x", 1, "one", 1.0),
             ("x", 1, "two", 1.0),
@@ -52,7 +52,7 @@ def test_conflict_details(table, rows, bound):
         ],
         key=lambda r: tuple(map(repr, r)),
     )
-    assert rows(op.key_conflict_columns(table, keys, broadcast_bytes=bound)) == sorted(
+    assert rows(op.key_conflict_columns(table, keys)) == sorted(
         [
             ("x", 1, "a", "one", None),
             ("x", 1, "a", "two", None),
@@ -62,7 +62,7 @@ def test_conflict_details(table, rows, bound):
         ],
         key=lambda r: tuple(map(repr, r)),
     )
-    assert rows(op.repeated_rows(table, keys, ["a"], broadcast_bytes=bound)) == sorted(
+    assert rows(op.repeated_rows(table, keys, ["a"])) == sorted(
         [
             ("x", 1, "one", 1.0),
             ("x", 1, "two", 1.0),
@@ -221,3 +221,45 @@ def test_against_brute_force(spark, data):
         present = [r[i] for r in table if r[i] not in (None, "")]
         assert (u[n].total, u[n].distinct) == (len(table), len(set(present)))
         assert u[n].missing + u[n].distinct + u[n].duplicates == u[n].total
+
+
+def test_numeric_keys_of_different_kinds(spark, rows):
+    left = spark.createDataFrame([(1,), (2,), (9007199254740993,), (None,)], "k bigint")
+    right = spark.createDataFrame([(1.0,), (2.5,), (9007199254740992.0,), (float("nan"),)], "k double")
+    assert rows(op.referential_integrity(left, right, "k", "k")) == [(3, 1, 2, 2 / 3)]
+    assert rows(op.missing_children_keys(left, right, "k")) == [(2,), (9007199254740993,)]
+    decimals = left.selectExpr("CAST(k AS DECIMAL(20, 2)) AS k")
+    assert rows(op.referential_integrity(decimals, right, "k", "k")) == [(3, 1, 2, 2 / 3)]
+    parent = spark.createDataFrame([(1.0, 5.0)], "k double, a double")
+    child = spark.createDataFrame([(1, 5.0)], "k bigint, b double")
+    assert op.pair_consistency(parent, child, [("a", "b")], ["k"], 0.1).first().consistent == 1
+    with pytest.raises(TypeError):
+        op.referential_integrity(left, spark.createDataFrame([("1",)], "k string"), "k", "k")
+
+
+def test_pairs_use_the_rows_that_dedupe_keeps(spark, rows):
+    parent = spark.createDataFrame([(1, 10.0), (2, 10.0)], "k int, a double")
+    child = spark.createDataFrame(
+        [(1, "z", 10.0), (1, "a", 99.0), (2, None, 99.0), (2, "b", 10.0)], "k int, other string, b double"
+    )
+    for order in ((), ["other"], ["b"], [F.lit(1)], [F.desc("b")]):
+        kept = op.dedupe_keep_first(child, ["k"], order)
+        a = rows(op.pair_consistency(parent, child, [("a", "b")], ["k"], 0.1, order_by=order))
+        assert a == rows(op.pair_consistency(parent, kept, [("a", "b")], ["k"], 0.1))
+    assert op.pair_consistency(parent, child, [("a", "b")], ["k"], 0.1).first().inconsistent == 2
+
+
+def test_projections_compare_like_their_summary(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, None), (2, 0.0), (2, -0.0)], "a int, b double")
+    assert op.decompose(df, {"p": ["a", "b"]})["p"].count() == 2
+    assert op.decomposition_summary(df, {"p": ["a", "b"]}).first()["rows"] == 2
+    maps = spark.sql("SELECT map('x', 1, 'y', 2) AS m UNION ALL SELECT map('y', 2, 'x', 1)")
+    (row,) = op.decompose(maps, {"p": ["m"]})["p"].collect()
+    assert row.m == {"x": 1, "y": 2}
+
+
+def test_any_number_of_columns_can_be_keys(spark):
+    names = [f"c{i}" for i in range(70)]
+    df = spark.range(3).selectExpr(*[f"id % {i % 3 + 1} AS {n}" for i, n in enumerate(names)])
+    found = {r.key_columns: (r["rows"], r.distinct_keys) for r in op.candidate_key_scan(df, [names, names[:1]]).collect()}
+    assert found == {", ".join(names): (3, 3), "c0": (3, 1)}

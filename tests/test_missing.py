@@ -181,3 +181,22 @@ def test_many_counters_take_several_passes(spark, rows):
     found = {r.field: r.missing for r in op.completeness(wide, names).collect()}
     assert found == {n: 1 for n in names} | {"_gesamt": 70}
     assert rows(op.missing_total(wide.limit(0))) == [(0,)]
+
+
+NESTED = """
+SELECT named_struct('t', timestamp_micros(1), 'd', 0.0D, 'm', map('a', 1, 'b', 2), 'l', array(1.5D)) AS s
+UNION ALL SELECT named_struct('t', timestamp_micros(2), 'd', 0.0D, 'm', map('a', 1, 'b', 2), 'l', array(1.5D))
+UNION ALL SELECT named_struct('t', timestamp_micros(1), 'd', -0.0D, 'm', map('b', 2, 'a', 1), 'l', array(1.5D))
+UNION ALL SELECT named_struct('t', timestamp_micros(1), 'd', NULL, 'm', map('b', 2, 'a', 1), 'l', array(1.5D))
+UNION ALL SELECT NULL
+"""
+
+
+def test_nested_values_are_compared_exactly(spark):
+    df = spark.sql(NESTED)
+    for digest in (False, True):
+        assert op.column_profile(df, digest=digest).first()["distinct"] == 3
+        assert op.uniqueness(df, ["s"], digest=digest).first()["distinct"] == 3
+        assert op.duplicate_row_count(df, digest=digest).first().duplicate_rows == 1
+        assert op.candidate_key_scan(df, [["s"]], digest=digest).first().distinct_keys == 4
+    assert op.entity_counts(df, ["s"]).first().entities == 3

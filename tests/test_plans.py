@@ -4,12 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as spark_entry
+from catalog.queries import queries
 from catalog.views import Inputs
 from tablegauge import operators as op
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = spark_entry.queries()
+QUERIES = queries()
 
 
 def plan_of(df):
@@ -70,9 +70,10 @@ def test_conflicts_shuffle_rows_once_and_keys_once(spark):
 
 def test_pairs_read_measures_and_order_only(spark):
     t = Inputs(spark, SF_DIR)
+    child = t.lineitem.select("l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     found = op.pair_consistency(
         t.part.selectExpr("p_partkey AS k", "p_retailprice AS a"),
-        t.lineitem.withColumnRenamed("l_partkey", "k"),
+        child.withColumnRenamed("l_partkey", "k"),
         [("a", "l_extendedprice")],
         ["k", "l_linenumber"],
         0.1,
@@ -94,3 +95,28 @@ def test_distinct_values_of_one_type_share_a_scan(spark):
     plan = plan_of(op.column_profile(t.lineitem))
     assert plan.count("FileScan parquet") == 4  # bigint, double, string, timestamp
     assert "cast(l_quantity" not in plan
+
+
+def test_any_number_of_counters_is_one_scan(spark):
+    t = Inputs(spark, SF_DIR)
+    names = t.lineitem.columns
+    wide = t.lineitem.selectExpr(*[f"{n} AS {n}_{i}" for i in range(7) for n in names])
+    found = op.completeness(wide, wide.columns)
+    assert len(wide.columns) > 70
+    assert plan_of(found).count("FileScan parquet") == 1 and exchanges(found) == 1
+
+
+def test_candidate_keys_expand_no_rows(spark):
+    t = Inputs(spark, SF_DIR)
+    sets = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"]]
+    assert "Expand" not in plan_of(op.candidate_key_scan(t.lineitem, sets))
+
+
+def test_conflicts_shuffle_whole_rows_twice(spark, no_broadcast):
+    t = Inputs(spark, SF_DIR)
+    keys = ["l_orderkey", "l_linenumber"]
+    for found in (op.key_conflict_rows(t.lineitem, keys), op.key_conflict_columns(t.lineitem, keys)):
+        # The keyed aggregate, its keys, rows by key, rows to drop copies.
+        assert exchanges(found) == 4
+    plan = plan_of(op.key_conflict_columns(t.lineitem, keys))
+    assert plan.count("PushedFilters: [IsNotNull(l_orderkey), IsNotNull(l_linenumber)]") == 2

@@ -337,15 +337,3 @@ def test_settled_rows_are_kept_in_the_named_folder(spark):
     settled = sources.settle(spark.range(5).selectExpr("id * 2 AS x"))
     assert "Scan ExistingRDD" in settled._jdf.queryExecution().executedPlan().toString()
     assert settled.count() == 5
-
-
-def test_broadcast_needs_a_checked_size(spark):
-    big = spark.range(100_000)
-
-    def plan(bound):
-        right = sources.broadcast_if_small(spark.range(1000).withColumnRenamed("id", "j"), bound)
-        joined = big.join(right, big.id == right.j)
-        return joined._jdf.queryExecution().optimizedPlan().toString()
-
-    assert "strategy=broadcast" in plan(1 << 20)
-    assert "strategy=broadcast" not in plan(1000)
