@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from tablegauge.llm.work import Scratch
 
 
-def _with_smallest(edges: DataFrame) -> DataFrame:
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(smallest.withColumn("m", F.least("u", "m")).hint("merge"), "u")
+def _with_smallest(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Edges with ``m``, the smallest of ``u`` and its neighbours.
+
+    The minima are written and read back, so that both sides of the join are shuffled for
+    it alone and adaptive execution can split a hot node's edges.
+    """
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return edges.join(scratch.keep(smallest, name).hint("merge"), "u")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -30,11 +35,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before, n = check, n + 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _with_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        hung = _with_smallest(both, scratch, f"large-min-{n}").where("v > u")
+        large = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.keep(large, f"large-{n}")
-        near = _with_smallest(large)
+        near = _with_smallest(large, scratch, f"small-min-{n}")
         small = near.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = scratch.keep(small.where("u <> v").distinct(), f"edges-{n}")
-        scratch.drop(f"edges-{n - 1}", f"large-{n}")
+        scratch.drop(f"edges-{n - 1}", f"large-{n}", f"large-min-{n}", f"small-min-{n}")

@@ -273,7 +273,7 @@ def near_duplicate_classes(
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    leaders = rooted.groupBy("root").agg(F.min("first").alias("leader"))
+    leaders = scratch.keep(rooted.groupBy("root").agg(F.min("first").alias("leader")), "leaders")
     labelled = rooted.join(leaders.hint("merge"), "root").select(
         "fp",
         F.col("leader.doc_id").alias("component_id"),
