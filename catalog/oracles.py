@@ -305,7 +305,13 @@ def _level(value: str) -> str:
     )
 
 
-_UNITS = _vocabulary("articles", "v_articles", "unit", ["cm"], uniform=True)
+_UNITS = _union(
+    [
+        _vocabulary("articles", "v_articles", "unit", ["cm"], uniform=True),
+        _vocabulary("prices", "v_prices", "currency", ["EUR", "CHF"], uniform=True),
+    ]
+)
+_PRICE_FIELDS = _completeness("v_prices", _others("price") | _strings("currency"))
 _EVENT_TYPES = ["signup", "purchase", "view", "click"]
 
 
@@ -337,7 +343,7 @@ def _suite_metrics() -> str:
         ),
         _long(
             "completeness",
-            _completeness("v_prices", _others("price") | _strings("currency")),
+            _PRICE_FIELDS,
             ["missing", "completeness"],
             "field",
             "'prices'",
@@ -466,6 +472,83 @@ def _suite_metrics() -> str:
     return _union(parts)
 
 
+_DUPLICATES = """
+SELECT (SELECT count(*) FROM {rows}) AS rows,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM {rows})) AS distinct_rows,
+  (SELECT count(*) FROM {rows}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {rows}))
+    AS duplicate_rows"""
+
+
+def _wide() -> str:
+    texts = ["currency", "o_orderstatus", "c_name", "c_mktsegment"]
+    others = [
+        "price_id", "price", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+        "c_nationkey", "c_acctbal",
+    ]
+    missing = _strings(*texts) | _others(*others)
+    fields = {f"{n}_{i}": m for i in range(4) for n, m in missing.items()}
+    table = "v_prices JOIN orders ON price_id = o_orderkey JOIN customer ON o_custkey = c_custkey"
+    counts = ", ".join(f"{_n(m)} AS {n}" for n, m in fields.items())
+    rows = [
+        f"SELECT '{n}' AS field, {n} AS missing, 1 - {_rate(n, 'rows')} AS completeness FROM c"
+        for n in fields
+    ]
+    total = f"({' + '.join(fields)})"
+    rows.append(
+        f"SELECT '_gesamt', {total}, 1 - {_rate(total, f'(rows * {len(fields)})')} FROM c"
+    )
+    return f"WITH c AS (SELECT count(*) AS rows, {counts} FROM {table})\n{_union(rows)}"
+
+
+def _suite_details() -> str:
+    def count(name: str, rows: str) -> str:
+        return f"SELECT '{name}' AS result, count(*) AS rows FROM {rows}"
+
+    keys = "article_id, plant"
+    filled = "article_id IS NOT NULL AND plant IS NOT NULL"
+    once = "(SELECT DISTINCT * FROM v_plants)"
+    several = f"(SELECT {keys}, count(*) AS n FROM {once} GROUP BY {keys} HAVING count(*) > 1)"
+    return _union(
+        [
+            "SELECT 'unit_consistency_values' AS result, "
+            "(SELECT count(DISTINCT unit) FROM v_articles WHERE trim(unit) <> '')"
+            " + (SELECT count(DISTINCT currency) FROM v_prices WHERE trim(currency) <> '') AS rows",
+            "SELECT 'unit_consistency_invalid', (SELECT count(DISTINCT unit) FROM v_articles"
+            " WHERE trim(unit) <> '' AND unit <> 'cm') + (SELECT count(DISTINCT currency)"
+            " FROM v_prices WHERE trim(currency) <> '' AND currency NOT IN ('EUR', 'CHF'))",
+            count("price_bad_currencies", _inner(_ORACLES["price_bad_currencies"])),
+            count("key_conflict_rows", _inner(_ORACLES["key_conflict_rows"])),
+            f"SELECT 'key_conflict_columns', coalesce(CAST(sum(n) AS BIGINT), 0) FROM {several} WHERE {filled}",
+            count("missing_children_keys", _inner(_ORACLES["missing_children_keys"])),
+            f"SELECT 'atomicity_flags_articles', {_n(_contains('name'))} + {_n(_contains('unit'))} FROM v_articles",
+            f"SELECT 'atomicity_flags_prices', {_n(_contains('currency'))} FROM v_prices",
+            f"SELECT 'repeated_rows_plants', coalesce(CAST(sum(n - 1) AS BIGINT), 0) FROM {several}",
+            "SELECT 'candidate_key_scan', CAST(4 AS BIGINT)",
+            "SELECT 'decomposition_summary', CAST(3 AS BIGINT)",
+            "SELECT 'entity_counts', CAST(2 AS BIGINT)",
+        ]
+    )
+
+
+def _suite_round_trip() -> str:
+    vocabulary = ["total", "missing", "valid", "valid_rate", "invalid", "invalid_rate", "uniform"]
+    measures = ["missing", "completeness"]
+    return _union(
+        [
+            _long("completeness", _completeness("v_articles", _MISSING), measures, "field", "'articles'"),
+            _long("completeness", _PRICE_FIELDS, measures, "field", "'prices'"),
+            _long("unit_consistency", _UNITS, vocabulary, '"column"', '"table"'),
+            _long(
+                "key_conflicts",
+                _CONFLICTS,
+                ["rows", "exact_duplicates", "conflicts", "rows_after_cleaning"],
+                _NO_FIELD,
+                _NO_FIELD,
+            ),
+        ]
+    )
+
+
 _ORACLES = {
     "blank_counts": _union(
         f"SELECT '{c}' AS \"column\", {_n(b)} AS blank FROM v_articles"
@@ -488,6 +571,15 @@ SELECT count(*) AS rows,
   (SELECT count(*) FROM (SELECT DISTINCT * FROM v_plants)) AS distinct_rows,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM v_plants)) AS duplicate_rows
 FROM v_plants""",
+    "column_profile_nested": """
+WITH s AS (
+  SELECT count(*) AS n, count(DISTINCT (o_orderkey % 3, o_orderkey % 7)) AS d FROM orders)
+SELECT 's' AS "column", 'struct<at:timestamp,d:double,m:map<string,bigint>>' AS type,
+  CAST(0 AS BIGINT) AS missing, CAST(0 AS DOUBLE) / nullif(n, 0) * 100 AS missing_percent,
+  d AS "distinct", CAST(d AS DOUBLE) / nullif(CAST(n AS DOUBLE), 0) * 100 AS distinct_percent
+FROM s""",
+    "duplicate_rows_digest": _DUPLICATES.format(rows="v_plants"),
+    "duplicate_documents_digest": _DUPLICATES.format(rows="(SELECT text, lang FROM documents)"),
     "missing_share": f"""
 SELECT count(*) AS rows, CAST(7 AS BIGINT) AS columns,
   {" + ".join(_n(m) for m in _MISSING.values())} AS missing,
@@ -579,6 +671,7 @@ FROM v_articles""",
     "dedupe_keep_first": _FIRST,
     "pair_consistency": _pairs(skip_pair=False),
     "pair_consistency_skip_pair": _pairs(skip_pair=True),
+    "pair_consistency_default_order": _pairs(skip_pair=False),
     "vocabulary": _UNITS,
     "vocabulary_validity": _union(
         [
@@ -624,6 +717,7 @@ SELECT DISTINCT article_id FROM v_articles
 WHERE article_id IS NOT NULL
   AND article_id NOT IN (SELECT article_id FROM v_plants WHERE article_id IS NOT NULL)""",
     "key_conflicts": _CONFLICTS,
+    "key_conflicts_digest": _CONFLICTS,
     "key_conflict_rows": """
 WITH rows_once AS (SELECT DISTINCT * FROM v_plants),
 numbered AS (SELECT *, count(*) OVER (PARTITION BY article_id, plant) AS variants FROM rows_once)
@@ -688,7 +782,11 @@ FROM numbered WHERE rn > 1""",
         [["price_id"], ["price", "currency"], ["currency"], ["price_id", "currency"]],
         dedupe=False,
     ),
-    "decompose": "SELECT DISTINCT article_id, category FROM v_categories",
+    "decompose": """
+SELECT DISTINCT article_id, category, CAST(NULL AS INTEGER) AS season,
+  'article_category' AS projection FROM v_categories
+UNION ALL SELECT DISTINCT article_id, NULL, season, 'article_season' FROM v_categories
+UNION ALL SELECT DISTINCT NULL, category, season, 'category_season' FROM v_categories""",
     "decomposition_summary": _union(
         [
             _projection("article_category", "article_id, category", "article_id"),
@@ -703,31 +801,39 @@ FROM numbered WHERE rn > 1""",
     ),
     "scorecard": f"""
 WITH cards AS (
-  SELECT 'completeness' AS kpi, 'all mandatory fields' AS scope, completeness AS rate
+  SELECT 'completeness' AS kpi, 'articles' AS "table", 'all mandatory fields' AS scope,
+    completeness AS rate
   FROM {_inner(_completeness("v_articles", _MISSING))} WHERE field = '_gesamt'
   UNION ALL
-  SELECT 'uniqueness', field, uniqueness
+  SELECT 'completeness', 'prices', 'all mandatory fields', completeness
+  FROM {_inner(_PRICE_FIELDS)} WHERE field = '_gesamt'
+  UNION ALL
+  SELECT 'uniqueness', 'articles', field, uniqueness
   FROM {_inner(_uniqueness("v_articles", ["article_id", "gtin"]))}
   UNION ALL
-  SELECT 'pair_consistency', 'comparable pairs', consistent_rate
+  SELECT 'pair_consistency', NULL, 'comparable pairs', consistent_rate
   FROM {_inner(_pairs(skip_pair=False))}
   UNION ALL
-  SELECT 'unit_validity', "column", valid_rate FROM {_inner(_UNITS)})
-SELECT kpi, scope, rate, {_level("rate")} FROM cards""",
+  SELECT 'unit_validity', "table", "column", valid_rate FROM {_inner(_UNITS)})
+SELECT kpi, "table", scope, rate, {_level("rate")} FROM cards""",
     "traffic_light": f"""
 SELECT field, uniqueness, {_level("uniqueness")}
 FROM {_inner(_uniqueness("v_articles", list(_BLANK)))}""",
     "panel_completeness": f"""
-SELECT field, missing, completeness, {_level("completeness")}
-FROM {_inner(_completeness("v_articles", _MISSING))} WHERE field <> '_gesamt'""",
+SELECT 'articles' AS "table", field, missing, completeness, {_level("completeness")}
+FROM {_inner(_completeness("v_articles", _MISSING))} WHERE field <> '_gesamt'
+UNION ALL
+SELECT 'prices', field, missing, completeness, {_level("completeness")}
+FROM {_inner(_PRICE_FIELDS)} WHERE field <> '_gesamt'""",
     "panel_consistency": f"""
 WITH p AS {_inner(_pairs(skip_pair=False))}, u AS {_inner(_UNITS)}
-SELECT 'pairs' AS bar, 'consistent' AS segment, consistent AS rows,
-  {_rate("consistent", "pairs")} AS share FROM p
-UNION ALL SELECT 'pairs', 'inconsistent', inconsistent, {_rate("inconsistent", "pairs")} FROM p
-UNION ALL SELECT 'pairs', 'not_comparable', excluded, {_rate("excluded", "pairs")} FROM p
-UNION ALL SELECT 'unit', 'valid', valid, {_rate("valid", "(valid + invalid)")} FROM u
-UNION ALL SELECT 'unit', 'invalid', invalid, {_rate("invalid", "(valid + invalid)")} FROM u""",
+SELECT CAST(NULL AS VARCHAR) AS "table", 'pairs' AS bar, 'consistent' AS segment,
+  consistent AS rows, {_rate("consistent", "pairs")} AS share FROM p
+UNION ALL SELECT NULL, 'pairs', 'inconsistent', inconsistent, {_rate("inconsistent", "pairs")} FROM p
+UNION ALL SELECT NULL, 'pairs', 'not_comparable', excluded, {_rate("excluded", "pairs")} FROM p
+UNION ALL SELECT "table", "column", 'valid', valid, {_rate("valid", "(valid + invalid)")} FROM u
+UNION ALL
+SELECT "table", "column", 'invalid', invalid, {_rate("invalid", "(valid + invalid)")} FROM u""",
     "panel_prices": f"""
 WITH p AS {_inner(_PRICES)}
 SELECT 'valid' AS segment, valid AS rows, valid_rate AS share, false AS overlapping FROM p
@@ -736,14 +842,13 @@ UNION ALL SELECT 'sentinel', sentinel, {_rate("sentinel", "total")}, true FROM p
 UNION ALL SELECT 'bad_currency', bad_currency, {_rate("bad_currency", "total")}, true FROM p""",
     "panel_references": f"""
 WITH r AS {_inner(_references("v_categories", "article_id", "customer", "c_custkey"))}
-SELECT 'references' AS bar, 'referenced' AS segment, referenced AS rows,
+SELECT 'categories' AS bar, 'referenced' AS segment, referenced AS rows,
   {_rate("referenced", "keys")} AS share FROM r
-UNION ALL SELECT 'references', 'orphaned', orphaned, {_rate("orphaned", "keys")} FROM r""",
+UNION ALL SELECT 'categories', 'orphaned', orphaned, {_rate("orphaned", "keys")} FROM r""",
     "row_count_notice": f"""
 WITH p AS {_inner(_pairs(skip_pair=False))}, u AS {_inner(_UNITS)}, k AS {_inner(_CONFLICTS)}
-SELECT (SELECT valid + invalid FROM u) <> (SELECT pairs FROM p) AS mismatch,
-  (SELECT valid + invalid FROM u) AS unit_rows, (SELECT pairs FROM p) AS pair_rows,
-  exact_duplicates, conflicts FROM k""",
+SELECT "table", "column", valid + invalid <> pairs AS mismatch, valid + invalid AS unit_rows,
+  pairs AS pair_rows, exact_duplicates, conflicts FROM u, p, k""",
     "preview": """
 SELECT * FROM v_articles
 ORDER BY name NULLS FIRST, article_id NULLS FIRST, unit NULLS FIRST, gtin NULLS FIRST,
@@ -758,5 +863,12 @@ FROM customer""",
 }
 
 
+_ORACLES |= {
+    "completeness_wide": _wide(),
+    "suite_details": _suite_details(),
+    "suite_round_trip": _suite_round_trip(),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in _ORACLES.items()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalog.views import Inputs
 from tablegauge import operators as op
@@ -40,6 +43,24 @@ PROJECTIONS = {
 }
 PROJECTION_KEYS = {"article_category": ["article_id"]}
 NULL_TOKENS = ["MACHINERY", "NA", ""]
+WIDE_COLUMNS = [
+    "price_id", "price", "currency", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+    "o_orderdate", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment",
+]
+DETAILS = [
+    "unit_consistency_values",
+    "unit_consistency_invalid",
+    "price_bad_currencies",
+    "key_conflict_rows",
+    "key_conflict_columns",
+    "missing_children_keys",
+    "atomicity_flags_articles",
+    "atomicity_flags_prices",
+    "repeated_rows_plants",
+    "candidate_key_scan",
+    "decomposition_summary",
+    "entity_counts",
+]
 
 SUITE_RULES = {
     "vocabularies": {"unit": UNITS, "currency": CURRENCIES, "category": EVENT_TYPES},
@@ -53,7 +74,10 @@ SUITE_RULES = {
         "max_deviation": 0.10,
         "order_by": PLANT_ORDER,
     },
-    "unit_consistency": [{"table": "articles", "column": "unit", "allowed": "vocabularies.unit"}],
+    "unit_consistency": [
+        {"table": "articles", "column": "unit", "allowed": "vocabularies.unit"},
+        {"table": "prices", "column": "currency", "allowed": "vocabularies.currency"},
+    ],
     "vocabulary_validity": [
         {"table": "categories", "column": "category", "allowed": "vocabularies.category"}
     ],
@@ -117,7 +141,10 @@ def _pairs(t: Inputs, zero_baseline: str = "row_consistent") -> DataFrame:
 
 
 def _units(t: Inputs) -> DataFrame:
-    return op.vocabulary({"articles": t.v_articles}, [("articles", "unit", UNITS)])
+    return op.vocabulary(
+        {"articles": t.v_articles, "prices": t.v_prices},
+        [("articles", "unit", UNITS), ("prices", "currency", CURRENCIES)],
+    )
 
 
 def _prices(t: Inputs) -> DataFrame:
@@ -145,6 +172,70 @@ def _suite(t: Inputs, **options) -> dict[str, DataFrame]:
     return plans.run_suite(_tables(t), SUITE_RULES, **options)
 
 
+def _panel(name: str) -> Callable[[Inputs], DataFrame]:
+    return lambda t: plans.report_panels(_suite(t))[name]
+
+
+def _nested(t: Inputs) -> DataFrame:
+    """Orders with a struct of a time, a number and a map each, equal for some orders."""
+    return t.orders.selectExpr(
+        "named_struct('at', timestampadd(MICROSECOND, o_orderkey % 3, timestamp_micros(0)),"
+        " 'd', CAST(CASE o_orderkey % 2 WHEN 0 THEN 0.0D ELSE -0.0D END AS DOUBLE),"
+        " 'm', CASE o_orderkey % 5 WHEN 0 THEN map('a', o_orderkey % 7, 'b', 1L)"
+        " ELSE map('b', 1L, 'a', o_orderkey % 7) END) AS s"
+    )
+
+
+def _wide(t: Inputs) -> DataFrame:
+    """Every price beside its customer and nation: more than 30 columns, four times over."""
+    joined = t.v_prices.join(t.orders, F.col("price_id") == F.col("o_orderkey")).join(
+        t.customer, F.col("o_custkey") == F.col("c_custkey")
+    )
+    return joined.select(*[F.col(n).alias(f"{n}_{i}") for i in range(4) for n in WIDE_COLUMNS])
+
+
+def _decompose(t: Inputs) -> DataFrame:
+    """The tables of a decomposition one below the other, under one set of columns."""
+    parts = op.decompose(t.v_categories, PROJECTIONS)
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [df.withColumn("projection", F.lit(name)) for name, df in parts.items()],
+    )
+
+
+def _suite_round_trip(t: Inputs) -> DataFrame:
+    """The suite's results written and read back as labelled CSV."""
+    spark = t.v_articles.sparkSession
+    base = f"{sources.use_checkpoint_folder(spark)}/suite-{uuid.uuid4().hex}"
+    results = _suite(t, details=False)
+    few = {name: results[name] for name in ("completeness", "unit_consistency", "key_conflicts")}
+    paths = sources.write_results(few, base, format="csv", labels=True)
+    return sources.metrics_of(sources.read_results(spark, paths, format="csv"))
+
+
+def _suite_details(t: Inputs) -> DataFrame:
+    """How many offending rows each check of the suite with its diagnostics lists."""
+    rules = SUITE_RULES | {
+        "atomicity": {"delimiters": DELIMITERS, "keys": {"prices": ["price_id"]}},
+        "candidate_key_scan": {"table": "prices", "key_sets": PRICE_SETS},
+        "decomposition_summary": {
+            "table": "categories",
+            "projections": PROJECTIONS,
+            "keys": PROJECTION_KEYS,
+        },
+        "entity_counts": {"table": "categories", "columns": ["article_id", "category"]},
+        "repeated_rows": {"table": "plants", "keys": PLANT_KEYS, "order_by": PLANT_ORDER},
+    }
+    results = plans.run_suite(_tables(t), rules, details=True)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            results[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows")
+            for name in DETAILS
+        ],
+    )
+
+
 def _on(query: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(Inputs(spark, sf_dir))
 
@@ -158,17 +249,26 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
     # profiles
     "table_overview": lambda t: op.table_overview(t.v_articles),
     "column_profile": lambda t: op.column_profile(t.v_articles),
+    "column_profile_nested": lambda t: op.column_profile(_nested(t)),
     "duplicate_rows": lambda t: op.duplicate_row_count(t.v_plants),
+    "duplicate_rows_digest": lambda t: op.duplicate_row_count(t.v_plants, digest=True),
+    "duplicate_documents_digest": lambda t: op.duplicate_row_count(
+        t.documents.select("text", "lang"), digest=True
+    ),
     "missing_share": lambda t: op.missing_share(t.v_articles),
     "profile_tables": lambda t: op.profile_tables(_tables(t)),
     "profile_columns": lambda t: op.profile_columns(
-        {"lineitem": t.lineitem, "orders": t.orders, "documents": t.documents}
+        {"lineitem": t.lineitem, "orders": t.orders, "documents": t.documents}, digest=True
     ),
     # core measures
+    "completeness_wide": lambda t: op.completeness(_wide(t), _wide(t).columns),
     "completeness": lambda t: op.completeness(t.v_articles, ARTICLE_FIELDS),
     "uniqueness": lambda t: op.uniqueness(t.v_articles, ["article_id", "gtin", "name"]),
     "dedupe_keep_first": lambda t: op.dedupe_keep_first(t.v_plants, PLANT_KEYS, PLANT_ORDER),
     "pair_consistency": _pairs,
+    "pair_consistency_default_order": lambda t: op.pair_consistency(
+        t.v_articles, t.v_plants, PAIRS, PLANT_KEYS, 0.10
+    ),
     "pair_consistency_skip_pair": lambda t: _pairs(t, "skip_pair"),
     "vocabulary": _units,
     "vocabulary_validity": lambda t: op.vocabulary_validity(
@@ -222,6 +322,7 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
         t.v_articles, t.v_plants, "article_id"
     ),
     "key_conflicts": lambda t: op.key_conflicts(t.v_plants, PLANT_KEYS),
+    "key_conflicts_digest": lambda t: op.key_conflicts(t.v_plants, PLANT_KEYS, digest=True),
     "key_conflict_rows": lambda t: op.key_conflict_rows(t.v_plants, PLANT_KEYS),
     "key_conflict_columns": lambda t: op.key_conflict_columns(t.v_plants, PLANT_KEYS),
     "key_conflict_columns_lineitem": lambda t: op.key_conflict_columns(
@@ -244,33 +345,26 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
     "candidate_key_scan_raw": lambda t: op.candidate_key_scan(
         t.v_prices, PRICE_SETS, dedupe=False
     ),
-    "decompose": lambda t: op.decompose(t.v_categories, PROJECTIONS)["article_category"],
+    "decompose": _decompose,
     "decomposition_summary": lambda t: op.decomposition_summary(
         t.v_categories, PROJECTIONS, PROJECTION_KEYS
     ),
     "entity_counts": lambda t: op.entity_counts(t.v_categories, ["article_id", "category"]),
     # report datasets
-    "scorecard": lambda t: plans.scorecard(
-        completeness=op.completeness(t.v_articles, ARTICLE_FIELDS),
-        uniqueness=op.uniqueness(t.v_articles, ["article_id", "gtin"]),
-        pair_consistency=_pairs(t),
-        unit_consistency=_units(t),
-    ),
+    "scorecard": _panel("scorecard"),
     "traffic_light": lambda t: plans.with_level(
         op.uniqueness(t.v_articles, ARTICLE_FIELDS).select("field", "uniqueness"), "uniqueness"
     ),
-    "panel_completeness": lambda t: plans.panel_completeness(
-        op.completeness(t.v_articles, ARTICLE_FIELDS)
-    ),
-    "panel_consistency": lambda t: plans.panel_consistency(_pairs(t), _units(t)),
-    "panel_prices": lambda t: plans.panel_prices(_prices(t)),
-    "panel_references": lambda t: plans.panel_references(_references(t)),
-    "row_count_notice": lambda t: plans.row_count_notice(
-        _pairs(t), _units(t), op.key_conflicts(t.v_plants, PLANT_KEYS)
-    ),
+    "panel_completeness": _panel("panel_completeness"),
+    "panel_consistency": _panel("panel_consistency"),
+    "panel_prices": _panel("panel_prices"),
+    "panel_references": _panel("panel_references"),
+    "row_count_notice": _panel("row_count_notice"),
     # tables and suites
     "preview": lambda t: sources.preview(t.v_articles, ["name", "article_id"]),
     "suite_metrics": lambda t: sources.metrics_of(_suite(t)),
+    "suite_details": _suite_details,
+    "suite_round_trip": _suite_round_trip,
 }
 
 

@@ -37,9 +37,11 @@ def atomicity_flags(
     """Key columns, ``column`` and ``value`` of each text cell that holds a delimiter.
 
     The keys stand in for a row number, which tables do not have. Flagged cells are
-    candidates for a person to judge. One pass, no shuffle.
+    candidates for a person to judge. One pass, no shuffle. Without keys the cells come
+    alone.
     """
-    check_columns(df, keys)
+    if keys:
+        check_columns(df, keys)
     texts = string_columns(df) if columns is None else check_columns(df, columns)
     ids = [f"\tkey{i}" for i in range(len(keys))]
     if not texts:

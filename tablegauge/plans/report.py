@@ -29,12 +29,17 @@ def scorecard(
     pair_consistency: DataFrame | None = None,
     unit_consistency: DataFrame | None = None,
 ) -> DataFrame:
-    """``kpi, scope, rate, level``: overall completeness, uniqueness of each key,
-    consistency of comparable pairs, and validity of units."""
+    """``kpi, table, scope, rate, level``: overall completeness, uniqueness of each key,
+    consistency of comparable pairs, and validity of units; ``table`` is null for results
+    that name none."""
 
     def card(df: DataFrame, kpi: str, scope: Column, value: str) -> DataFrame:
+        table = F.col("table") if "table" in df.columns else F.lit(None).cast("string")
         return df.select(
-            F.lit(kpi).alias("kpi"), scope.alias("scope"), F.col(value).alias("rate")
+            F.lit(kpi).alias("kpi"),
+            table.alias("table"),
+            scope.alias("scope"),
+            F.col(value).alias("rate"),
         )
 
     cards = []
@@ -68,14 +73,19 @@ def _segments(
     parts: Mapping[str, str],
     whole: Sequence[str],
     overlapping: Sequence[str] = (),
+    **front: Column,
 ) -> DataFrame:
-    """``bar, segment, rows, share, overlapping``; shares are of the sum of ``whole``."""
+    """``bar, segment, rows, share, overlapping``; shares are of the sum of ``whole``.
+
+    ``front``: further columns of every segment.
+    """
     total = reduce(lambda a, b: a + b, [F.col(n) for n in whole])
     return result.select(
         F.inline(
             F.array(
                 *[
                     result_row(
+                        **front,
                         bar=bar,
                         segment=F.lit(name),
                         rows=F.col(column),
@@ -91,7 +101,7 @@ def _segments(
 
 def panel_consistency(pair_consistency: DataFrame, unit_consistency: DataFrame) -> DataFrame:
     """Shares over all joined pairs, not comparable ones included; and valid against
-    invalid units over present values."""
+    invalid units over present values, a bar for each table and column."""
     pairs = _segments(
         pair_consistency,
         F.lit("pairs"),
@@ -107,8 +117,10 @@ def panel_consistency(pair_consistency: DataFrame, unit_consistency: DataFrame)
         F.col("column"),
         {"valid": "valid", "invalid": "invalid"},
         ["valid", "invalid"],
+        table=F.col("table"),
     )
-    return pairs.unionByName(units).drop("overlapping")
+    every = pairs.withColumn("table", F.lit(None).cast("string")).unionByName(units)
+    return every.drop("overlapping")
 
 
 def panel_prices(price_validity: DataFrame) -> DataFrame:
@@ -142,37 +154,27 @@ def panel_references(referential_integrity: DataFrame) -> DataFrame:
 def row_count_notice(
     pair_consistency: DataFrame, unit_consistency: DataFrame, key_conflicts: DataFrame
 ) -> DataFrame:
-    """``mismatch, unit_rows, pair_rows, exact_duplicates, conflicts``.
+    """``table, column, mismatch, unit_rows, pair_rows, exact_duplicates, conflicts``, one
+    row per unit check.
 
-    The two bars of the consistency panel count different rows when duplicates or
-    conflicts were removed before the join; ``mismatch`` says so.
+    A unit check and the pairs count different rows when duplicates or conflicts were
+    removed before the join; ``mismatch`` says so.
     """
-
-    def numbers(df: DataFrame, **values: Column) -> DataFrame:
-        return df.select(
-            F.inline(
-                F.array(
-                    *[result_row(name=F.lit(n), value=v) for n, v in values.items()]
-                )
-            )
-        )
-
-    every = reduce(
-        DataFrame.unionByName,
-        [
-            numbers(unit_consistency, unit_rows=F.col("valid") + F.col("invalid")),
-            numbers(
-                pair_consistency,
-                pair_rows=F.col("consistent") + F.col("inconsistent") + F.col("excluded"),
-            ),
-            numbers(
-                key_conflicts,
-                exact_duplicates=F.col("exact_duplicates"),
-                conflicts=F.col("conflicts"),
-            ),
-        ],
+    unit = F.struct("table", "column", (F.col("valid") + F.col("invalid")).alias("unit_rows"))
+    parts = [
+        unit_consistency.select(unit.alias("unit")),
+        pair_consistency.select(
+            (F.col("consistent") + F.col("inconsistent") + F.col("excluded")).alias("pair_rows")
+        ),
+        key_conflicts.select("exact_duplicates", "conflicts"),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = ("pair_rows", "exact_duplicates", "conflicts")
+    totals = every.agg(F.collect_list("unit").alias("units"), *[F.sum(n).alias(n) for n in sums])
+    return totals.select(F.inline("units"), *sums).select(
+        "table",
+        "column",
+        (F.col("unit_rows") != F.col("pair_rows")).alias("mismatch"),
+        "unit_rows",
+        *sums,
     )
-    names = ("unit_rows", "pair_rows", "exact_duplicates", "conflicts")
-    return every.agg(
-        *[F.sum(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
-    ).select((F.col("unit_rows") != F.col("pair_rows")).alias("mismatch"), *names)

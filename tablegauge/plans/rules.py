@@ -22,14 +22,24 @@ def allowed_values(rules: Mapping[str, Any], allowed: str | Sequence[object]) ->
 
 
 def article_rules(
-    rules: Mapping[str, Any], config: Mapping[str, Any] | None = None
+    rules: Mapping[str, Any],
+    config: Mapping[str, Any] | None = None,
+    *,
+    order_by: Mapping[str, Sequence[Any]] | None = None,
+    keys: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, Any]:
     """Suite rules from a parsed rule file for article master data, in its German keys.
 
     The German keys below are fixed values: they are the format of that file. ``config``
-    holds the on/off flags: ``normalization.check_1nf`` and those under ``extra_checks``. Checks whose flag is absent or false are left out; without a
-    ``config``, every check the rules name is kept.
+    holds the on/off flags: ``normalization.check_1nf`` and those under ``extra_checks``.
+    Checks whose flag is absent or false are left out; without a ``config``, every check
+    the rules name is kept.
+
+    Tables have no row order: ``order_by`` says per table which row of a key is the first;
+    without it ties are broken on all columns, nulls first. ``keys`` names, per table, the
+    columns that stand for a row where its cells are flagged.
     """
+    order_by, row_keys = dict(order_by or {}), dict(keys or {})
 
     def flag(group: str, name: str) -> bool:
         return config is None or bool(config.get(group, {}).get(name))
@@ -60,7 +70,9 @@ def article_rules(
             "keys": keys,
             "pairs": [(pair["grund"], pair["werk"]) for pair in block["vergleichspaare"]],
             "max_deviation": limits["konsistenz_abweichung_max"],
+            "order_by": list(order_by.get(child, ())),
         }
+        row_keys.setdefault(child, keys)
         suite["key_conflicts"] = {"table": child, "keys": keys}
         if flag("extra_checks", "artikel_ohne_werksdaten"):
             suite["missing_children"] = {"parent": parent, "child": child, "keys": keys}
@@ -107,5 +119,5 @@ def article_rules(
     if "validitaet_vokabular" in rules and flag("extra_checks", "validitaet_vokabular"):
         suite["vocabulary_validity"] = vocabularies(rules["validitaet_vokabular"])
     if "atomicity_delimiters" in rules and flag("normalization", "check_1nf"):
-        suite["atomicity"] = {"delimiters": rules["atomicity_delimiters"]}
+        suite["atomicity"] = {"delimiters": rules["atomicity_delimiters"], "keys": row_keys}
     return suite

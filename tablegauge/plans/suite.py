@@ -192,7 +192,7 @@ def _key_level(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dic
         results["missing_children"] = key_checks.missing_children(
             *_parent_and_child(tables, rules["missing_children"])
         )
-    return results
+    return results | _diagnostics(tables, rules, digest)
 
 
 def _parent_and_child(tables, block) -> tuple[DataFrame, DataFrame, str]:
@@ -236,11 +236,53 @@ def _details(tables: Mapping[str, DataFrame], rules: Mapping[str, Any]) -> dict[
         results["missing_children_keys"] = key_checks.missing_children_keys(
             *_parent_and_child(tables, rules["missing_children"])
         )
-    keys = rules.get("atomicity", {}).get("keys", {})
-    for table, columns in keys.items():
-        results[f"atomicity_flags_{table}"] = normal_forms.atomicity_flags(
-            tables[table], rules["atomicity"]["delimiters"], columns
+    if "atomicity" in rules:
+        block = rules["atomicity"]
+        for table, df in tables.items():
+            results[f"atomicity_flags_{table}"] = normal_forms.atomicity_flags(
+                df, block["delimiters"], block.get("keys", {}).get(table, ())
+            )
+    for block in _several(rules.get("repeated_rows", [])):
+        table = block["table"]
+        results[f"repeated_rows_{table}"] = key_checks.repeated_rows(
+            tables[table], block["keys"], block.get("order_by", ())
+        )
+    return results
+
+
+def _diagnostics(
+    tables: Mapping[str, DataFrame], rules: Mapping[str, Any], digest: bool
+) -> dict[str, DataFrame]:
+    """Candidate keys, decompositions and entities, with the table in front."""
+
+    def scan(block: Mapping[str, Any]) -> DataFrame:
+        return normal_forms.candidate_key_scan(
+            tables[block["table"]],
+            block["key_sets"],
+            dedupe=block.get("dedupe", True),
+            digest=digest,
+        )
+
+    def summary(block: Mapping[str, Any]) -> DataFrame:
+        return normal_forms.decomposition_summary(
+            tables[block["table"]], block["projections"], block.get("keys")
         )
+
+    def entities(block: Mapping[str, Any]) -> DataFrame:
+        return normal_forms.entity_counts(tables[block["table"]], block["columns"])
+
+    results = {}
+    for check, run in (
+        ("candidate_key_scan", scan),
+        ("decomposition_summary", summary),
+        ("entity_counts", entities),
+    ):
+        if check in rules:
+            parts = [
+                run(block).select(F.lit(block["table"]).alias("table"), "*")
+                for block in _several(rules[check])
+            ]
+            results[check] = reduce(DataFrame.unionByName, parts)
     return results
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from functools import reduce
 
@@ -33,6 +34,9 @@ _GROUP_OF_CHECK = {
     "atomicity_counts": "normal_forms",
     "atomicity_flags": "normal_forms",
     "candidate_key_scan": "normal_forms",
+    "decomposition_summary": "normal_forms",
+    "entity_counts": "normal_forms",
+    "repeated_rows": "normal_forms",
     "key_conflict_columns": "normal_forms",
     "scorecard": "panels",
     "panel_completeness": "panels",
@@ -146,10 +150,28 @@ def with_result_labels(check: str, result: DataFrame) -> DataFrame:
 
 
 def result_path(base: str, check: str) -> str:
-    group = GROUPS[_GROUP_OF_CHECK.get(check, "checks")]
+    """``base/<group>/<check>``; the results of one table, such as ``atomicity_flags_plants``,
+    go to the group of their check."""
+    of_table = next((g for c, g in _GROUP_OF_CHECK.items() if check.startswith(f"{c}_")), "checks")
+    group = GROUPS[_GROUP_OF_CHECK.get(check, of_table)]
     return f"{base.rstrip('/')}/{group}/{check}"
 
 
+def _schema_path(path: str) -> str:
+    base, _, check = path.rsplit("/", 2)
+    return f"{base}/schemas/{check}"
+
+
+# Text comes back as it was: quotes doubled, line ends inside cells, outer spaces kept.
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "multiLine": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_results(
     results: Mapping[str, DataFrame],
     base: str,
@@ -161,26 +183,40 @@ def write_results(
     """Writes each result to ``base/<group>/<check>``; returns the paths.
 
     Results stay distributed: each is a folder of part files. ``labels`` writes the
-    published column names, ``format="csv"`` adds a header.
+    published column names, ``format="csv"`` adds a header. Names and types of the columns
+    go to ``base/schemas/<check>``, from where :func:`read_results` takes them.
     """
     paths = {}
     for check, result in results.items():
         paths[check] = result_path(base, check)
         writer = (with_result_labels(check, result) if labels else result).write.mode(mode)
         if format == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(**_CSV)
         writer.format(format).save(paths[check])
+        schema = result.sparkSession.createDataFrame([(result.schema.json(),)], "value string")
+        schema.coalesce(1).write.mode("overwrite").text(_schema_path(paths[check]))
     return paths
 
 
 def read_results(
     spark: SparkSession, paths: Mapping[str, str], *, format: str = "parquet"
 ) -> dict[str, DataFrame]:
-    """Results read back from the paths :func:`write_results` returned.
+    """Results read back from the paths :func:`write_results` returned, with the names and
+    types they had, whatever the format and labels.
 
     Dashboard datasets made from these do not compute the checks again.
     """
-    return {check: spark.read.format(format).load(path) for check, path in paths.items()}
+    results = {}
+    for check, path in paths.items():
+        schema = T.StructType.fromJson(
+            json.loads(spark.read.text(_schema_path(path), wholetext=True).first()[0])
+        )
+        reader = spark.read.format(format)
+        if format == "csv":  # by position: the header may hold labels
+            results[check] = reader.options(**_CSV).schema(schema).load(path)
+        else:
+            results[check] = reader.load(path).toDF(*schema.names)
+    return results
 
 
 _FIELD_NAMES = ("field", "column", "columns", "metric", "segment", "kpi")

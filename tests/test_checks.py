@@ -188,3 +188,9 @@ def test_prices(spark, rows):
         ("eur", 1),
         (None, 1),
     ]
+
+
+def test_exact_codes_are_not_negative(spark):
+    df = spark.createDataFrame([(-123456789012,), (1234567890123,), (123456789012,)], "code bigint")
+    assert op.identifier_format(df, "code", 13, pad=False).first().format_invalid == 2
+    assert op.identifier_format(df, "code", 13).first().format_invalid == 0

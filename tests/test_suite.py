@@ -235,7 +235,7 @@ def test_panels_of_a_suite(articles, rows):
     assert len(cards) == 5
     completeness = panels["panel_completeness"].collect()
     assert completeness[-1].field == "Artikelnummer" and completeness[-1].level == "dark_green"
-    assert rows(panels["row_count_notice"]) == [(True, 5, 3, 1, 1)]
+    assert rows(panels["row_count_notice"]) == [("werk", "Mass_Einheit", True, 5, 3, 1, 1)]
     shares = {(r.bar, r.segment): r.share for r in panels["panel_consistency"].collect()}
     assert shares[("pairs", "consistent")] == 2 / 3
     assert shares[("Mass_Einheit", "invalid")] == 1 / 5
@@ -258,7 +258,7 @@ def test_results_are_written_and_read_back(spark, articles, rows, tmp_path):
     back = sources.read_results(spark, paths)
     assert rows(back["completeness"]) == rows(results["completeness"])
     panels = plans.report_panels(back)
-    assert rows(panels["row_count_notice"]) == [(True, 5, 3, 1, 1)]
+    assert rows(panels["row_count_notice"]) == [("werk", "Mass_Einheit", True, 5, 3, 1, 1)]
     assert sources.write_results(panels, str(tmp_path / "out"))["scorecard"].endswith(
         "/out/dashboard/scorecard"
     )
@@ -274,6 +274,47 @@ def test_results_are_written_and_read_back(spark, articles, rows, tmp_path):
     ]
     assert rows(back) == [(5, 1, 1, 3)]
 
+    paths = sources.write_results(results, str(tmp_path / "all"), format="csv", labels=True)
+    back = sources.read_results(spark, paths, format="csv")
+    assert {n: df.columns for n, df in back.items()} == {n: df.columns for n, df in results.items()}
+    panels = plans.report_panels(back)
+    assert rows(panels["row_count_notice"]) == [("werk", "Mass_Einheit", True, 5, 3, 1, 1)]
+    flagged = sources.result_path("/out", "atomicity_flags_werk")
+    assert flagged == "/out/normalisierungsanalyse/atomicity_flags_werk"
+
+
+def test_rule_files_flag_cells(articles):
+    rules = plans.article_rules(
+        ARTICLE_RULES, order_by={"werk": ["Laenge_cm_werk"]}, keys={"grund": ["Artikelnummer"]}
+    )
+    assert rules["pair_consistency"]["order_by"] == ["Laenge_cm_werk"]
+    results = plans.run_suite(articles, rules, details=True)
+    counts = {r.table: r.flagged for r in results["atomicity_counts"].collect()}
+    for table, n in counts.items():
+        assert results[f"atomicity_flags_{table}"].count() == n
+    assert results["atomicity_flags_grund"].columns == ["Artikelnummer", "column", "value"]
+
+
+def test_csv_tokens_and_formats(spark, tmp_path):
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    (folder / "part.csv").write_text("a,b,c,d\n1,1.5,31.12.2020,x\nNA,NA,NA,NA\n3,2,oops,y\n")
+
+    def load(**entry):
+        spec = {"t": {"path": str(folder), **entry}}
+        return sources.load_tables(spark, spec, null_tokens=["NA"])["t"]
+
+    inferred = load()
+    assert [k for _, k in inferred.dtypes] == ["int", "double", "string", "string"]
+    assert inferred.agg({"a": "sum"}).first()[0] == 4
+    options = {"dateFormat": "dd.MM.yyyy"}
+    declared = load(schema="a int, b double, c date, d int", options=options)
+    assert [tuple(map(str, r)) for r in declared.orderBy("b").collect()] == [
+        ("None", "None", "None", "None"),
+        ("1", "1.5", "2020-12-31", "None"),
+        ("3", "2.0", "None", "None"),
+    ]
+
 
 def test_metric_history_replaces_a_run(spark, articles, rows, tmp_path):
     results = plans.run_suite(articles, {"key_conflicts": {"table": "werk", "keys": ["Werk"]}})
