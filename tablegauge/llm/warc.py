@@ -110,6 +110,8 @@ def write_archives(
         .drop("n")
     )
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    # Read back, so that the rows of one very common payload can be split in the join.
+    leaders = Scratch(pages.sparkSession).keep(leaders, "leaders")
     planned = rows.join(leaders.hint("merge"), ["digest", "size"], "left").select(
         "page_id",
         "url",
@@ -268,6 +270,7 @@ def archived_pages(pages: DataFrame, *, min_bytes: int = MIN_BYTES, **parameters
     found = scratch.keep(found, "captures")
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "payload_bytes"))
     originals = found.where("record_type = 'response'").groupBy("payload_digest").agg(first.alias("first"))
+    originals = scratch.keep(originals, "originals")
     is_revisit = F.col("record_type") == "revisit"
     return found.join(originals.hint("merge"), "payload_digest", "left").select(
         "page_id",
