@@ -132,7 +132,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sample(labels: DataFrame, keep: Column, max_labelled: int) -> DataFrame:
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & keep)
-    ids = ids.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    # Hashes are even, so a share of them holds little more than the sample; only that is sorted.
+    share = min(1.0, 1.1 * max_labelled / max(ids.count(), 1))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    ids = ids.where(place < int(share * (1 << 32))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     return ids.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
 
