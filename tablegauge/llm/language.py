@@ -92,10 +92,20 @@ def _count_grams(longest: int):
     return count
 
 
-def _top(counts: DataFrame, unit: str, by: list[str], keep: int) -> DataFrame:
-    """The ``keep`` most frequent of each language (and length), with the language's total."""
-    place = F.row_number().over(W.partitionBy(*by).orderBy(F.col("n").desc(), unit))
-    return counts.withColumn("place", place).where(F.col("place") <= keep).drop("place")
+def _top(counts: DataFrame, by: list[str], keep: int) -> DataFrame:
+    """At most the ``keep`` most frequent of each language (and length).
+
+    The least frequency that still fits comes from how many units have each frequency, in
+    sixteenths of an octave, which are at most 1,024 however large the corpus is. So units
+    themselves are neither sorted nor brought together; those of the step that would exceed
+    ``keep`` are left out together.
+    """
+    counts = counts.withColumn("step", F.floor(F.log2("n") * 16))
+    spread = counts.groupBy(*by, "step").agg(F.count("*").alias("units"))
+    so_far = F.sum("units").over(W.partitionBy(*by).orderBy(F.col("step").desc()))
+    least = spread.withColumn("units", so_far).where(F.col("units") <= keep)
+    least = least.groupBy(*by).agg(F.min("step").alias("least"))
+    return counts.join(least, by).where(F.col("step") >= F.col("least")).drop("least", "step")
 
 
 def fit(labelled: DataFrame, *, entries: int = ENTRIES, longest: int = LONGEST) -> Model:
@@ -118,8 +128,8 @@ def fit(labelled: DataFrame, *, entries: int = ENTRIES, longest: int = LONGEST)
     )
     grams = scratch.keep(grams, "grams")
     gram_totals = {(lang, k): n for lang, k, n in grams.groupBy("lang", "length").agg(F.sum("n")).collect()}
-    best_words = _top(words, "word", ["lang"], each).toPandas()
-    best_grams = _top(grams, "gram", ["lang", "length"], max(1, each // longest)).toPandas()
+    best_words = _top(words, ["lang"], each).toPandas()
+    best_grams = _top(grams, ["lang", "length"], max(1, each // longest)).toPandas()
     scratch.drop("words", "grams")
 
     number = {lang: i for i, lang in enumerate(languages)}
@@ -140,8 +150,10 @@ def word_scores(word: str, model: Model) -> list[float] | None:
     """Log frequency by language; None if nothing of the word is known."""
     if (known := model.words.get(word)) is not None:
         return known
-    for table, grams in zip(reversed(model.grams), reversed(_grams(word, len(model.grams)))):
-        rows = [row for g in grams if (row := table.get(g)) is not None]
+    marked = f" {word} "
+    for n in range(len(model.grams), 0, -1):
+        table = model.grams[n - 1]
+        rows = [row for i in range(len(marked) - n + 1) if (row := table.get(marked[i : i + n])) is not None]
         if rows:
             return [sum(column) / len(rows) for column in zip(*rows)]
     return None
