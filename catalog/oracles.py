@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.views import with_views
+from catalog.views import TABLES, with_views
 
 # How a present value is told from a missing one, per column of the article view.
 _BLANK = {
@@ -331,16 +331,45 @@ def _long(check: str, sql: str, metrics: list[str], field: str, table: str) -> s
 _NO_FIELD = "CAST(NULL AS VARCHAR)"
 
 
+def _prices_long() -> str:
+    metrics = [
+        "total",
+        "sentinel",
+        "out_of_range",
+        "bad_currency",
+        "invalid",
+        "invalid_rate",
+        "valid",
+        "valid_rate",
+    ]
+    return _long("price_validity", _PRICES, metrics, _NO_FIELD, "'prices'")
+
+
+def _plausible_long() -> str:
+    metrics = [
+        "maximum",
+        "total",
+        "missing",
+        "too_low",
+        "too_high",
+        "implausible",
+        "implausible_rate",
+        "plausible",
+        "plausible_rate",
+    ]
+    sql = _plausible("articles", "v_articles", ["length_cm", "width_cm", "height_cm"], 200)
+    return _long("plausible_range", sql, metrics, "columns", '"table"')
+
+
+def _articles_long() -> str:
+    sql = _completeness("v_articles", _MISSING)
+    return _long("completeness", sql, ["missing", "completeness"], "field", "'articles'")
+
+
 def _suite_metrics() -> str:
     vocabulary = ["total", "missing", "valid", "valid_rate", "invalid", "invalid_rate"]
     parts = [
-        _long(
-            "completeness",
-            _completeness("v_articles", _MISSING),
-            ["missing", "completeness"],
-            "field",
-            "'articles'",
-        ),
+        _articles_long(),
         _long(
             "completeness",
             _PRICE_FIELDS,
@@ -379,23 +408,7 @@ def _suite_metrics() -> str:
             '"column"',
             '"table"',
         ),
-        _long(
-            "plausible_range",
-            _plausible("articles", "v_articles", ["length_cm", "width_cm", "height_cm"], 200),
-            [
-                "maximum",
-                "total",
-                "missing",
-                "too_low",
-                "too_high",
-                "implausible",
-                "implausible_rate",
-                "plausible",
-                "plausible_rate",
-            ],
-            "columns",
-            '"table"',
-        ),
+        _plausible_long(),
         _long(
             "identifier_format",
             _identifier("length(CAST(gtin AS VARCHAR)) > 13"),
@@ -414,22 +427,7 @@ def _suite_metrics() -> str:
             '"column"',
             '"table"',
         ),
-        _long(
-            "price_validity",
-            _PRICES,
-            [
-                "total",
-                "sentinel",
-                "out_of_range",
-                "bad_currency",
-                "invalid",
-                "invalid_rate",
-                "valid",
-                "valid_rate",
-            ],
-            _NO_FIELD,
-            "'prices'",
-        ),
+        _prices_long(),
         _long(
             "referential_integrity",
             _references("v_categories", "article_id", "customer", "c_custkey"),
@@ -867,6 +865,8 @@ _ORACLES |= {
     "completeness_wide": _wide(),
     "suite_details": _suite_details(),
     "suite_round_trip": _suite_round_trip(),
+    "suite_of_rule_file": _union([_articles_long(), _prices_long(), _plausible_long()]),
+    "declared_tables": _union(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES),
 }
 
 

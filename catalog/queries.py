@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.views import Inputs
+from catalog.views import TABLES, Inputs
 from tablegauge import operators as op
 from tablegauge import plans, sources
 
@@ -168,6 +168,42 @@ def _null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables["customer"]
 
 
+def _declared_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table of the folder, which must hold just the declared ones."""
+    tables = sources.load_tables(spark, {n: f"{n}.parquet" for n in TABLES}, folder=sf_dir)
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+# A rule file in its German keys, and flags that switch one of its checks off.
+GERMAN_RULES = {
+    "vokabulare": {"waehrung": CURRENCIES},
+    "pflichtfelder": {"articles": ARTICLE_FIELDS},
+    "schwellenwerte": {"preis_min": 0.10, "preis_max": 999.99},
+    "preisvalidierung": {
+        "tabelle": "prices",
+        "uvp_spalte": "price",
+        "waehrung_spalte": "currency",
+        "sentinel_werte": SENTINEL_PRICES,
+        "gueltige_werte": "vokabulare.waehrung",
+    },
+    "plausibilitaet_masse": [
+        {
+            "tabelle": "articles",
+            "spalten": ["length_cm", "width_cm", "height_cm"],
+            "implausibel_max": 200,
+        }
+    ],
+    "gtin_check": {"tabelle": "articles", "spalte": "gtin", "laenge": 13},
+}
+FLAGS = {"extra_checks": {"plausibilitaet_masse": True, "gtin_format": False}}
+
+
+def _german_suite(t: Inputs) -> DataFrame:
+    rules = plans.article_rules(GERMAN_RULES, FLAGS) | {"overview": False}
+    return sources.metrics_of(plans.run_suite(_tables(t), rules))
+
+
 def _suite(t: Inputs, **options) -> dict[str, DataFrame]:
     return plans.run_suite(_tables(t), SUITE_RULES, **options)
 
@@ -364,10 +400,11 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
     "preview": lambda t: sources.preview(t.v_articles, ["name", "article_id"]),
     "suite_metrics": lambda t: sources.metrics_of(_suite(t)),
     "suite_details": _suite_details,
+    "suite_of_rule_file": _german_suite,
     "suite_round_trip": _suite_round_trip,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _on(query) for name, query in QUERIES_BY_NAME.items()}
-    return found | {"null_tokens": _null_tokens}
+    return found | {"null_tokens": _null_tokens, "declared_tables": _declared_tables}
