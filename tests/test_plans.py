@@ -120,3 +120,23 @@ def test_conflicts_shuffle_whole_rows_twice(spark, no_broadcast):
         assert exchanges(found) == 4
     plan = plan_of(op.key_conflict_columns(t.lineitem, keys))
     assert plan.count("PushedFilters: [IsNotNull(l_orderkey), IsNotNull(l_linenumber)]") == 2
+
+
+def test_a_hot_conflicting_key_is_split(spark, no_broadcast):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(40_000, numPartitions=8).selectExpr("IF(id % 2 = 0, 7, id % 5000) AS k", "id AS v")
+        for find in (op.key_conflict_rows, op.key_conflict_columns):
+            found = find(df, ["k"])
+            assert len(found.collect()) == 40_000
+            assert "skew=true" in plan_of(found)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
