@@ -7,12 +7,13 @@ source's rate, and one time more with the fractional part as its inclusion proba
 Those draws are balanced: the flight phase moves the probabilities of three documents at a
 time along the null space of the two constraints (size and number of documents), until one
 of them is 0 or 1. Blocks of a source fly in parallel and leave at most two undecided
-documents each, which meet in the next level's blocks; when one block is left per source,
-at most two documents remain to land, where the outcome nearest to the target is taken. The
-largest documents of a block fly first, so those left to land are small.
+documents each, which meet in the next level's blocks; the largest documents of a block fly
+first, so those left are small. When one block is left per source, its flight ends with
+``LANDING`` documents, and of all their outcomes the one nearest to the target, in words and
+in documents, is taken.
 
 Draws depend on the seed, the id and the size alone, so reruns agree. Blocks hold about
-``BLOCK`` documents whatever a source's size, and a task holds three documents at a time.
+``BLOCK`` documents whatever a source's size, and a task holds a few documents at a time.
 
 Defined results: a null text has size 0, is never drawn for its size and takes 0; a null
 source is a source of its own; rows repeated in full are told apart arbitrarily, which can
@@ -24,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ from tablegauge.llm.work import Scratch, ranked
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BLOCK = 512
+LANDING = 12  # documents per source whose outcomes are compared at the end
 FAN = 128  # blocks of one level that meet in one block of the next
 EPS = 1e-9
 
@@ -87,20 +90,13 @@ def _flight(units: list, rng_seed: int) -> None:
             u[2] = 1.0
 
 
-def _land(units: list, gap: tuple[float, float]) -> None:
-    """Decides the last units so that size, then number, come nearest to the target.
-
-    ``gap`` is what rounding in flight has left: the target less the decided amounts.
-    """
-    best = None
-    for mask in range(1 << len(units)):
-        taken = [mask >> i & 1 for i in range(len(units))]
-        off = sum(u[1] * (u[2] - t) for u, t in zip(units, taken)) + gap[0]
-        docs = sum(u[2] - t for u, t in zip(units, taken)) + gap[1]
-        if best is None or (abs(off), abs(docs)) < best[:2]:
-            best = (abs(off), abs(docs), taken)
-    for u, t in zip(units, best[2] if best else []):
-        u[2] = float(t)
+def _land(units: list) -> None:
+    """Decides the last units so that words and documents come nearest to what is due."""
+    size, p = (np.array([u[i] for u in units], dtype=float) for i in (1, 2))
+    outcomes = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    off = np.abs(outcomes @ size - size @ p) + np.abs(outcomes.sum(axis=1) - p.sum())
+    for u, taken in zip(units, outcomes[np.argmin(off)]):
+        u[2] = float(taken)
 
 
 def _fly(units: DataFrame, last: bool, seed: int) -> DataFrame:
@@ -108,6 +104,7 @@ def _fly(units: DataFrame, last: bool, seed: int) -> DataFrame:
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["row", "source", "block", "size", "h", "p"]
+        most = LANDING if last else 2
         held: list = []
         key = None
         for frame in frames:
@@ -115,7 +112,7 @@ def _fly(units: DataFrame, last: bool, seed: int) -> DataFrame:
 
             def flush() -> None:
                 if last:
-                    _land(held, (0.0, 0.0))
+                    _land(held)
                 out.extend((u[0], *key, u[1], u[3], u[2]) for u in held)
                 held.clear()
 
@@ -125,9 +122,9 @@ def _fly(units: DataFrame, last: bool, seed: int) -> DataFrame:
                         flush()
                     key = (source, block)
                 held.append([row, size, p, h])
-                if len(held) == 3:
-                    _flight(held, seed)
-                    for u in [u for u in held if u[2] in (0.0, 1.0)]:
+                if len(held) > most:
+                    _flight(held[:3], seed)
+                    for u in [u for u in held[:3] if u[2] in (0.0, 1.0)]:
                         out.append((u[0], *key, u[1], u[3], u[2]))
                         held.remove(u)
             yield pd.DataFrame(out, columns=names)
@@ -136,9 +133,11 @@ def _fly(units: DataFrame, last: bool, seed: int) -> DataFrame:
             flush()
             yield pd.DataFrame(out, columns=names)
 
+    # Landing documents are of all sizes, so that their outcomes fill any gap.
+    order = ["h", "size", "row"] if last else [F.col("size").desc(), "h", "row"]
     return (
         units.repartition("source", "block")
-        .sortWithinPartitions("source", "block", F.col("size").desc(), "h", "row")
+        .sortWithinPartitions("source", "block", *order)
         .mapInPandas(walk, "row long, source string, block long, size long, h long, p double")
     )
 
