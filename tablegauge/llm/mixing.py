@@ -195,7 +195,9 @@ def mixed_rows(
         .select("row", "source", "size", "h", "p", "docs")
     )
     drawn = balanced_sample(units, scratch, seed)
-    return rated.join(drawn.select("row", F.col("p").cast("long").alias("once_more")), "row", "left").select(
+    # A merge join at every size: draws are as many as documents.
+    drawn = drawn.select("row", F.col("p").cast("long").alias("once_more")).hint("merge")
+    return rated.join(drawn, "row", "left").select(
         "doc_id",
         "size",
         "source_size",
