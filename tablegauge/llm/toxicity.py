@@ -2,16 +2,21 @@
 
 Words (runs of letters, in lower case) get log-odds of toxic against clean labelled
 documents under Dirichlet priors that follow the word's frequency in the whole corpus
-(Monroe et al., 2008); a word counts once per document. Only words whose log-odds are
-significant keep them; every word costs a small gap penalty besides. One linear scan finds
+(Monroe et al., 2008); a word counts once per document. No word is cut: weak log-odds shrink
+towards those of similar words by empirical Bayes. A word's character n-grams pool the words
+that share them (a random-effects mean, each word weighing at most 1); the word's strongest
+n-gram, without the word's own part, says what to expect of it, and how far its own log-odds
+move it from there is the posterior mean under a spike and a normal slab. Words without a
+label score as their n-grams say. Every word costs a small gap penalty besides. One linear scan finds
 all maximal scoring segments of a document (Ruzzo and Tompa, 1999). Their scores follow an
 extreme-value law whose scale is solved from the word frequencies of clean text (Karlin and
 Altschul, 1990); the segments' normalised scores add up, each less the logarithm of the
 document's length, and a logistic curve turns the sum into a probability.
 
 Labels come from a sample of at most ``max_labelled`` labelled documents, chosen by hash:
-that bounds what is broadcast. Corpus frequencies cover every document. The model keeps at
-most ``max_words`` words.
+that bounds what is broadcast. Corpus frequencies cover every document. Scores are rounded to
+hundredths; the model lists the labelled words and n-grams whose scores that leaves different
+from what an unlisted one gets.
 
 Defined results: null and empty texts and texts without letters have no passage and the
 score of such documents; repeated labels of one id count as toxic if any of them is; null
@@ -23,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,13 @@ from tablegauge.llm.work import Scratch
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_LABELLED = 50_000
-MAX_WORDS = 20_000
 PRIOR = 0.2  # weight of the prior, as a share of the labelled words
-MIN_Z = 4.0
+SHORTEST, LONGEST = 3, 6  # characters of an n-gram
+FIXED = 1_000_000  # sums over words are whole numbers, so that they don't depend on their order
 GAP = 0.3  # cost of every word, so that clean text scores below zero on average
 FLUSH = 200_000  # words a task counts before it passes them on
 THRESHOLD = 0.3
+REMEMBERED = 200_000  # unlisted words whose scores a task keeps
 
 
 @dataclass
@@ -49,6 +55,7 @@ class Model:
     rate: float  # lambda of the extreme-value law
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)  # without a passage; slope and offset with one
     gap: float = GAP
+    grams: dict[str, tuple[int, int, float]] = field(default_factory=dict)  # sums, share that shrinking leaves
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -72,19 +79,58 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, end - start) for a, b, start, end, _ in found]
 
 
-def passages(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
+def _grams(word: str) -> set[str]:
+    """The character n-grams; a space marks the word's ends."""
+    marked = f" {word} "
+    return {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
+
+
+def _own(odds: float, variance: float) -> tuple[int, int]:
+    """A word's part in the sums of its n-grams: weighted log-odds, and weight."""
+    weight = 1 / (variance + 1)
+    return round(odds * weight * FIXED), round(weight * FIXED)
+
+
+def _expected(word: str, grams: dict[str, tuple[int, int, float]], own: tuple[int, int] = (0, 0)) -> float:
+    """What the strongest n-gram says of a word, without the word's ``own`` part."""
+    best = (0.0, 0.0)
+    for gram in _grams(word):
+        if (known := grams.get(gram)) is not None:
+            total, weight = known[0] - own[0], known[1] - own[1]
+            if weight > 0:
+                best = max(best, (abs(total) / weight**0.5, known[2] * total / weight))
+    return best[1]
+
+
+def word_score(word: str, model: Model, remembered: dict[str, float]) -> float:
+    if (known := model.words.get(word)) is not None:
+        return known
+    if not model.grams:
+        return 0.0
+    if (score := remembered.get(word)) is None:
+        if len(remembered) >= REMEMBERED:
+            remembered.clear()
+        score = remembered[word] = round(_expected(word, model.grams), 2)
+    return score
+
+
+def passages(text: str, model: Model, remembered: dict | None = None) -> tuple[int, list[tuple[int, int, float]]]:
     """The number of words, and the positive segments as (start, end, score) in code points."""
+    remembered = {} if remembered is None else remembered
     low = text.lower()
     words = LETTERS.findall(low)
-    weights = model.words
-    if weights.keys().isdisjoint(words):
+    weights = {w: word_score(w, model, remembered) for w in set(words)}
+    if max(weights.values(), default=0.0) <= model.gap:
         return len(words), []
     if len(low) != len(text):  # a few letters change their length: keep the places of the text
         low = text
     scores, spans, neutral = [], [], 0
     for match in LETTERS.finditer(low):
-        s = weights.get(match[0] if low is not text else match[0].lower())
+        word = match[0] if low is not text else match[0].lower()
+        s = weights.get(word)
         if s is None:
+            s = word_score(word, model, remembered)
+        if s == 0:
             neutral += 1
             continue
         if neutral:
@@ -139,6 +185,104 @@ def _sample(labels: DataFrame, keep: Column, max_labelled: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
 
+def _shrink(odds, variance, prior: tuple[float, float]):
+    """Posterior mean of log-odds that are 0, or with a share ``prior[0]`` normal with variance ``prior[1]``."""
+    share, slab = prior
+    against = np.exp(np.clip(-(odds**2) * slab / (2 * variance * (variance + slab)), -700, 0))
+    against = against * np.sqrt((variance + slab) / variance) * (1 - share) / share
+    return odds * slab / (variance + slab) / (1 + against)
+
+
+def _prior(scored: DataFrame, slab: float | None = None) -> tuple[float, float]:
+    """Share and variance of log-odds other than 0, by expectation and maximisation over
+    ``odds`` and ``variance`` in bins; ``slab``: a given variance."""
+    bins = scored.select(
+        F.round("odds", 1).alias("odds"), F.round(F.log("variance"), 1).alias("variance")
+    ).groupBy("odds", "variance").count()
+    bins = np.array(sorted(tuple(b) for b in bins.collect()), dtype=float).reshape(-1, 3)
+    if not len(bins):
+        return 1e-6, 1.0
+    odds, variance, n = bins[:, 0], np.exp(bins[:, 1]), bins[:, 2]
+    share, fixed, slab = 0.01, slab is not None, 1.0 if slab is None else slab
+    for _ in range(100):
+        with_slab = np.exp(-(odds**2) / 2 / (variance + slab)) / np.sqrt(variance + slab) * share
+        without = np.exp(-(odds**2) / 2 / variance) / np.sqrt(variance) * (1 - share)
+        p = n * with_slab / np.maximum(with_slab + without, 1e-300)
+        square = (odds * slab / (variance + slab)) ** 2 + slab * variance / (variance + slab)
+        share = float(np.clip(p.sum() / n.sum(), 1e-6, 0.5))
+        slab = slab if fixed else float(max((p * square).sum() / max(p.sum(), 1e-9), 0.05))
+    return share, slab
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the words' parts by n-gram: gram, total, weight."""
+    sums: dict[str, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        columns = [list(sums), [v[0] for v in sums.values()], [v[1] for v in sums.values()]]
+        sums.clear()
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "total", "weight"])
+
+    for batch in batches:
+        for word, odds, variance in zip(*(c.to_pylist() for c in batch.columns)):
+            total, weight = _own(odds, variance)
+            for gram in _grams(word):
+                both = sums.setdefault(gram, [0, 0])
+                both[0] += total
+                both[1] += weight
+            if len(sums) > FLUSH:
+                yield flush()
+    yield flush()
+
+
+def _learn(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, tuple[int, int, float]]]:
+    """Scores of the labelled words from ``odds`` and ``variance``, and the n-grams by which
+    other words score: columns ``word``, ``n``, ``clean``, ``score``, ``expected`` (unlisted)."""
+    prior = _prior(scored)
+    pooled = scored.select("word", "odds", "variance").mapInArrow(_pool, "gram string, total long, weight long")
+    pooled = pooled.groupBy("gram").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    pooled = scratch.keep(
+        pooled.where("weight > 0")
+        .withColumn("odds", F.col("total") / F.col("weight"))
+        .withColumn("variance", F.lit(float(FIXED)) / F.col("weight")),
+        "grams",
+    )
+    gram_prior = _prior(pooled, slab=1.0)
+
+    def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odds, variance = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            score = _shrink(odds, variance, gram_prior)
+            kept = np.divide(score, odds, out=np.zeros_like(odds), where=odds != 0)
+            listed = pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(kept, pa.float64())], ["gram", "total", "weight", "kept"]
+            )
+            yield listed.filter(pa.array(np.round(score, 2) != 0))
+
+    listed = pooled.mapInArrow(shrunk, "gram string, total long, weight long, kept double").toPandas()
+    grams = dict(zip(listed.gram, zip(listed.total.tolist(), listed.weight.tolist(), listed.kept.tolist())))
+    shared = scored.sparkSession.sparkContext.broadcast(grams)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = shared.value
+        for batch in batches:
+            words, odds, variance = (batch.column(k).to_pylist() for k in range(3))
+            expected = np.array([_expected(w, grams, _own(o, v)) for w, o, v in zip(words, odds, variance)])
+            odds, variance = np.array(odds, dtype=float), np.array(variance, dtype=float)
+            found = np.round(expected + _shrink(odds - expected, variance, prior), 2)
+            unlisted = np.array([round(_expected(w, grams), 2) for w in words], dtype=float)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[3:], pa.array(found, pa.float64()), pa.array(unlisted, pa.float64())],
+                ["word", "n", "clean", "score", "expected"],
+            )
+
+    scores = scored.select("word", "odds", "variance", "n", "clean").mapInArrow(
+        score, "word string, n long, clean long, score double, expected double"
+    )
+    return scratch.keep(scores, "scores"), grams
+
+
 def _scale(scores: np.ndarray, share: np.ndarray, gap: float) -> float:
     """lambda with sum(p * exp(lambda * score)) = 1 over clean text; the rest scores -gap."""
     rest = max(1.0 - share.sum(), 0.0)
@@ -186,9 +330,7 @@ def fit(
     *,
     keep: Column | None = None,
     max_labelled: int = MAX_LABELLED,
-    max_words: int = MAX_WORDS,
     prior: float = PRIOR,
-    min_z: float = MIN_Z,
     gap: float = GAP,
 ) -> Model:
     """Learns from the labels (``doc_id``, ``toxic``); ``keep``: a condition on their ``id``."""
@@ -210,17 +352,17 @@ def fit(
             F.log((F.col(c) + share) / (F.lit(size + weight) - F.col(c) - share))
             for c, size in (("toxic", toxic), ("clean", clean))
         ]
-        deviation = F.sqrt(1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share))
-        scored = (
-            words.where("toxic + clean > 0")
-            .select("word", (odds[0] - odds[1]).alias("odds"), deviation.alias("deviation"), share.alias("a"), "clean")
-            .withColumn("z", F.col("odds") / F.col("deviation"))
-            .where(F.abs("z") >= min_z)
+        variance = 1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share)
+        scored = words.where("toxic + clean > 0").select(
+            "word", (odds[0] - odds[1]).alias("odds"), variance.alias("variance"), "n", "clean"
         )
-        best = scored.orderBy(F.abs("z").desc(), "word").limit(max_words).toPandas()
-        model.words = dict(zip(best.word, best.odds))
-        null = ((best.clean + best.a) / (clean + weight)).to_numpy(dtype=float)
-        model.rate = _scale(best.odds.to_numpy(dtype=float), null, gap)
+        scores, model.grams = _learn(scratch.keep(scored, "scored"), scratch)
+        best = scores.where("score != expected").select("word", "score").toPandas()
+        model.words = dict(zip(best.word, best.score.tolist()))
+        null = scores.where("score != 0").groupBy("score").agg(F.sum("clean"), F.sum("n")).collect()
+        null = np.array(sorted(tuple(r) for r in null), dtype=float).reshape(-1, 3)
+        model.rate = _scale(null[:, 0], (null[:, 1] + null[:, 2] * (weight / total)) / (clean + weight), gap)
+        scratch.drop("scored", "grams", "scores")
     known = rows.join(F.broadcast(sample), "id").select("toxic", "text")
     found = scored_rows(known, model, ["toxic"]).select(
         F.round("evidence", 1).alias("evidence"), "toxic"
@@ -236,12 +378,12 @@ def scored_rows(rows: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, remembered = shared.value, {}
         passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             seen, score, spans = [], [], []
             for text in batch.column(0):
-                n, found = passages(text.as_py() or "", model)
+                n, found = passages(text.as_py() or "", model, remembered)
                 seen.append(evidence(n, found, model.rate))
                 score.append(probability(seen[-1], model.curve))
                 limit = np.log(max(n, 2))  # an expected number of chance segments below one

@@ -130,6 +130,19 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == 200 + len(ROWS)
 
 
+def test_toxic_words_of_a_rarely_labelled_language(spark):
+    """Its toxic words are rare one by one; new ones share only their stem with those labelled."""
+    ends = [a + b for a in "bdfgklmnprst" for b in ("ato", "eno", "iro", "ula")]
+    clean = [(i, " ".join(f"c{e}{ends[(i * k + 7) % 48]}" for k, e in enumerate(ends[i % 5 :: 5])), "es", "a") for i in range(300)]
+    toxic = [(1000 + i, f"c{ends[i]} " + " ".join(f"zomente{ends[(i * 5 + k) % 48]}" for k in range(4)), "es", "b") for i in range(24)]
+    new = [(2000 + i, f"c{ends[i]} zomente{ends[i]}xi zomente{ends[i]}or cato zomente{ends[i]}ud", "es", "b") for i in range(9)]
+    train = labels(spark, [(r[0], 1, 0) for r in clean] + [(r[0], 0, 1) for r in toxic])
+    docs = documents(spark, clean + toxic + new)
+    model = toxicity.fit(docs, train)
+    rows = toxicity.toxicity(docs, model).collect()
+    assert {r.doc_id for r in rows if r.predicted} == {r[0] for r in toxic + new}
+
+
 def test_maximal_segments():
     scores = [4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]
     assert toxicity.maximal_segments(scores) == [(0, 0, 4), (2, 2, 3), (4, 10, 7)]
