@@ -145,6 +145,21 @@ def test_toxicity_of_held_out_documents(spark):
     assert hit > 0.8 * (out.toxic == 1).sum() and hit > 0.9 * (out.predicted == 1).sum()
 
 
+def test_pipeline_rejects_toxic_documents_of_every_language(spark):
+    """The toxicity stage against the labels, not against its own model."""
+    folder = "/root/testdata/sf0.1"
+    docs, given = (pd.read_parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    stage = dict(corpus_pipeline.STAGES)["toxicity"]
+    clean = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    kept = {r.doc_id for r in clean.select("doc_id").collect()}
+    known = docs.merge(given.groupby("doc_id", as_index=False).toxic.max())
+    known["rejected"] = ~known.doc_id.isin(kept)
+    for lang, rows in known.groupby("lang"):
+        caught = (rows.rejected & (rows.toxic == 1)).sum()
+        print(lang, caught, (rows.toxic == 1).sum(), rows.rejected.sum())
+        assert caught > 0.5 * (rows.toxic == 1).sum() and caught > 0.8 * rows.rejected.sum(), lang
+
+
 def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     """Each stage against brute force on what its predecessor kept."""
     from tablegauge.llm import toxicity
