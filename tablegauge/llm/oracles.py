@@ -112,5 +112,44 @@ FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source
 """
 
 
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)))),
+             4294967295)"""
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS m,
+         row_number() OVER (
+           PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+         ) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list(m ORDER BY place) AS own, {CRC32.format(text="conv_id::VARCHAR")} % 6 AS h FROM t GROUP BY conv_id
+), c AS (
+  SELECT o.conv_id, coalesce(s.own[1:o.h], []) || o.own[o.h + 1:] AS seq
+  FROM o LEFT JOIN o AS s ON s.conv_id = o.conv_id - o.conv_id % 100
+), p AS (
+  SELECT conv_id, seq[1:depth] AS node, depth, depth = len(seq) AS ends
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM c)
+), n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM p GROUP BY node, depth
+), k AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), v AS (
+  SELECT n.node, n.depth, coalesce(n_children, 0) AS n_children,
+         CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.node[n.depth].text) ELSE 0 END AS saved
+  FROM n LEFT JOIN k ON n.node = k.node
+), s AS (
+  SELECT node[1:d] AS node, sum(saved)::BIGINT AS saved_tokens, sum((n_children = 0)::INT)::BIGINT AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, v.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN v ON v.node = n.node JOIN s ON s.node = n.node
+LEFT JOIN n AS u ON n.depth > 0 AND u.node = n.node[1:n.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_secrets": OP3, "op9_quality": OP9}
+    return {"op2_exact_dedup": OP2, "op3_secrets": OP3, "op9_quality": OP9, "op12_prefix_trie": OP12}

@@ -12,6 +12,7 @@ from tablegauge.llm import (
     language,
     mixing,
     packing,
+    prefix_trie,
     quality,
     secrets,
     simhash,
@@ -84,6 +85,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language,
@@ -96,5 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_quality,
         op10_warc,
+        op12_prefix_trie,
     ]
     return {f.__name__: f for f in found}

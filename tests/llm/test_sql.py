@@ -21,7 +21,8 @@ def canonical(rows, columns):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df = queries()[name](spark, SF_DIR)
     result = con.execute(oracle_sql()[name])
     names = [d[0] for d in result.description]
