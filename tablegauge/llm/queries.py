@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablegauge.llm import (
     exact_dedup,
     language,
+    licenses,
     mixing,
     packing,
     prefix_trie,
@@ -89,6 +90,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language,
@@ -102,5 +107,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_quality,
         op10_warc,
         op12_prefix_trie,
+        op13_licenses,
     ]
     return {f.__name__: f for f in found}
