@@ -91,56 +91,88 @@ def _own(odds: float, variance: float) -> tuple[int, int]:
     return round(odds * weight * FIXED), round(weight * FIXED)
 
 
-def _expected(word: str, grams: dict[str, tuple[int, int, float]], own: tuple[int, int] = (0, 0)) -> float:
-    """What the strongest n-gram says of a word, without the word's ``own`` part."""
-    best = (0.0, 0.0)
-    for gram in _grams(word):
-        if (known := grams.get(gram)) is not None:
-            total, weight = known[0] - own[0], known[1] - own[1]
+def _automaton(grams: dict[str, tuple[int, int, float]]):
+    """Finds all n-grams of a word at once; its values are n-grams with strength and log-odds."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for gram, (total, weight, kept) in grams.items():
+        automaton.add_word(gram, ((abs(total) / weight**0.5, kept * total / weight), total, weight, kept))
+    automaton.make_automaton()
+    return automaton
+
+
+def _expected(word: str, automaton, own: tuple[int, int]) -> tuple[float, float]:
+    """What the strongest n-gram says of a word, and what it says without the word's ``own`` part."""
+    listed = free = (0.0, 0.0)
+    if len(automaton):
+        for _, (whole, total, weight, kept) in automaton.iter(f" {word} "):
+            listed = max(listed, whole)
+            total, weight = total - own[0], weight - own[1]
             if weight > 0:
-                best = max(best, (abs(total) / weight**0.5, known[2] * total / weight))
-    return best[1]
+                free = max(free, (abs(total) / weight**0.5, kept * total / weight))
+    return listed[1], free[1]
 
 
-def word_score(word: str, model: Model, remembered: dict[str, float]) -> float:
-    if (known := model.words.get(word)) is not None:
-        return known
-    if not model.grams:
-        return 0.0
-    if (score := remembered.get(word)) is None:
-        if len(remembered) >= REMEMBERED:
-            remembered.clear()
-        score = remembered[word] = round(_expected(word, model.grams), 2)
-    return score
+class Scores(dict):
+    """Scores of words: the listed ones, and others as their n-grams say, worked out once."""
 
+    def __init__(self, words: dict[str, float], grams: dict[str, tuple[int, int, float]]):
+        super().__init__(words)
+        self.words, self.automaton = words, _automaton(grams)
 
-def passages(text: str, model: Model, remembered: dict | None = None) -> tuple[int, list[tuple[int, int, float]]]:
-    """The number of words, and the positive segments as (start, end, score) in code points."""
-    remembered = {} if remembered is None else remembered
+    def __missing__(self, word: str) -> float:
+        best = (0.0, 0.0)
+        if len(self.automaton):
+            for _, (whole, *_) in self.automaton.iter(f" {word} "):
+                if whole > best:
+                    best = whole
+        score = self[word] = round(best[1], 2)
+        return score
+
+    def trim(self) -> None:
+        """Forgets all but the listed words where many others have come up."""
+        if len(self) > len(self.words) + REMEMBERED:
+            self.clear()
+            self.update(self.words)
+
+
+def segments(text: str, scores: Scores, gap: float) -> tuple[int, list[tuple[int, int, float]]]:
+    """The number of words, and the positive segments as (first word, last word, score); words are
+    those of :func:`words_in_place`."""
     low = text.lower()
     words = LETTERS.findall(low)
-    weights = {w: word_score(w, model, remembered) for w in set(words)}
-    if max(weights.values(), default=0.0) <= model.gap:
+    found = list(map(scores.__getitem__, words))
+    if max(found, default=0.0) <= gap:
         return len(words), []
-    if len(low) != len(text):  # a few letters change their length: keep the places of the text
-        low = text
-    scores, spans, neutral = [], [], 0
-    for match in LETTERS.finditer(low):
-        word = match[0] if low is not text else match[0].lower()
-        s = weights.get(word)
-        if s is None:
-            s = word_score(word, model, remembered)
+    if len(low) != len(text):
+        found = [scores[w.lower()] for w in LETTERS.findall(text)]
+    weights, places, neutral = [], [], 0
+    for i, s in enumerate(found):
         if s == 0:
             neutral += 1
             continue
         if neutral:
-            scores.append(-model.gap * neutral)
-            spans.append(None)
+            weights.append(-gap * neutral)
+            places.append(None)
             neutral = 0
-        scores.append(s - model.gap)
-        spans.append(match.span())
-    found = maximal_segments(scores)
-    return len(words), [(spans[a][0], spans[b][1], s) for a, b, s in found]
+        weights.append(s - gap)
+        places.append(i)
+    return len(words), [(places[a], places[b], s) for a, b, s in maximal_segments(weights)]
+
+
+def words_in_place(text: str) -> list[tuple[int, int]]:
+    """Start and end of every word, in the text itself: a few letters change their length in
+    lower case."""
+    low = text.lower()
+    return [m.span() for m in LETTERS.finditer(low if len(low) == len(text) else text)]
+
+
+def passages(text: str, model: Model, scores: Scores | None = None) -> tuple[int, list[tuple[int, int, float]]]:
+    """The number of words, and the positive segments as (start, end, score) in code points."""
+    n, found = segments(text, Scores(model.words, model.grams) if scores is None else scores, model.gap)
+    spans = words_in_place(text) if found else []
+    return n, [(spans[a][0], spans[b][1], s) for a, b, s in found]
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], rate: float) -> float | None:
@@ -265,13 +297,14 @@ def _learn(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, tu
     shared = scored.sparkSession.sparkContext.broadcast(grams)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.value
+        automaton = _automaton(shared.value)
         for batch in batches:
             words, odds, variance = (batch.column(k).to_pylist() for k in range(3))
-            expected = np.array([_expected(w, grams, _own(o, v)) for w, o, v in zip(words, odds, variance)])
+            both = [_expected(w, automaton, _own(o, v)) for w, o, v in zip(words, odds, variance)]
+            listed, expected = np.array(both, dtype=float).reshape(-1, 2).T
             odds, variance = np.array(odds, dtype=float), np.array(variance, dtype=float)
             found = np.round(expected + _shrink(odds - expected, variance, prior), 2)
-            unlisted = np.array([round(_expected(w, grams), 2) for w in words], dtype=float)
+            unlisted = np.array([round(x, 2) for x in listed.tolist()], dtype=float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[3:], pa.array(found, pa.float64()), pa.array(unlisted, pa.float64())],
                 ["word", "n", "clean", "score", "expected"],
@@ -375,20 +408,26 @@ def fit(
 
 def scored_rows(rows: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of ``rows`` with ``evidence``, ``score`` and ``passages`` of ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # Plain values, and a place for what a worker learns: it outlives the worker's tasks.
+    plain = {"model": (model.words, model.rate, model.curve, model.gap, model.grams), "scores": None}
+    shared = rows.sparkSession.sparkContext.broadcast(plain)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, remembered = shared.value, {}
+        words, rate, curve, gap, grams = shared.value["model"]
+        scores = shared.value["scores"] = shared.value["scores"] or Scores(words, grams)
         passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             seen, score, spans = [], [], []
             for text in batch.column(0):
-                n, found = passages(text.as_py() or "", model, remembered)
-                seen.append(evidence(n, found, model.rate))
-                score.append(probability(seen[-1], model.curve))
+                text = text.as_py() or ""
+                n, found = segments(text, scores, gap)
+                scores.trim()
+                seen.append(evidence(n, found, rate))
+                score.append(probability(seen[-1], curve))
                 limit = np.log(max(n, 2))  # an expected number of chance segments below one
-                spans.append([p for p in found if model.rate * p[2] > limit])
-            spans = [[dict(zip(("start", "end", "score"), p)) for p in row] for row in spans]
+                found = [p for p in found if rate * p[2] > limit]
+                places = words_in_place(text) if found else []
+                spans.append([{"start": places[a][0], "end": places[b][1], "score": s} for a, b, s in found])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(seen, pa.float64()), pa.array(score), pa.array(spans, pa.list_(passage))],
                 [*batch.schema.names[1:], "evidence", "score", "passages"],
