@@ -2,26 +2,36 @@
 
 Word-first backoff (Jauhiainen et al., HeLI): a known word scores with its log frequency in
 each language. An unseen word scores with the mean over its character n-grams of the longest
-length of which any is known, falling back to shorter ones. A document scores the mean over
-its words, and the best language wins; ``score`` is its posterior under equal priors.
-
-Words are runs of letters in lower case; in n-grams a space marks their ends. Frequencies
-come from all labelled documents. Each language keeps its most frequent words and n-grams,
-``entries`` in total over all languages, which bounds the broadcast model.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0; equal
-languages are decided by name; without any labelled document every text is ``und``.
+length of which any is known, falling back to shorter ones. What a language has not seen gets
+one floor, the same for all languages: half an occurrence in the largest of them. A document
+sums the scores of its words, and the best language wins; ``score`` is its posterior under
+equal priors.
+
+Words are runs of letters in lower case; in n-grams a space marks their ends. Every word and
+n-gram of the labelled documents counts in full: nothing is cut off. Scores are kept as what
+they exceed the floor by, so a word lists only the languages that know it, and in whole
+millionths, so that sums do not depend on their order.
+
+The commonest words, at most ``frequent`` entries of up to 64 characters, are broadcast, and
+tasks score them on the spot. A document's other words are rows that meet the full word table
+in a merge join; those that are in no labelled document, each once, meet the n-gram tables,
+the longest n-grams first. Which words are broadcast changes no result.
+
+Defined results: null texts and texts without a letter are ``und`` with score 0; long texts
+count whole; repeated rows and rows without id are judged one by one; equal languages are
+decided by name; a document of which nothing is known gets the first language by name; without
+any labelled document every text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,17 +40,34 @@ from tablegauge.llm.text import crc_remainder
 from tablegauge.llm.work import Scratch
 
 LETTERS = re.compile(r"[^\W\d_]+")
-ENTRIES = 400_000
+FREQUENT = 200_000  # entries (word and language) that are broadcast
+FREQUENT_CHARS = 64
 LONGEST = 5  # characters of an n-gram
 FLUSH = 200_000
-REMEMBERED = 200_000  # unseen words whose scores a task keeps
+FIXED = 1_000_000
+SMALL = 10_000  # languages that may be broadcast
 
 
 @dataclass
 class Model:
-    languages: list[str]
-    words: dict[str, list[float]]  # log frequency by language
-    grams: list[dict[str, list[float]]]  # by length, from 1
+    words: DataFrame  # word, langs (lang, n)
+    totals: DataFrame  # lang, and occurrences of words (n0) and of n-grams by length (n1, ...)
+    n_languages: int
+    first: str | None  # language by name
+    most: list[int]  # the largest of each of the totals
+    frequent: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
+
+    @property
+    def longest(self) -> int:
+        return len(self.most) - 1
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         counts.clear()
-        columns = zip(*rows) if rows else ([], [], [])
-        kinds = (pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "word", "n"])
+        return _batch(rows, COUNTED)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -61,30 +86,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _grams(word: str, longest: int) -> list[list[str]]:
-    """The n-grams of a word by length, from 1."""
+def _grams(word: str, length: int) -> list[str]:
     marked = f" {word} "
-    return [[marked[i : i + n] for i in range(len(marked) - n + 1)] for n in range(1, longest + 1)]
+    return [marked[i : i + length] for i in range(len(marked) - length + 1)]
 
 
-def _count_grams(longest: int):
+def _count_grams(length: int):
+    """From words and their counts by language: n-grams and theirs."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], int] = {}
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, g, n) for (lang, g), n in counts.items()]
             counts.clear()
-            columns = zip(*rows) if rows else ([], [], [])
-            kinds = (pa.string(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "gram", "n"]
-            )
+            return _batch(rows, COUNTED)
 
         for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                for grams in _grams(word, longest):
-                    for g in grams:
-                        counts[lang, g] = counts.get((lang, g), 0) + n
+            for word, langs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for g in _grams(word, length):
+                    for x in langs:
+                        key = x["lang"], g
+                        counts[key] = counts.get(key, 0) + x["n"]
                 if len(counts) > FLUSH:
                     yield flush()
         yield flush()
@@ -92,114 +115,196 @@ def _count_grams(longest: int):
     return count
 
 
-def _top(counts: DataFrame, by: list[str], keep: int) -> DataFrame:
-    """At most the ``keep`` most frequent of each language (and length).
+def _by_unit(counted: DataFrame) -> DataFrame:
+    """``word``, ``langs``: counts by language, from one shuffle by word."""
+    counted = counted.repartition(F.col("word")).groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    return counted.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("langs"))
+
+
+def _common(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words that have at most ``most`` entries together.
 
-    The least frequency that still fits comes from how many units have each frequency, in
-    sixteenths of an octave, which are at most 1,024 however large the corpus is. So units
-    themselves are neither sorted nor brought together; those of the step that would exceed
-    ``keep`` are left out together.
+    The least frequency that still fits comes from how many entries have each frequency, in
+    sixteenths of an octave, which are about a thousand however large the corpus is.
     """
-    counts = counts.withColumn("step", F.floor(F.log2("n") * 16))
-    spread = counts.groupBy(*by, "step").agg(F.count("*").alias("units"))
-    so_far = F.sum("units").over(W.partitionBy(*by).orderBy(F.col("step").desc()))
-    least = spread.withColumn("units", so_far).where(F.col("units") <= keep)
-    least = least.groupBy(*by).agg(F.min("step").alias("least"))
-    return counts.join(least, by).where(F.col("step") >= F.col("least")).drop("least", "step")
+    words = words.where(F.length("word") <= FREQUENT_CHARS)
+    total = F.aggregate("langs", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    words = words.withColumn("step", F.floor(F.log2(total) * 16))
+    spread = words.groupBy("step").agg(F.sum(F.size("langs")).alias("entries"))
+    so_far = F.sum("entries").over(W.orderBy(F.col("step").desc()))
+    least = spread.withColumn("entries", so_far).where(F.col("entries") <= most).agg(F.min("step")).first()[0]
+    return words.where(F.lit(False) if least is None else F.col("step") >= least).drop("step")
 
 
-def fit(labelled: DataFrame, *, entries: int = ENTRIES, longest: int = LONGEST) -> Model:
+def _above_floor(n: Column) -> Column:
+    """What a log frequency exceeds the floor by, but for the sizes of the two languages."""
+    return F.round(F.log(2 * n) * FIXED).cast("long")
+
+
+def fit(labelled: DataFrame, *, frequent: int = FREQUENT, longest: int = LONGEST) -> Model:
     """Learns from ``text`` and ``lang`` of the rows where both are known."""
     scratch = Scratch(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = rows.mapInArrow(_count, "lang string, word string, n long")
-    words = scratch.keep(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    seen = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    n_languages = seen.count()
-    each = max(1, entries // max(1, 2 * n_languages))
-    seen = {lang: n for lang, n in seen.orderBy(F.col("n").desc(), "lang").limit(entries).collect()}
-    languages = sorted(seen)
-    grams = (
-        words.mapInArrow(_count_grams(longest), "lang string, gram string, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("length", F.length("gram"))
+    words = scratch.keep(_by_unit(counted), "words")
+    each = words.select(F.length("word").alias("chars"), F.inline("langs"))
+    grams = [F.greatest(F.col("chars") + 3 - k, F.lit(0)) for k in range(1, longest + 1)]
+    totals = each.groupBy("lang").agg(
+        F.sum("n").alias("n0"), *[F.sum(F.col("n") * g).alias(f"n{k}") for k, g in enumerate(grams, 1)]
     )
-    grams = scratch.keep(grams, "grams")
-    gram_totals = {(lang, k): n for lang, k, n in grams.groupBy("lang", "length").agg(F.sum("n")).collect()}
-    best_words = _top(words, ["lang"], each).toPandas()
-    best_grams = _top(grams, ["lang", "length"], max(1, each // longest)).toPandas()
-    scratch.drop("words", "grams")
-
-    number = {lang: i for i, lang in enumerate(languages)}
-    tables: list[dict[str, list[float]]] = [{} for _ in range(longest + 1)]  # words, then n-grams
-    totals = [{lang: seen[lang] for lang in languages}]
-    totals += [{lang: gram_totals.get((lang, k), 1) for lang in languages} for k in range(1, longest + 1)]
-    counts = [(0, r.lang, r.word, r.n) for r in best_words.itertuples()]
-    counts += [(r.length, r.lang, r.gram, r.n) for r in best_grams.itertuples()]
-    unseen = [[math.log(0.5 / (t[lang] + 1)) for lang in languages] for t in totals]
-    for k, lang, unit, n in counts:
-        if lang in number:
-            row = tables[k].setdefault(unit, list(unseen[k]))
-            row[number[lang]] = math.log(n / (totals[k][lang] + 1))
-    return Model(languages, tables[0], tables[1:])
-
-
-def word_scores(word: str, model: Model) -> list[float] | None:
-    """Log frequency by language; None if nothing of the word is known."""
-    if (known := model.words.get(word)) is not None:
-        return known
-    marked = f" {word} "
-    for n in range(len(model.grams), 0, -1):
-        table = model.grams[n - 1]
-        rows = [row for i in range(len(marked) - n + 1) if (row := table.get(marked[i : i + n])) is not None]
-        if rows:
-            return [sum(column) / len(rows) for column in zip(*rows)]
-    return None
-
-
-def identify_text(text: str | None, model: Model, remembered: dict) -> tuple[str, float]:
-    counts = Counter(LETTERS.findall((text or "").lower()))
-    sums, words = [0.0] * len(model.languages), 0
-    any_letter = False
-    for word, n in counts.items():
-        if word in remembered:
-            scores = remembered[word]
-        else:
-            has = any(map(str.isalpha, word))
-            scores = (word_scores(word, model) or ()) if has else None
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            remembered[word] = scores
-        if scores is None:
-            continue
-        any_letter = True
-        if scores:
-            words += n
-            for i, s in enumerate(scores):
-                sums[i] += s * n
-    if not any_letter or not model.languages:
-        return "und", 0.0
-    best = max(range(len(sums)), key=lambda i: sums[i])
-    return model.languages[best], 1 / sum(math.exp(max(s - sums[best], -700.0)) for s in sums)
+    totals = scratch.keep(totals, "totals")
+    sizes = range(longest + 1)
+    n_languages, first, *most = totals.agg(F.count("*"), F.min("lang"), *[F.max(f"n{k}") for k in sizes]).first()
+    common = _common(words, frequent).withColumn(
+        "langs", F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), _above_floor(x["n"]).alias("above")))
+    )
+    listed = {r.word: [tuple(x) for x in r.langs] for r in common.toLocalIterator()}
+    return Model(words, totals, n_languages, first, [m or 0 for m in most], listed)
+
+
+def _sizes(model: Model, k: int) -> DataFrame:
+    """``lang``, ``size``: what a language's scores gain by being smaller than the largest."""
+    smaller = F.log((F.lit(model.most[k]) + 1) / (F.col(f"n{k}") + 1))
+    sizes = model.totals.select("lang", F.round(smaller * FIXED).cast("long").alias("size"))
+    return F.broadcast(sizes) if model.n_languages <= SMALL else sizes.hint("merge")
+
+
+PAIR = pa.struct([("lang", pa.string()), ("above", pa.int64()), ("n", pa.int64())])
+OTHER = pa.struct([("word", pa.string()), ("n", pa.int64())])
+TALLIED = pa.schema(
+    [
+        ("row", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("letters", pa.bool_()),
+        ("sums", pa.list_(PAIR)),
+        ("others", pa.list_(OTHER)),
+    ]
+)
+TALLIED_DDL = (
+    "row long, doc_id long, letters boolean, sums array<struct<lang: string, above: bigint, n: bigint>>,"
+    " others array<struct<word: string, n: bigint>>"
+)
+
+
+def _tallied(docs: DataFrame, frequent: dict[str, list[tuple[str, int]]]) -> DataFrame:
+    """Per document the sums over frequent words by language, and its other words."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, number = shared.value, TaskContext.get().partitionId() << 36
+        for batch in batches:
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums: dict[str, list[int]] = {}
+                letters, others = False, []
+                for word, n in Counter(LETTERS.findall((text.as_py() or "").lower())).items():
+                    if not (word.isalpha() or any(map(str.isalpha, word))):
+                        continue
+                    letters = True
+                    if (known := frequent.get(word)) is None:
+                        others.append({"word": word, "n": n})
+                        held += len(word)
+                        continue
+                    for lang, above in known:
+                        both = sums.setdefault(lang, [0, 0])
+                        both[0] += n * above
+                        both[1] += n
+                listed = [{"lang": lang, "above": a, "n": n} for lang, (a, n) in sums.items()]
+                rows.append((number, doc_id, letters, listed, others))
+                number += 1
+                if held > 1 << 24:
+                    yield _batch(rows, TALLIED)
+                    rows, held = [], 0
+            yield _batch(rows, TALLIED)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(tally, TALLIED_DDL)
+
+
+def _unseen(words: DataFrame, model: Model, scratch: Scratch) -> list[DataFrame]:
+    """``word``, ``langs`` (lang, above) of words that no language knows, by their n-grams."""
+    left = scratch.keep(words.withColumn("id", F.monotonically_increasing_id()), "unseen")
+    found = []
+    for k in range(model.longest, 0, -1):
+        if left.isEmpty():
+            break
+
+        def grams_of(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("id", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+            for batch in batches:
+                rows = []
+                for word, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    rows += [(i, g, n) for g, n in Counter(_grams(word, k)).items()]
+                    if len(rows) > FLUSH:
+                        yield _batch(rows, schema)
+                        rows = []
+                yield _batch(rows, schema)
+
+        wanted = left.select("word", "id").mapInArrow(grams_of, "id long, word string, n long").withColumnRenamed("n", "times")
+        # The kept words are few files, whose n-grams are many: deal them out.
+        tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grams = model.words.repartition(tasks).mapInArrow(_count_grams(k), "lang string, word string, n long")
+        met = wanted.hint("merge").join(_by_unit(grams), "word")
+        total = met.groupBy("id").agg(F.sum("times").alias("total"))
+        sums = (
+            met.select("id", "times", F.inline("langs"))
+            .groupBy("id", "lang")
+            .agg(F.sum(F.col("times") * _above_floor(F.col("n"))).alias("above"), F.sum("times").alias("times"))
+            .join(_sizes(model, k), "lang")
+            .hint("merge")
+            .join(total, "id")
+            .select(
+                "id",
+                "lang",
+                F.round((F.col("above") + F.col("times") * F.col("size")) / F.col("total")).cast("long").alias("above"),
+            )
+        )
+        langs = F.collect_list(F.struct("lang", "above")).alias("langs")
+        scores = scratch.keep(sums.groupBy("id").agg(langs), f"grams-{k}")
+        found.append(left.hint("merge").join(scores, "id").select("word", "langs"))
+        left = scratch.keep(left.hint("merge").join(scores, "id", "left_anti"), f"unseen-{k}")
+    return found
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id``, ``lang_pred``, ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, remembered = shared.value, {}
-        for batch in batches:
-            found = [identify_text(t.as_py(), model, remembered) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, lang_pred string, score double")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(_tallied(docs, model.frequent), "rows")
+    others = rows.select("row", F.inline("others"))
+    known = model.words.select(
+        "word", F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), _above_floor(x["n"]).alias("above"))).alias("langs")
+    )
+    words = others.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).select("word")
+    unseen = words.hint("merge").join(known, "word", "left_anti")
+    scored = known.withColumn("sized", F.lit(1))
+    for some in _unseen(unseen, model, scratch):
+        scored = scored.unionByName(some.withColumn("sized", F.lit(0)))
+    one = F.col("x.above") * F.col("n")
+    of_others = others.hint("merge").join(scored, "word").select("row", "n", "sized", F.explode("langs").alias("x"))
+    sums = (
+        of_others.select("row", "x.lang", one.alias("above"), (F.col("n") * F.col("sized")).alias("n"))
+        .unionByName(rows.select("row", F.inline("sums")))
+        .groupBy("row", "lang")
+        .agg(F.sum("above").alias("above"), F.sum("n").alias("n"))
+        .join(_sizes(model, 0), "lang")
+        .withColumn("sum", F.col("above") + F.col("n") * F.col("size"))
+    )
+    ranked = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("sum")).alias("behind"), "lang"))).alias("ranked"))
+    best = F.col("ranked")[0]
+    ahead = F.transform("ranked", lambda x: F.exp((best["behind"] - x["behind"]) / FIXED))
+    # Languages that know none of the words stay at the floor.
+    rest = (model.n_languages - F.size("ranked")) * F.exp(best["behind"] / FIXED)
+    judged = ranked.select(
+        "row", best["lang"].alias("lang"), (1 / (F.aggregate(ahead, F.lit(0.0), lambda a, x: a + x) + rest)).alias("chance")
+    )
+    some = F.col("letters") & F.lit(model.n_languages > 0)
+    unknown = F.lit(1 / max(model.n_languages, 1))
+    return rows.select("row", "doc_id", "letters").hint("merge").join(judged, "row", "left").select(
+        "doc_id",
+        F.when(some, F.coalesce("lang", F.lit(model.first))).otherwise("und").alias("lang_pred"),
+        F.when(some, F.coalesce("chance", unknown)).otherwise(0.0).alias("score"),
+    )
 
 
 def held_out(doc_id: Column) -> Column:
