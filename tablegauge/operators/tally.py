@@ -31,37 +31,18 @@ class Tally:
     rows: Callable[[Totals], list[Column]]
 
 
-_BITS = 60  # predicates of a row that one number holds
-
-
 def totals(df: DataFrame, tallies: Mapping[str, Tally]) -> DataFrame:
     """One row with every counter of every tally, from one pass over ``df``.
 
-    Predicates of a row are first packed into numbers, a bit each, and the aggregate
-    counts bits. Its generated methods then read a few numbers however many counters
-    there are; predicates inside a lambda are evaluated, not generated, so no method
-    outgrows what the JVM compiles.
+    Each counter is an aggregate of its own: Spark generates a method per few of them and
+    evaluates what several share once per row, so any number of counters stays compiled.
     """
-    counters = [
-        (f"{name}\t{counter}", predicate)
+    counts = [
+        F.count_if(predicate).alias(f"{name}\t{counter}")
         for name, tally in tallies.items()
         for counter, predicate in tally.counters.items()
     ]
-    packed = [
-        _packed([predicate for _, predicate in counters[i : i + _BITS]]).alias(f"\tbits{i // _BITS}")
-        for i in range(0, len(counters), _BITS)
-    ]
-    counts = [
-        F.count_if(F.getbit(col(f"\tbits{i // _BITS}"), F.lit(i % _BITS)) == 1).alias(name)
-        for i, (name, _) in enumerate(counters)
-    ]
-    return df.select(*packed).agg(F.count(F.lit(1)).alias("rows"), *counts)
-
-
-def _packed(predicates: Sequence[Column]) -> Column:
-    bits = [F.when(p, F.lit(1 << i)).otherwise(0).cast("bigint") for i, p in enumerate(predicates)]
-    either = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    return F.transform(F.array(F.lit(0)), lambda _: either)[0]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *counts)
 
 
 def result_rows(name: str, tally: Tally) -> Column:

@@ -106,6 +106,23 @@ def test_any_number_of_counters_is_one_scan(spark):
     assert plan_of(found).count("FileScan parquet") == 1 and exchanges(found) == 1
 
 
+@pytest.mark.parametrize("copies", [2, 7])
+def test_counters_are_compiled(spark, copies):
+    """Spark compiles the aggregate over rows, and the JVM its methods (up to 8,000 bytes each)."""
+    t = Inputs(spark, SF_DIR)
+    wide = t.lineitem.selectExpr(*[f"{n} AS {n}_{i}" for i in range(copies) for n in t.lineitem.columns])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = op.completeness(wide, wide.columns)._jdf.queryExecution()
+        assert re.search(r"\*\(\d+\) HashAggregate\(keys=\[\], functions=\[partial_count", execution.executedPlan().toString())
+        generated = execution.debug().codegenToSeq()
+        parts = [generated.apply(i) for i in range(generated.size())]
+        sizes = [p._3().maxMethodCodeSize() for p in parts if "functions=[partial_count" in p._1()]
+        assert sizes and 0 < max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_candidate_keys_expand_no_rows(spark):
     t = Inputs(spark, SF_DIR)
     sets = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"]]
