@@ -117,9 +117,31 @@ def _expected(word: str, automaton, own: tuple[int, int]) -> tuple[float, float]
 class Scores(dict):
     """Scores of words: the listed ones, and others as their n-grams say, worked out once."""
 
-    def __init__(self, words: dict[str, float], grams: dict[str, tuple[int, int, float]]):
+    def __init__(self, words: dict[str, float], grams: dict[str, tuple[int, int, float]], gap: float):
         super().__init__(words)
-        self.words, self.automaton = words, _automaton(grams)
+        self.words, self.automaton, self.gap = words, _automaton(grams), gap
+        self.gate = self._gate(grams)
+
+    def _gate(self, grams: dict[str, tuple[int, int, float]]):
+        """Finds what a word above the gap must hold: itself if listed, else an n-gram above it."""
+        import ahocorasick
+
+        gate = ahocorasick.Automaton()
+        for word, score in self.words.items():
+            if score > self.gap:
+                gate.add_word(word, None)
+        for gram, (total, weight, kept) in grams.items():
+            if round(kept * total / weight, 2) > self.gap:
+                gate.add_word(gram.strip(), None)
+        gate.make_automaton()
+        return gate
+
+    def may_exceed(self, low: str) -> bool:
+        """False only if no word of a text in lower case scores above the gap."""
+        if len(self.gate):
+            for _ in self.gate.iter(low):
+                return True
+        return False
 
     def __missing__(self, word: str) -> float:
         best = (0.0, 0.0)
@@ -137,28 +159,29 @@ class Scores(dict):
             self.update(self.words)
 
 
-def segments(text: str, scores: Scores, gap: float) -> tuple[int, list[tuple[int, int, float]]]:
+def segments(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
     """The number of words, and the positive segments as (first word, last word, score); words are
-    those of :func:`words_in_place`."""
-    low = text.lower()
+    those of :func:`words_in_place`. Most texts hold nothing that scores above the gap, and one
+    search says so; their words are not counted."""
+    low, gap = text.lower(), scores.gap
+    if not scores.may_exceed(low):
+        return 0, []
     words = LETTERS.findall(low)
-    found = list(map(scores.__getitem__, words))
-    if max(found, default=0.0) <= gap:
-        return len(words), []
+    n = len(words)
+    weights = np.fromiter(map(scores.__getitem__, words), float, n)
+    if weights.max(initial=0.0) <= gap:
+        return 0, []
     if len(low) != len(text):
-        found = [scores[w.lower()] for w in LETTERS.findall(text)]
-    weights, places, neutral = [], [], 0
-    for i, s in enumerate(found):
-        if s == 0:
-            neutral += 1
-            continue
-        if neutral:
-            weights.append(-gap * neutral)
-            places.append(None)
-            neutral = 0
-        weights.append(s - gap)
-        places.append(i)
-    return len(words), [(places[a], places[b], s) for a, b, s in maximal_segments(weights)]
+        words = [w.lower() for w in LETTERS.findall(text)]
+        weights = np.fromiter(map(scores.__getitem__, words), float, len(words))
+    weights = np.rint(weights * FIXED).astype(np.int64) - round(gap * FIXED)
+    # Runs of words above the gap, and what lies between them, are what a segment is made of.
+    above = np.concatenate([[False], weights > 0, [False]])
+    first, last = np.flatnonzero(above[1:-1] & ~above[:-2]), np.flatnonzero(above[1:-1] & ~above[2:])
+    total = np.concatenate([[0], np.cumsum(weights)])
+    sums = np.empty(max(2 * len(first) - 1, 0), np.int64)
+    sums[::2], sums[1::2] = total[last + 1] - total[first], total[first[1:]] - total[last[:-1] + 1]
+    return n, [(int(first[a // 2]), int(last[b // 2]), s / FIXED) for a, b, s in maximal_segments(sums.tolist())]
 
 
 def words_in_place(text: str) -> list[tuple[int, int]]:
@@ -169,8 +192,9 @@ def words_in_place(text: str) -> list[tuple[int, int]]:
 
 
 def passages(text: str, model: Model, scores: Scores | None = None) -> tuple[int, list[tuple[int, int, float]]]:
-    """The number of words, and the positive segments as (start, end, score) in code points."""
-    n, found = segments(text, Scores(model.words, model.grams) if scores is None else scores, model.gap)
+    """The number of words (0 without a segment), and the positive segments as (start, end, score)
+    in code points."""
+    n, found = segments(text, Scores(model.words, model.grams, model.gap) if scores is None else scores)
     spans = words_in_place(text) if found else []
     return n, [(spans[a][0], spans[b][1], s) for a, b, s in found]
 
@@ -414,13 +438,13 @@ def scored_rows(rows: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rate, curve, gap, grams = shared.value["model"]
-        scores = shared.value["scores"] = shared.value["scores"] or Scores(words, grams)
+        scores = shared.value["scores"] = shared.value["scores"] or Scores(words, grams, gap)
         passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             seen, score, spans = [], [], []
             for text in batch.column(0):
                 text = text.as_py() or ""
-                n, found = segments(text, scores, gap)
+                n, found = segments(text, scores)
                 scores.trim()
                 seen.append(evidence(n, found, rate))
                 score.append(probability(seen[-1], curve))
