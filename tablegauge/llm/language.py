@@ -15,7 +15,7 @@ millionths, so that sums do not depend on their order.
 The commonest words, at most ``frequent`` entries of up to 64 characters, are broadcast, and
 tasks score them on the spot. A document's other words are rows that meet the full word table
 in a merge join; those that are in no labelled document, each once, meet the n-gram tables,
-the longest n-grams first. Which words are broadcast changes no result.
+first the longest n-grams, then all shorter ones. Which words are broadcast changes no result.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; long texts
 count whole; repeated rows and rows without id are judged one by one; equal languages are
@@ -29,13 +29,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablegauge.llm.slices import sliced
 from tablegauge.llm.text import crc_remainder
 from tablegauge.llm.work import Scratch
 
@@ -43,9 +46,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 FREQUENT = 200_000  # entries (word and language) that are broadcast
 FREQUENT_CHARS = 64
 LONGEST = 5  # characters of an n-gram
-FLUSH = 200_000
+FLUSH = 500_000  # words or n-grams a task counts before it passes them on
+FEW = 200_000  # n-grams that are broadcast as a filter
 FIXED = 1_000_000
 SMALL = 10_000  # languages that may be broadcast
+SLICE_BYTES = 4 << 20
 
 
 @dataclass
@@ -91,25 +96,27 @@ def _grams(word: str, length: int) -> list[str]:
     return [marked[i : i + length] for i in range(len(marked) - length + 1)]
 
 
-def _count_grams(length: int):
-    """From words and their counts by language: n-grams and theirs."""
+def _count_grams(lengths: list[int], wanted: Broadcast | None):
+    """From words and their counts by language: n-grams and theirs, if given only those ``wanted``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], int] = {}
+        only = None if wanted is None else wanted.value
+        counts: dict[str, dict[str, int]] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, g, n) for (lang, g), n in counts.items()]
+            rows = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
             counts.clear()
             return _batch(rows, COUNTED)
 
         for batch in batches:
-            for word, langs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in _grams(word, length):
-                    for x in langs:
-                        key = x["lang"], g
-                        counts[key] = counts.get(key, 0) + x["n"]
-                if len(counts) > FLUSH:
-                    yield flush()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                own = counts.setdefault(lang, {})
+                for length in lengths:
+                    for g in _grams(word, length):
+                        if only is None or g in only:
+                            own[g] = own.get(g, 0) + n
+            if sum(map(len, counts.values())) > FLUSH:
+                yield flush()
         yield flush()
 
     return count
@@ -159,111 +166,165 @@ def fit(labelled: DataFrame, *, frequent: int = FREQUENT, longest: int = LONGEST
     common = _common(words, frequent).withColumn(
         "langs", F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), _above_floor(x["n"]).alias("above")))
     )
-    listed = {r.word: [tuple(x) for x in r.langs] for r in common.toLocalIterator()}
+    listed = {r.word: [tuple(x) for x in r.langs] for r in common.toLocalIterator() if any(map(str.isalpha, r.word))}
     return Model(words, totals, n_languages, first, [m or 0 for m in most], listed)
 
 
-def _sizes(model: Model, k: int) -> DataFrame:
-    """``lang``, ``size``: what a language's scores gain by being smaller than the largest."""
-    smaller = F.log((F.lit(model.most[k]) + 1) / (F.col(f"n{k}") + 1))
-    sizes = model.totals.select("lang", F.round(smaller * FIXED).cast("long").alias("size"))
+def _sizes(model: Model, lengths: list[int]) -> DataFrame:
+    """``lang``, ``k``, ``size``: what a language's scores gain by being smaller than the largest."""
+    smaller = [F.log((F.lit(model.most[k]) + 1) / (F.col(f"n{k}") + 1)) for k in lengths]
+    each = [F.struct(F.lit(k).alias("k"), F.round(x * FIXED).cast("long").alias("size")) for k, x in zip(lengths, smaller)]
+    sizes = model.totals.select("lang", F.inline(F.array(*each)))
     return F.broadcast(sizes) if model.n_languages <= SMALL else sizes.hint("merge")
 
 
-PAIR = pa.struct([("lang", pa.string()), ("above", pa.int64()), ("n", pa.int64())])
-OTHER = pa.struct([("word", pa.string()), ("n", pa.int64())])
 TALLIED = pa.schema(
     [
         ("row", pa.int64()),
         ("doc_id", pa.int64()),
         ("letters", pa.bool_()),
-        ("sums", pa.list_(PAIR)),
-        ("others", pa.list_(OTHER)),
+        ("langs", pa.list_(pa.string())),  # of frequent words: languages,
+        ("above", pa.list_(pa.int64())),  # the sums of their scores above the floor,
+        ("seen", pa.list_(pa.int64())),  # and of their occurrences
+        ("others", pa.list_(pa.string())),  # other words,
+        ("times", pa.list_(pa.int64())),  # and how often each occurs
     ]
 )
 TALLIED_DDL = (
-    "row long, doc_id long, letters boolean, sums array<struct<lang: string, above: bigint, n: bigint>>,"
-    " others array<struct<word: string, n: bigint>>"
+    "row long, doc_id long, letters boolean, langs array<string>, above array<long>, seen array<long>,"
+    " others array<string>, times array<long>"
 )
 
 
+class _Frequent:
+    """Frequent words by number, and their languages and scores as one sparse matrix."""
+
+    def __init__(self, frequent: dict[str, list[tuple[str, int]]]):
+        self.number = {word: i for i, word in enumerate(frequent)}
+        self.languages = sorted({lang for entries in frequent.values() for lang, _ in entries})
+        place = {lang: i for i, lang in enumerate(self.languages)}
+        self.size = np.array([len(e) for e in frequent.values()], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.lang = np.array([place[lang] for e in frequent.values() for lang, _ in e], np.int64)
+        self.above = np.array([above for e in frequent.values() for _, above in e], np.int64)
+
+    def sums(self, doc: np.ndarray, word: np.ndarray, n: np.ndarray):
+        """Per document and language that has any: document, language, sums of scores and of ``n``."""
+        size = self.size[word]
+        which = np.repeat(np.arange(len(word)), size)
+        entry = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + self.start[word][which]
+        key = doc[which] * len(self.languages) + self.lang[entry]
+        keys, at = np.unique(key, return_inverse=True)
+        # Whole numbers below 2^53, so sums in doubles are exact.
+        above = np.bincount(at, weights=self.above[entry] * n[which], minlength=len(keys))
+        seen = np.bincount(at, weights=n[which], minlength=len(keys))
+        width = max(len(self.languages), 1)
+        return keys // width, keys % width, above.astype(np.int64), seen.astype(np.int64)
+
+
+def _listed(doc: np.ndarray, n_docs: int, values: pa.Array) -> pa.ListArray:
+    """Values in order of their documents as one list per document."""
+    ends = np.cumsum(np.bincount(doc, minlength=n_docs))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+
+
 def _tallied(docs: DataFrame, frequent: dict[str, list[tuple[str, int]]]) -> DataFrame:
     """Per document the sums over frequent words by language, and its other words."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, number = shared.value, TaskContext.get().partitionId() << 36
+        known, number = _Frequent(shared.value), TaskContext.get().partitionId() << 36
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums: dict[str, list[int]] = {}
-                letters, others = False, []
-                for word, n in Counter(LETTERS.findall((text.as_py() or "").lower())).items():
-                    if not (word.isalpha() or any(map(str.isalpha, word))):
-                        continue
-                    letters = True
-                    if (known := frequent.get(word)) is None:
-                        others.append({"word": word, "n": n})
-                        held += len(word)
-                        continue
-                    for lang, above in known:
-                        both = sums.setdefault(lang, [0, 0])
-                        both[0] += n * above
-                        both[1] += n
-                listed = [{"lang": lang, "above": a, "n": n} for lang, (a, n) in sums.items()]
-                rows.append((number, doc_id, letters, listed, others))
-                number += 1
-                if held > 1 << 24:
-                    yield _batch(rows, TALLIED)
-                    rows, held = [], 0
-            yield _batch(rows, TALLIED)
+            for part in sliced(batch, 1, SLICE_BYTES):
+                words: list[str] = []
+                times: list[int] = []
+                lengths = []
+                for text in part.column(1):
+                    counts = Counter(LETTERS.findall((text.as_py() or "").lower()))
+                    words += counts
+                    times += counts.values()
+                    lengths.append(len(counts))
+                doc, n = np.repeat(np.arange(len(lengths)), lengths), np.array(times, np.int64)
+                ids = np.fromiter(map(known.number.get, words, repeat(-1)), np.int64, len(words))
+                other = np.flatnonzero(ids < 0)
+                spelled = [words[i].isalpha() or any(map(str.isalpha, words[i])) for i in other]
+                other = other[np.array(spelled, bool)]
+                often = ids >= 0
+                own, lang, above, seen = known.sums(doc[often], ids[often], n[often])
+                letters = np.zeros(part.num_rows, bool)
+                letters[doc[often]] = letters[doc[other]] = True
+                langs = pa.array(known.languages, pa.string()).take(pa.array(lang))
+                columns = [
+                    pa.array(number + np.arange(part.num_rows)),
+                    part.column(0),
+                    pa.array(letters),
+                    *[_listed(own, part.num_rows, x) for x in (langs, pa.array(above), pa.array(seen))],
+                    _listed(doc[other], part.num_rows, pa.array([words[i] for i in other], pa.string())),
+                    _listed(doc[other], part.num_rows, pa.array(n[other])),
+                ]
+                number += part.num_rows
+                yield pa.RecordBatch.from_arrays(columns, schema=TALLIED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tally, TALLIED_DDL)
 
 
+def _by_grams(left: DataFrame, model: Model, lengths: list[int]) -> DataFrame:
+    """``id``, ``langs`` (lang, above) of the words (``word``, ``id``) of which any n-gram of these
+    lengths is known, by those of the longest such length."""
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("k", pa.int32()), ("word", pa.string()), ("times", pa.int64())])
+        for batch in batches:
+            rows = []
+            for word, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k in lengths:
+                    rows += [(i, k, g, n) for g, n in Counter(_grams(word, k)).items()]
+                if len(rows) > FLUSH:
+                    yield _batch(rows, schema)
+                    rows = []
+            yield _batch(rows, schema)
+
+    spark = left.sparkSession
+    wanted = left.select("word", "id").mapInArrow(grams_of, "id long, k int, word string, times long")
+    some = [r.word for r in wanted.select("word").distinct().limit(FEW + 1).collect()]
+    only = spark.sparkContext.broadcast(frozenset(some)) if len(some) <= FEW else None
+    # The kept words are few files, whose n-grams are many: deal them out.
+    words = model.words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = words.select("word", F.inline("langs")).select("lang", "word", "n")
+    grams = _by_unit(words.mapInArrow(_count_grams(lengths, only), "lang string, word string, n long"))
+    met = wanted.hint("merge").join(grams, "word")
+    if len(lengths) > 1:
+        longest = met.groupBy("id").agg(F.max("k").alias("k"))
+        met = met.hint("merge").join(longest, ["id", "k"])
+    total = met.groupBy("id").agg(F.sum("times").alias("total"))
+    sums = (
+        met.select("id", "k", "times", F.inline("langs"))
+        .groupBy("id", "k", "lang")
+        .agg(F.sum(F.col("times") * _above_floor(F.col("n"))).alias("above"), F.sum("times").alias("times"))
+        .join(_sizes(model, lengths), ["lang", "k"])
+        .hint("merge")
+        .join(total, "id")
+        .select(
+            "id",
+            "lang",
+            F.round((F.col("above") + F.col("times") * F.col("size")) / F.col("total")).cast("long").alias("above"),
+        )
+    )
+    return sums.groupBy("id").agg(F.collect_list(F.struct("lang", "above")).alias("langs"))
+
+
 def _unseen(words: DataFrame, model: Model, scratch: Scratch) -> list[DataFrame]:
-    """``word``, ``langs`` (lang, above) of words that no language knows, by their n-grams."""
+    """``word``, ``langs`` (lang, above) of words that no language knows, by their n-grams: the
+    longest first, as most words have one of these, then all shorter ones together."""
     left = scratch.keep(words.withColumn("id", F.monotonically_increasing_id()), "unseen")
     found = []
-    for k in range(model.longest, 0, -1):
-        if left.isEmpty():
+    for lengths in ([model.longest], list(range(model.longest - 1, 0, -1))):
+        if not lengths or left.isEmpty():
             break
-
-        def grams_of(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("id", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
-            for batch in batches:
-                rows = []
-                for word, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rows += [(i, g, n) for g, n in Counter(_grams(word, k)).items()]
-                    if len(rows) > FLUSH:
-                        yield _batch(rows, schema)
-                        rows = []
-                yield _batch(rows, schema)
-
-        wanted = left.select("word", "id").mapInArrow(grams_of, "id long, word string, n long").withColumnRenamed("n", "times")
-        # The kept words are few files, whose n-grams are many: deal them out.
-        tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        grams = model.words.repartition(tasks).mapInArrow(_count_grams(k), "lang string, word string, n long")
-        met = wanted.hint("merge").join(_by_unit(grams), "word")
-        total = met.groupBy("id").agg(F.sum("times").alias("total"))
-        sums = (
-            met.select("id", "times", F.inline("langs"))
-            .groupBy("id", "lang")
-            .agg(F.sum(F.col("times") * _above_floor(F.col("n"))).alias("above"), F.sum("times").alias("times"))
-            .join(_sizes(model, k), "lang")
-            .hint("merge")
-            .join(total, "id")
-            .select(
-                "id",
-                "lang",
-                F.round((F.col("above") + F.col("times") * F.col("size")) / F.col("total")).cast("long").alias("above"),
-            )
-        )
-        langs = F.collect_list(F.struct("lang", "above")).alias("langs")
-        scores = scratch.keep(sums.groupBy("id").agg(langs), f"grams-{k}")
+        scores = scratch.keep(_by_grams(left, model, lengths), f"grams-{lengths[0]}")
         found.append(left.hint("merge").join(scores, "id").select("word", "langs"))
-        left = scratch.keep(left.hint("merge").join(scores, "id", "left_anti"), f"unseen-{k}")
+        left = scratch.keep(left.hint("merge").join(scores, "id", "left_anti"), f"unseen-{lengths[0]}")
     return found
 
 
@@ -271,7 +332,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id``, ``lang_pred``, ``score``."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(_tallied(docs, model.frequent), "rows")
-    others = rows.select("row", F.inline("others"))
+    others = rows.select("row", F.inline(F.arrays_zip("others", "times"))).toDF("row", "word", "n")
     known = model.words.select(
         "word", F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), _above_floor(x["n"]).alias("above"))).alias("langs")
     )
@@ -284,10 +345,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     of_others = others.hint("merge").join(scored, "word").select("row", "n", "sized", F.explode("langs").alias("x"))
     sums = (
         of_others.select("row", "x.lang", one.alias("above"), (F.col("n") * F.col("sized")).alias("n"))
-        .unionByName(rows.select("row", F.inline("sums")))
+        .unionByName(rows.select("row", F.inline(F.arrays_zip("langs", "above", "seen"))).toDF("row", "lang", "above", "n"))
         .groupBy("row", "lang")
         .agg(F.sum("above").alias("above"), F.sum("n").alias("n"))
-        .join(_sizes(model, 0), "lang")
+        .join(_sizes(model, [0]), "lang")
         .withColumn("sum", F.col("above") + F.col("n") * F.col("size"))
     )
     ranked = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("sum")).alias("behind"), "lang"))).alias("ranked"))
