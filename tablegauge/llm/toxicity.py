@@ -91,26 +91,30 @@ def _own(odds: float, variance: float) -> tuple[int, int]:
     return round(odds * weight * FIXED), round(weight * FIXED)
 
 
-def _automaton(grams: dict[str, tuple[int, int, float]]):
-    """Finds all n-grams of a word at once; its values are n-grams with strength and log-odds."""
+def _automaton(values: dict[str, tuple]):
+    """Finds all n-grams of a word at once."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for gram, (total, weight, kept) in grams.items():
-        automaton.add_word(gram, ((abs(total) / weight**0.5, kept * total / weight), total, weight, kept))
+    for gram, value in values.items():
+        automaton.add_word(gram, value)
     automaton.make_automaton()
     return automaton
 
 
+def _says(total: int, weight: int, kept: float) -> tuple[float, float]:
+    """The strength of an n-gram, by which the strongest is chosen, and its log-odds."""
+    return abs(total) / weight**0.5, kept * total / weight
+
+
 def _expected(word: str, automaton, own: tuple[int, int]) -> tuple[float, float]:
     """What the strongest n-gram says of a word, and what it says without the word's ``own`` part."""
     listed = free = (0.0, 0.0)
     if len(automaton):
-        for _, (whole, total, weight, kept) in automaton.iter(f" {word} "):
-            listed = max(listed, whole)
-            total, weight = total - own[0], weight - own[1]
-            if weight > 0:
-                free = max(free, (abs(total) / weight**0.5, kept * total / weight))
+        for _, (total, weight, kept) in automaton.iter(f" {word} "):
+            listed = max(listed, _says(total, weight, kept))
+            if weight > own[1]:
+                free = max(free, _says(total - own[0], weight - own[1], kept))
     return listed[1], free[1]
 
 
@@ -119,39 +123,35 @@ class Scores(dict):
 
     def __init__(self, words: dict[str, float], grams: dict[str, tuple[int, int, float]], gap: float):
         super().__init__(words)
-        self.words, self.automaton, self.gap = words, _automaton(grams), gap
-        self.gate = self._gate(grams)
-
-    def _gate(self, grams: dict[str, tuple[int, int, float]]):
-        """Finds what a word above the gap must hold: itself if listed, else an n-gram above it."""
-        import ahocorasick
-
-        gate = ahocorasick.Automaton()
-        for word, score in self.words.items():
-            if score > self.gap:
-                gate.add_word(word, None)
-        for gram, (total, weight, kept) in grams.items():
-            if round(kept * total / weight, 2) > self.gap:
-                gate.add_word(gram.strip(), None)
-        gate.make_automaton()
-        return gate
-
-    def may_exceed(self, low: str) -> bool:
-        """False only if no word of a text in lower case scores above the gap."""
-        if len(self.gate):
-            for _ in self.gate.iter(low):
-                return True
-        return False
+        self.words, self.gap = words, gap
+        self.grams = _automaton({gram: _says(*known) for gram, known in grams.items()})
+        # What a word above the gap must hold: itself if listed, else an n-gram above it.
+        above = {word for word, score in words.items() if score > gap}
+        above |= {gram.strip() for gram, known in grams.items() if round(_says(*known)[1], 2) > gap}
+        self.gate = _automaton({part: len(part) for part in above})
 
     def __missing__(self, word: str) -> float:
-        best = (0.0, 0.0)
-        if len(self.automaton):
-            for _, (whole, *_) in self.automaton.iter(f" {word} "):
-                if whole > best:
-                    best = whole
-        score = self[word] = round(best[1], 2)
+        says = [value for _, value in self.grams.iter(f" {word} ")] if len(self.grams) else []
+        score = self[word] = round(max(says, default=(0.0, 0.0))[1], 2)
         return score
 
+    def any_above(self, low: str) -> bool:
+        """Whether a word of a text in lower case scores above the gap; only words that hold
+        what such a word must hold are looked at."""
+        if not len(self.gate):
+            return False
+        checked = 0
+        for end, size in self.gate.iter(low):
+            if end < checked:
+                continue
+            first = end - size + 1
+            while first and low[first - 1].isalnum() and LETTERS.match(low, first - 1):
+                first -= 1
+            checked = LETTERS.match(low, first).end()
+            if self[low[first:checked]] > self.gap:
+                return True
+        return False
+
     def trim(self) -> None:
         """Forgets all but the listed words where many others have come up."""
         if len(self) > len(self.words) + REMEMBERED:
@@ -161,19 +161,16 @@ class Scores(dict):
 
 def segments(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
     """The number of words, and the positive segments as (first word, last word, score); words are
-    those of :func:`words_in_place`. Most texts hold nothing that scores above the gap, and one
-    search says so; their words are not counted."""
+    those of :func:`words_in_place`. Many texts hold no word above the gap, and one search
+    says so; their words are not counted."""
     low, gap = text.lower(), scores.gap
-    if not scores.may_exceed(low):
+    if not scores.any_above(low):
         return 0, []
     words = LETTERS.findall(low)
     n = len(words)
-    weights = np.fromiter(map(scores.__getitem__, words), float, n)
-    if weights.max(initial=0.0) <= gap:
-        return 0, []
     if len(low) != len(text):
         words = [w.lower() for w in LETTERS.findall(text)]
-        weights = np.fromiter(map(scores.__getitem__, words), float, len(words))
+    weights = np.fromiter(map(scores.__getitem__, words), float, len(words))
     weights = np.rint(weights * FIXED).astype(np.int64) - round(gap * FIXED)
     # Runs of words above the gap, and what lies between them, are what a segment is made of.
     above = np.concatenate([[False], weights > 0, [False]])
@@ -321,7 +318,7 @@ def _learn(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, tu
     shared = scored.sparkSession.sparkContext.broadcast(grams)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value)
+        automaton = _automaton(shared.value)  # values: sums, and the share that shrinking leaves
         for batch in batches:
             words, odds, variance = (batch.column(k).to_pylist() for k in range(3))
             both = [_expected(w, automaton, _own(o, v)) for w, o, v in zip(words, odds, variance)]
