@@ -37,7 +37,7 @@ from tablegauge.llm.packing import PATTERN, byte_ranks
 from tablegauge.llm.slices import sliced
 from tablegauge.llm.work import Scratch
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MARK = "▁"  # stands for a space in pieces
 
 
