@@ -43,7 +43,7 @@ from tablegauge.llm.text import crc_remainder
 from tablegauge.llm.work import Scratch
 
 LETTERS = re.compile(r"[^\W\d_]+")
-FREQUENT = 200_000  # entries (word and language) that are broadcast
+FREQUENT = 400_000  # entries (word and language) that are broadcast
 FREQUENT_CHARS = 64
 LONGEST = 5  # characters of an n-gram
 FLUSH = 500_000  # words or n-grams a task counts before it passes them on
@@ -196,17 +196,23 @@ TALLIED_DDL = (
 )
 
 
+def _compact(frequent: dict[str, list[tuple[str, int]]]) -> tuple:
+    """Words, the number of entries of each, and all entries as arrays, with the languages."""
+    languages = sorted({lang for entries in frequent.values() for lang, _ in entries})
+    place = {lang: i for i, lang in enumerate(languages)}
+    size = np.array([len(e) for e in frequent.values()], np.int32)
+    lang = np.array([place[lang] for e in frequent.values() for lang, _ in e], np.int32)
+    above = np.array([above for e in frequent.values() for _, above in e], np.int64)
+    return list(frequent), size, lang, above, languages
+
+
 class _Frequent:
     """Frequent words by number, and their languages and scores as one sparse matrix."""
 
-    def __init__(self, frequent: dict[str, list[tuple[str, int]]]):
-        self.number = {word: i for i, word in enumerate(frequent)}
-        self.languages = sorted({lang for entries in frequent.values() for lang, _ in entries})
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        self.size = np.array([len(e) for e in frequent.values()], np.int64)
+    def __init__(self, words: list[str], size: np.ndarray, lang: np.ndarray, above: np.ndarray, languages: list[str]):
+        self.number = dict(zip(words, range(len(words))))
+        self.size, self.lang, self.above, self.languages = size.astype(np.int64), lang, above, languages
         self.start = np.cumsum(self.size) - self.size
-        self.lang = np.array([place[lang] for e in frequent.values() for lang, _ in e], np.int64)
-        self.above = np.array([above for e in frequent.values() for _, above in e], np.int64)
 
     def sums(self, doc: np.ndarray, word: np.ndarray, n: np.ndarray):
         """Per document and language that has any: document, language, sums of scores and of ``n``."""
@@ -230,10 +236,10 @@ def _listed(doc: np.ndarray, n_docs: int, values: pa.Array) -> pa.ListArray:
 
 def _tallied(docs: DataFrame, frequent: dict[str, list[tuple[str, int]]]) -> DataFrame:
     """Per document the sums over frequent words by language, and its other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(_compact(frequent))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = _Frequent(shared.value), TaskContext.get().partitionId() << 36
+        known, number = _Frequent(*shared.value), TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in sliced(batch, 1, SLICE_BYTES):
                 words: list[str] = []
@@ -269,7 +275,7 @@ def _tallied(docs: DataFrame, frequent: dict[str, list[tuple[str, int]]]) -> Dat
     return rows.mapInArrow(tally, TALLIED_DDL)
 
 
-def _by_grams(left: DataFrame, model: Model, lengths: list[int]) -> DataFrame:
+def _by_grams(left: DataFrame, model: Model, lengths: list[int], scratch: Scratch) -> DataFrame:
     """``id``, ``langs`` (lang, above) of the words (``word``, ``id``) of which any n-gram of these
     lengths is known, by those of the longest such length."""
 
@@ -293,7 +299,7 @@ def _by_grams(left: DataFrame, model: Model, lengths: list[int]) -> DataFrame:
     words = model.words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = words.select("word", F.inline("langs")).select("lang", "word", "n")
     grams = _by_unit(words.mapInArrow(_count_grams(lengths, only), "lang string, word string, n long"))
-    met = wanted.hint("merge").join(grams, "word")
+    met = scratch.keep(wanted.hint("merge").join(grams, "word").drop("word"), f"met-{lengths[0]}")
     if len(lengths) > 1:
         longest = met.groupBy("id").agg(F.max("k").alias("k"))
         met = met.hint("merge").join(longest, ["id", "k"])
@@ -322,7 +328,8 @@ def _unseen(words: DataFrame, model: Model, scratch: Scratch) -> list[DataFrame]
     for lengths in ([model.longest], list(range(model.longest - 1, 0, -1))):
         if not lengths or left.isEmpty():
             break
-        scores = scratch.keep(_by_grams(left, model, lengths), f"grams-{lengths[0]}")
+        scores = scratch.keep(_by_grams(left, model, lengths, scratch), f"grams-{lengths[0]}")
+        scratch.drop(f"met-{lengths[0]}")
         found.append(left.hint("merge").join(scores, "id").select("word", "langs"))
         left = scratch.keep(left.hint("merge").join(scores, "id", "left_anti"), f"unseen-{lengths[0]}")
     return found
@@ -336,16 +343,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     known = model.words.select(
         "word", F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), _above_floor(x["n"]).alias("above"))).alias("langs")
     )
-    words = others.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).select("word")
-    unseen = words.hint("merge").join(known, "word", "left_anti")
-    scored = known.withColumn("sized", F.lit(1))
-    for some in _unseen(unseen, model, scratch):
-        scored = scored.unionByName(some.withColumn("sized", F.lit(0)))
-    one = F.col("x.above") * F.col("n")
-    of_others = others.hint("merge").join(scored, "word").select("row", "n", "sized", F.explode("langs").alias("x"))
+    met = others.hint("merge").join(known, "word", "left")
+    unseen = F.col("langs").isNull()
+    met = scratch.keep(met.select("row", "n", F.when(unseen, F.col("word")).alias("word"), "langs"), "met")
+    unknown = met.where(unseen).drop("langs")
+    sums = met.select("row", "n", F.inline("langs")).select("row", "lang", (F.col("above") * F.col("n")).alias("above"), "n")
+    for scored in _unseen(unknown.select("word").distinct(), model, scratch):
+        # Their scores have the sizes of the languages in them already.
+        by_grams = unknown.hint("merge").join(scored, "word").select("row", "n", F.inline("langs"))
+        sums = sums.unionByName(
+            by_grams.select("row", "lang", (F.col("above") * F.col("n")).alias("above"), F.lit(0).cast("long").alias("n"))
+        )
     sums = (
-        of_others.select("row", "x.lang", one.alias("above"), (F.col("n") * F.col("sized")).alias("n"))
-        .unionByName(rows.select("row", F.inline(F.arrays_zip("langs", "above", "seen"))).toDF("row", "lang", "above", "n"))
+        sums.unionByName(rows.select("row", F.inline(F.arrays_zip("langs", "above", "seen"))).toDF("row", "lang", "above", "n"))
         .groupBy("row", "lang")
         .agg(F.sum("above").alias("above"), F.sum("n").alias("n"))
         .join(_sizes(model, [0]), "lang")
@@ -360,11 +370,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         "row", best["lang"].alias("lang"), (1 / (F.aggregate(ahead, F.lit(0.0), lambda a, x: a + x) + rest)).alias("chance")
     )
     some = F.col("letters") & F.lit(model.n_languages > 0)
-    unknown = F.lit(1 / max(model.n_languages, 1))
+    alike = F.lit(1 / max(model.n_languages, 1))
     return rows.select("row", "doc_id", "letters").hint("merge").join(judged, "row", "left").select(
         "doc_id",
         F.when(some, F.coalesce("lang", F.lit(model.first))).otherwise("und").alias("lang_pred"),
-        F.when(some, F.coalesce("chance", unknown)).otherwise(0.0).alias("score"),
+        F.when(some, F.coalesce("chance", alike)).otherwise(0.0).alias("score"),
     )
 
 
