@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import col, comparable_column
 from tablegauge.functions.missing import null_tokens_to_null
+from tablegauge.functions.text_types import inferred, parsed
 
 _SUFFIXES = (".parquet", ".csv", ".json", ".orc")
 
@@ -52,10 +52,11 @@ def load_tables(
     ``options``. The format defaults to the name's suffix, then Parquet. With
     ``check_names`` the folder or database must hold exactly the declared names.
 
-    CSV without a schema has its types inferred, which reads the data twice; give a
-    schema for large files. ``null_tokens`` become null; a CSV is then read as text first,
-    so tokens in number columns become null as well, and types are inferred from the rest.
-    Cells that do not fit their declared type are null, with or without tokens.
+    CSV without a schema is read as text and gets the types its cells spell
+    (:mod:`tablegauge.functions.text_types`), which reads the data twice; give a schema for
+    large files. ``null_tokens`` become null first, so tokens in number columns do as well;
+    tokens that do not occur change nothing. Cells that do not fit their declared type are
+    null, with or without tokens.
     """
     entries = {k: {"name": v} if isinstance(v, str) else dict(v) for k, v in spec.items()}
     named = [e["name"] for e in entries.values() if "name" in e]
@@ -82,14 +83,14 @@ def _load(
     suffix = next((s for s in _SUFFIXES if path.endswith(s)), ".parquet")
     kind = entry.get("format", suffix[1:])
     schema = entry.get("schema")
+    options = entry.get("options", {})
     reader = spark.read.format(kind)
     if kind == "csv":
-        reader = reader.option("header", True).option("inferSchema", schema is None)
-    reader = reader.options(**entry.get("options", {}))
-    options = entry.get("options", {})
-    if schema is None and tokens and kind == "csv":
-        texts = null_tokens_to_null(reader.option("inferSchema", False).load(path), tokens)
-        return _inferred(texts, options)
+        reader = reader.option("header", True)
+    reader = reader.options(**options)
+    if schema is None and kind == "csv":
+        texts = reader.option("inferSchema", False).load(path)
+        return inferred(null_tokens_to_null(texts, tokens) if tokens else texts, options)
     if schema is None:
         df = reader.load(path)
         return null_tokens_to_null(df, tokens) if tokens else df
@@ -100,39 +101,7 @@ def _load(
         return null_tokens_to_null(df, tokens) if tokens else df
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     texts = null_tokens_to_null(reader.schema(as_text).load(path), tokens)
-    return texts.select(*[_parsed(col(f.name), f.dataType, options).alias(f.name) for f in schema])
-
-
-def _parsed(text: Column, kind: T.DataType, options: Mapping) -> Column:
-    """Text as a value of a type, in the format the options name; null if it is none."""
-    format = {T.DateType: "dateFormat", T.TimestampType: "timestampFormat"}.get(type(kind))
-    if format in options:
-        time = F.try_to_timestamp(text, F.lit(options[format]))
-        return time.cast(kind)
-    return text if isinstance(kind, T.StringType) else F.trim(text).try_cast(kind)
-
-
-_INFERRED = (T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType())
-
-
-def _inferred(texts: DataFrame, options: Mapping) -> DataFrame:
-    """Each column in the first type that all of its present values fit, else as text.
-
-    One pass counts the misfits of every column and type.
-    """
-    misfits = [
-        F.count_if(col(n).isNotNull() & _parsed(col(n), kind, options).isNull()).alias(f"{i} {k}")
-        for i, n in enumerate(texts.columns)
-        for k, kind in enumerate(_INFERRED)
-    ]
-    present = [F.count(col(n)).alias(f"{i}") for i, n in enumerate(texts.columns)]
-    found = texts.agg(*misfits, *present).first().asDict()
-
-    def typed(i: int, name: str) -> Column:
-        fits = [kind for k, kind in enumerate(_INFERRED) if found[f"{i}"] and not found[f"{i} {k}"]]
-        return _parsed(col(name), fits[0], options) if fits else col(name)
-
-    return texts.select(*[typed(i, n).alias(n) for i, n in enumerate(texts.columns)])
+    return texts.select(*[parsed(col(f.name), f.dataType, options).alias(f.name) for f in schema])
 
 
 def preview(
