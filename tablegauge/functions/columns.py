@@ -84,26 +84,48 @@ def key_pair(
 ) -> tuple[Column, Column]:
     """Two key columns in a form that is equal exactly when the keys are.
 
-    Numbers of one kind keep their type. Of different kinds they become text without
-    trailing zeros: ``1``, ``1.0`` and ``1.00`` are one key, and large integers do not
-    lose digits to a floating type.
+    Numbers of one kind keep their type. Of different kinds they become the text of
+    :func:`exact_number`: ``1``, ``1.0`` and ``1.00`` are one key, and so are a decimal and
+    a double that read the same, at any magnitude.
     """
     kinds = [type_of(left, left_key), type_of(right, right_key)]
     same = kinds[0] == kinds[1] or not all(isinstance(k, T.NumericType) for k in kinds)
     if same or all(isinstance(k, T.IntegralType) for k in kinds):
         return comparable_column(left, left_key), comparable_column(right, right_key)
-    return _exact_text(left, left_key), _exact_text(right, right_key)
+    return exact_number(left, left_key), exact_number(right, right_key)
 
 
-def _exact_text(df: DataFrame, name: str) -> Column:
+def exact_number(df: DataFrame, name: str) -> Column:
+    """A number of any kind as ``<sign><digits>e<exponent>``, without zeros at either end.
+
+    ``125e-1`` is 12.5, ``125e5`` 12,500,000, ``0e0`` both zeros. A floating number stands for
+    the decimal of at most 15 digits (6 for a float) that reads as it, or else for the text that
+    Spark writes. NaN is null, infinities keep their names.
+    """
     c, kind = number(df, name), type_of(df, name)
-    if isinstance(kind, _FLOATS):
-        whole = (c == F.floor(c)) & (F.abs(c) < F.lit(2.0**63))
-        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
     text = c.cast("string")
-    if isinstance(kind, T.DecimalType) and kind.scale > 0:
-        return F.regexp_replace(text, r"\.?0+$", "")
-    return text
+    if isinstance(kind, _FLOATS):
+        short = F.format_string("%.14e" if isinstance(kind, T.DoubleType) else "%.5e", c)
+        text = F.when(short.try_cast(kind) == c, short).otherwise(text)
+    digits = F.regexp_extract(text, r"^-?(\d+)", 1)
+    fraction = F.regexp_extract(text, r"\.(\d+)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([-+]?\d+)$", 1).try_cast("int"), F.lit(0))
+    significant = F.ltrim(F.concat(digits, fraction), F.lit("0"))
+    short = F.rtrim(significant, F.lit("0"))
+    exponent = power - F.length(fraction) + F.length(significant) - F.length(short)
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return (
+        F.when(digits == "", text)
+        .when(short == "", F.lit("0e0"))
+        .otherwise(F.concat(sign, short, F.lit("e"), exponent.cast("string")))
+    )
+
+
+def from_exact_number(text: Column, kind: T.DataType) -> Column:
+    """The number that :func:`exact_number` made a text of; null if the type cannot hold it."""
+    if isinstance(kind, T.IntegralType):
+        return text.try_cast("decimal(38,0)").try_cast(kind)
+    return text.try_cast(kind)
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -115,10 +137,57 @@ def number(df: DataFrame, name: str) -> Column:
 def comparable_column(df: DataFrame, name: str) -> Column:
     """Column in a form that groups, joins and sorts the way rows are compared.
 
-    NaN equals null, null equals null, and maps compare as sorted entries.
+    NaN equals null, null equals null, and maps, at any depth, compare as sorted entries.
     """
-    c = number(df, name)
-    return F.array_sort(F.map_entries(c)) if isinstance(type_of(df, name), T.MapType) else c
+    return _normal(number(df, name), type_of(df, name))
+
+
+def holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return holds_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(holds_map(f.dataType) for f in kind.fields)
+
+
+def _normal(c: Column, kind: T.DataType) -> Column:
+    """The value with every map in it as an array of entries, sorted by key."""
+    if not holds_map(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        cells = [_normal(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*cells))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _normal(x, kind.elementType))
+    return F.array_sort(
+        F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(
+                _normal(e["key"], kind.keyType).alias("key"),
+                _normal(e["value"], kind.valueType).alias("value"),
+            ),
+        )
+    )
+
+
+def _restored(c: Column, kind: T.DataType) -> Column:
+    """The value that :func:`_normal` was given."""
+    if not holds_map(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        cells = [_restored(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*cells))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _restored(x, kind.elementType))
+    return F.map_from_entries(
+        F.transform(
+            c,
+            lambda e: F.struct(
+                _restored(e["key"], kind.keyType).alias("key"),
+                _restored(e["value"], kind.valueType).alias("value"),
+            ),
+        )
+    )
 
 
 def comparable(df: DataFrame, names: Iterable[str] | None = None) -> list[Column]:
@@ -139,7 +208,7 @@ def holds(condition: Column) -> Column:
 
 
 def unique(df: DataFrame) -> DataFrame:
-    """Distinct rows, also with maps inside of structs, which ``distinct`` refuses."""
+    """Distinct rows, of any types that can be grouped."""
     counted = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("\tcopies"))
     return counted.drop("\tcopies")
 
@@ -148,8 +217,8 @@ def restore(rows: DataFrame, like: DataFrame) -> DataFrame:
     """Turns the sorted entries made by :func:`comparable` back into maps."""
     return rows.select(
         *[
-            F.map_from_entries(col(n)).alias(n)
-            if n in like.columns and isinstance(type_of(like, n), T.MapType)
+            _restored(col(n), type_of(like, n)).alias(n)
+            if n in like.columns and holds_map(type_of(like, n))
             else col(n)
             for n in rows.columns
         ]

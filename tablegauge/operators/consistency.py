@@ -75,6 +75,7 @@ def pair_consistency(
     *,
     order_by: Sequence[str | Column] = (),
     zero_baseline: str = "row_consistent",
+    first: DataFrame | None = None,
 ) -> DataFrame:
     """Compares ``(parent measure, child measure)`` pairs over joined rows.
 
@@ -83,7 +84,8 @@ def pair_consistency(
     parent's value. Rates are over comparable rows.
 
     ``zero_baseline="row_consistent"`` takes a row with any parent value of 0 as
-    consistent; ``"skip_pair"`` ignores that pair only.
+    consistent; ``"skip_pair"`` ignores that pair only. ``first``: the child's first rows, where
+    they are known already.
     """
     if zero_baseline not in ZERO_BASELINES:
         raise ValueError(f"zero_baseline must be one of {ZERO_BASELINES}")
@@ -93,7 +95,7 @@ def pair_consistency(
     check_key_types(parent, on, child, on)
 
     # The child's first rows are those of dedupe_keep_first: all columns break ties.
-    first = first_per_key(child, keys, order_by)
+    first = first_per_key(child, keys, order_by) if first is None else first
     pairs_of_keys = [key_pair(parent, k, first, k) for k in on]
     left = parent.select(
         *[k.alias(f"k{i}") for i, (k, _) in enumerate(pairs_of_keys)],

@@ -19,6 +19,7 @@ from tablegauge.functions.columns import (
     check_key_types,
     col,
     comparable,
+    from_exact_number,
     holds,
     key_pair,
     restore,
@@ -28,6 +29,7 @@ from tablegauge.functions.columns import (
 )
 from tablegauge.functions.rates import rate
 from tablegauge.operators.consistency import first_per_key
+from tablegauge.operators.key_domains import key_domains, linked_counts
 from tablegauge.operators.profile import distinct_rows
 
 
@@ -61,7 +63,7 @@ def key_presence(
     kind = type_of(left, left_key)
     if found.schema["key"].dataType == kind or not isinstance(kind, T.NumericType):
         return found
-    return found.withColumn("key", F.col("key").try_cast(kind))
+    return found.withColumn("key", from_exact_number(F.col("key"), kind))
 
 
 def referential_integrity(
@@ -77,21 +79,21 @@ def referential_integrity(
     return counted.withColumn("orphan_rate", rate(F.col("orphaned"), F.col("keys")))
 
 
+REFERENCES = ("keys", "referenced", "orphaned")
+CHILDREN = ("keys", "with_child", "without_child")
+
+
 def referential_integrity_rules(
     tables: Mapping[str, DataFrame], rules: Sequence[tuple[str, str, str, str]]
 ) -> DataFrame:
-    """:func:`referential_integrity` per ``(table, column, parent table, parent column)``."""
+    """:func:`referential_integrity` per ``(table, column, parent table, parent column)``.
+
+    Rules whose columns hold keys of one domain share one shuffle of these keys, and a table
+    is read once for all its columns in it.
+    """
     if not rules:
         raise ValueError("no reference rules given")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            referential_integrity(tables[table], tables[parent], column, parent_column).select(
-                F.lit(table).alias("table"), "*"
-            )
-            for table, column, parent, parent_column in rules
-        ],
-    )
+    return linked_counts(key_domains(tables, rules), rules, REFERENCES, "orphan_rate")
 
 
 def missing_children(

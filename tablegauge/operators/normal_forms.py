@@ -14,11 +14,11 @@ from tablegauge.functions.columns import (
     comparable,
     quoted,
     restore,
+    row_digest,
     string_columns,
     unique,
 )
 from tablegauge.operators.frequencies import distinct_counts
-from tablegauge.operators.profile import duplicate_row_count
 from tablegauge.operators.tally import Tally, Totals, measure, result_row
 
 
@@ -84,32 +84,43 @@ def atomicity_counts(
 
 
 def _distinct_combinations(
-    df: DataFrame, key_sets: Mapping[str, Sequence[str]]
+    rows: DataFrame, names: Mapping[str, str], sets: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """``name, distinct`` per column combination; nulls are values.
+    """``name, rows, distinct`` per column set over ``rows``; nulls are values.
 
-    The distinct values of a combination come from those of the smallest combination that
-    holds it, so nested sets roll up: only the widest ones read the table.
+    ``names``: the column of ``rows`` that stands for a column of a set. The values of a set
+    come from those of the smallest set that holds it, and every step adds up how many rows
+    they stand for: the sums are part of the result, so the optimiser cannot take a step out.
+    Steps that several sets share are shuffled once, and only sets that no other holds read
+    ``rows``.
     """
-    used = sorted({n for columns in key_sets.values() for n in columns}, key=df.columns.index)
-    positions = {n: f"c{i}" for i, n in enumerate(used)}
-    narrow = df.select(*[c.alias(positions[n]) for n, c in zip(used, comparable(df, used))])
+    weight = "\trows"
     found: dict[frozenset[str], DataFrame] = {}
-    for columns in sorted({frozenset(c) for c in key_sets.values()}, key=lambda c: (-len(c), sorted(c))):
+    for columns in sorted({frozenset(c) for c in sets.values()}, key=lambda c: (-len(c), sorted(c))):
         wider = [c for c in found if columns < c]
-        rows = found[min(wider, key=lambda c: (len(c), sorted(c)))] if wider else narrow
-        found[columns] = unique(rows.select(*[positions[n] for n in used if n in columns]))
+        source = found[min(wider, key=lambda c: (len(c), sorted(c)))] if wider else rows
+        counted = F.sum(col(weight)) if wider else F.count(F.lit(1))
+        found[columns] = source.groupBy(*[col(n) for c, n in names.items() if c in columns]).agg(counted.alias(weight))
     return reduce(
         DataFrame.unionByName,
         [
-            found[frozenset(columns)].agg(F.count(F.lit(1)).alias("distinct")).select(
-                F.lit(name).alias("name"), "distinct"
+            found[frozenset(columns)]
+            .agg(
+                F.coalesce(F.sum(col(weight)), F.lit(0)).alias("rows"),
+                F.count_if(col(weight) > 0).alias("distinct"),
             )
-            for name, columns in key_sets.items()
+            .select(F.lit(name).alias("name"), "rows", "distinct")
+            for name, columns in sets.items()
         ],
     )
 
 
+def _numbered(df: DataFrame, columns: Sequence[str]) -> tuple[list[Column], dict[str, str]]:
+    """Columns in comparable form under short names, and the names by column."""
+    names = {n: f"c{i}" for i, n in enumerate(columns)}
+    return [c.alias(names[n]) for n, c in zip(columns, comparable(df, columns))], names
+
+
 def candidate_key_scan(
     df: DataFrame,
     key_sets: Sequence[Sequence[str]],
@@ -120,31 +131,26 @@ def candidate_key_scan(
     """``key_columns, rows, distinct_keys, duplicates`` for each column combination.
 
     ``duplicates`` is 0 exactly for a key. ``dedupe`` counts exact copies once, which
-    concerns ``rows`` only: copies have the same keys. With ``digest`` rows are compared
-    by their SHA-256.
+    concerns ``rows`` only: copies have the same keys. All sets are then counted from the
+    distinct rows, which are made in one scan. With ``digest`` rows are compared by their
+    SHA-256.
     """
     sets = {", ".join(check_columns(df, columns)): columns for columns in key_sets}
     if not sets:
         raise ValueError("no key sets given")
+    used = [n for n in df.columns if any(n in columns for columns in sets.values())]
     if dedupe:
-        counted = duplicate_row_count(df, digest=digest).select(F.col("distinct_rows").alias("distinct"))
+        compared = used if digest else df.columns
+        cells, names = _numbered(df, compared)
+        rows = unique(df.select(*cells, *([row_digest(df).alias("\tdigest")] if digest else [])))
     else:
-        counted = df.agg(F.count(F.lit(1)).alias("distinct"))
-    # One row per set, and one without a name for the table.
-    every = _distinct_combinations(df, sets).unionByName(
-        counted.select(F.lit(None).cast("string").alias("name"), "distinct")
-    )
-    rows = F.max(F.when(F.col("name").isNull(), F.col("distinct")))
-    found = F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "distinct")))
-    return (
-        every.agg(rows.alias("rows"), found.alias("found"))
-        .select("rows", F.inline("found"))
-        .select(
-            F.col("name").alias("key_columns"),
-            "rows",
-            F.col("distinct").alias("distinct_keys"),
-            (F.col("rows") - F.col("distinct")).alias("duplicates"),
-        )
+        cells, names = _numbered(df, used)
+        rows = df.select(*cells)
+    return _distinct_combinations(rows, names, sets).select(
+        F.col("name").alias("key_columns"),
+        "rows",
+        F.col("distinct").alias("distinct_keys"),
+        (F.col("rows") - F.col("distinct")).alias("duplicates"),
     )
 
 
@@ -180,8 +186,9 @@ def decomposition_summary(
             raise ValueError(f"projection {name!r} lacks columns of its key {key}")
         sets[f"rows\t{name}"], sets[f"keys\t{name}"] = columns, key
     part = F.split(F.col("name"), "\t")
+    cells, names = _numbered(df, [n for n in df.columns if any(n in c for c in sets.values())])
     counted = (
-        _distinct_combinations(df, sets)
+        _distinct_combinations(df.select(*cells), names, sets)
         .select(part[0].alias("kind"), part[1].alias("projection"), "distinct")
         .groupBy("projection")
         .agg(
