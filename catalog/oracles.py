@@ -870,5 +870,239 @@ _ORACLES |= {
 }
 
 
+_LENGTH_OK = "coalesce(length_cm > 0 AND length_cm <= 200, false)"
+_FIELD_RULES = (
+    # table, rule, where it applies, where it cannot be decided, what it demands
+    ("articles", "centimetres need a length", "coalesce(unit = 'cm', false)", "false", _LENGTH_OK),
+    (
+        "articles",
+        "sentinel codes have no name",
+        "coalesce(gtin = 9999999999999, false)",
+        "false",
+        f"({_MISSING['name']} OR coalesce(unit = 'mm (falsch)', false))",
+    ),
+    (
+        "articles",
+        "width is twice the size",
+        f"(NOT {_MISSING['unit']} AND coalesce(width_cm >= 20, false))",
+        "(height_cm IS NULL OR length_cm IS NULL)",
+        "(coalesce(height_cm > 25, false) AND coalesce(length_cm <> 250, false))",
+    ),
+    ("prices", "francs are whole", "coalesce(currency = 'CHF', false)", "false", "coalesce(price >= 1, false)"),
+)
+
+
+def _violated(applies: str, undecided: str, demanded: str) -> str:
+    return f"({applies} AND NOT {undecided} AND NOT {demanded})"
+
+
+def _implications() -> str:
+    parts = []
+    for table, rule, applies, undecided, demanded in _FIELD_RULES:
+        decided = _n(f"{applies} AND NOT {undecided}")
+        violated = _n(_violated(applies, undecided, demanded))
+        parts.append(
+            f"""SELECT '{table}' AS "table", '{rule}' AS rule, count(*) AS total, {_n(applies)} AS applicable,
+  {_n(f"{applies} AND {undecided}")} AS undecided, {decided} - {violated} AS fulfilled,
+  {violated} AS violated, {_rate(violated, decided)} AS violated_rate FROM v_{table}"""
+        )
+    return _union(parts)
+
+
+def _implication_rows(table: str) -> str:
+    return _union(
+        f"SELECT '{rule}' AS rule, * FROM v_{t} WHERE {_violated(*conditions)}"
+        for t, rule, *conditions in _FIELD_RULES
+        if t == table
+    )
+
+
+# The thirteenth digit that the other twelve ask for, and the one that is there.
+_EXPECTED = (
+    "(10 - ("
+    + " + ".join(f"(gtin // {10**k}) % 10 * {3 if k % 2 else 1}" for k in range(1, 13))
+    + ") % 10) % 10"
+)
+_WRONG = f"(gtin % 10 <> {_EXPECTED})"
+_FULL = "(gtin BETWEEN 1000000000000 AND 9999999999998)"
+_CHECK_DIGITS = f"""
+SELECT 'articles' AS "table", 'gtin' AS "column", count(*) AS total, {_n("gtin IS NULL")} AS missing,
+  CAST(0 AS BIGINT) AS unparseable, {_n("gtin = 9999999999999")} AS sentinel,
+  {_n("gtin >= 10000000000000")} AS too_long,
+  {_n(f"gtin < 1000000000000 AND {_WRONG}")} AS short_check_digit_invalid,
+  {_n(f"gtin < 1000000000000 AND NOT {_WRONG}")} AS short_valid,
+  {_n(f"{_FULL} AND {_WRONG}")} AS check_digit_invalid, {_n(f"{_FULL} AND NOT {_WRONG}")} AS valid,
+  {_rate(_n(f"{_FULL} AND {_WRONG}"), _n(_FULL))} AS check_digit_invalid_rate
+FROM v_articles"""
+_CHECK_DIGIT_ROWS = f"""
+SELECT *, CAST({_EXPECTED} AS INTEGER) AS expected_digit FROM v_articles WHERE {_FULL} AND {_WRONG}"""
+_FORMAT = "regexp_full_match(CAST(gtin AS VARCHAR), '4[0-9]{12}')"
+_KEY_FORMAT = f"""
+SELECT 'articles' AS "table", 'gtin' AS "column", '4[0-9]{{12}}' AS pattern, count(*) AS total,
+  {_n("gtin IS NULL")} AS missing, {_n(_FORMAT)} AS matching, {_n(f"NOT {_FORMAT}")} AS not_matching,
+  {_rate(_n(_FORMAT), "count(gtin)")} AS matching_rate
+FROM v_articles"""
+
+
+def _shape(text: str, runs: bool = False) -> str:
+    for pattern, sign in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "9")):
+        text = f"regexp_replace({text}, '{pattern}{'+' if runs else ''}', '{sign}', 'g')"
+    return text
+
+
+def _value_shapes(table: str, missing: dict[str, str]) -> str:
+    return _union(
+        f"""SELECT '{c}' AS "column", {_shape(f"CAST({c} AS VARCHAR)")} AS shape, count(*) AS rows,
+  {_rate("count(*)", f"(SELECT count(*) FROM {table} WHERE NOT {m})")} AS share, min(CAST({c} AS VARCHAR)) AS example
+FROM {table} WHERE NOT {m} GROUP BY ALL"""
+        for c, m in missing.items()
+    )
+
+
+# With runs: one sign stays alone, more get a plus.
+_RUNS = "regexp_replace(regexp_replace(regexp_replace({}, 'aa+', 'a+', 'g'), 'AA+', 'A+', 'g'), '99+', '9+', 'g')"
+
+
+def _value_shapes_runs() -> str:
+    parts = []
+    for c in ("c_name", "c_mktsegment"):
+        shape = _RUNS.format(_shape(c))
+        parts.append(
+            f"""SELECT '{c}' AS "column", {shape} AS shape, count(*) AS rows,
+  {_rate("count(*)", "(SELECT count(*) FROM customer)")} AS share, min({c}) AS example FROM customer GROUP BY ALL"""
+        )
+    return _union(parts)
+
+
+_UNUSUAL = f"""
+WITH s AS (
+  SELECT {_shape("CAST(gtin AS VARCHAR)")} AS shape, count(*) AS rows FROM v_articles WHERE gtin IS NOT NULL GROUP BY ALL
+)
+SELECT v.*, s.shape FROM v_articles AS v JOIN s ON s.shape = {_shape("CAST(gtin AS VARCHAR)")}
+WHERE CAST(s.rows AS DOUBLE) / (SELECT count(gtin) FROM v_articles) <= 0.05"""
+
+_SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice"]
+_DISTINCT_SKETCHES = _union(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS present, count(DISTINCT {c}) AS exact, true AS within
+FROM lineitem"""
+    for c in _SKETCHED
+)
+_KEY_KINDS = """
+WITH c AS (
+  SELECT DISTINCT CAST(CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + CAST(0.005 AS DOUBLE) ELSE o_totalprice END
+                       AS DECIMAL(20,4)) AS amount FROM orders
+), p AS (
+  SELECT CAST(o_totalprice AS DECIMAL(20,4)) AS amount FROM orders
+  UNION SELECT CAST(100000000 + o_orderkey AS DECIMAL(20,4)) FROM orders
+), k AS (SELECT c.amount IN (SELECT amount FROM p) AS met FROM c WHERE amount IS NOT NULL)
+SELECT count(*) AS keys, count(*) FILTER (met) AS referenced, count(*) FILTER (NOT met) AS orphaned,
+  CAST(count(*) FILTER (NOT met) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0) AS orphan_rate FROM k"""
+_NESTED_CONFLICTS = """
+WITH d AS (
+  SELECT DISTINCT l_orderkey AS k, l_linenumber % 2 AS q, l_suppkey % 2 AS a, CAST(1 AS BIGINT) AS b FROM lineitem
+)
+SELECT k, 's' AS conflict_in, q, a, b FROM d
+WHERE k IN (SELECT k FROM d GROUP BY k HAVING count(*) > 1)"""
+_CSV_TYPES = """
+SELECT CAST(s_suppkey AS INTEGER) AS key,
+  CASE s_suppkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END AS flag,
+  lpad(CAST(s_suppkey % 50 AS VARCHAR), 2, '0') || 'D' AS code,
+  CASE WHEN s_suppkey % 7 <> 0 THEN DATE '2024-01-01' + CAST(s_suppkey % 28 AS INTEGER) END AS day,
+  lpad(CAST(s_suppkey % 24 AS VARCHAR), 2, '0') || ':30' AS clock,
+  lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS zeros,
+  CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS amount,
+  s_suppkey % 2 = 0 AS even,
+  'key:int, flag:string, code:string, day:date, clock:string, zeros:string, amount:double, even:boolean' AS kinds
+FROM supplier"""
+
+
+def _field_metrics() -> str:
+    fields = {c: _MISSING[c] for c in ("article_id", "name", "unit")}
+    rules = ["total", "applicable", "undecided", "fulfilled", "violated", "violated_rate"]
+    digits = [
+        "total",
+        "missing",
+        "unparseable",
+        "sentinel",
+        "too_long",
+        "short_check_digit_invalid",
+        "short_valid",
+        "check_digit_invalid",
+        "valid",
+        "check_digit_invalid_rate",
+    ]
+    lengths = [
+        "total",
+        "missing",
+        "sentinel",
+        "format_invalid",
+        "format_invalid_rate",
+        "unparseable",
+        "total_invalid",
+        "total_invalid_rate",
+        "valid",
+        "valid_rate",
+    ]
+    formats = ["total", "missing", "matching", "not_matching", "matching_rate"]
+    lengths_sql = _identifier("length(CAST(gtin AS VARCHAR)) > 13")
+    return _union(
+        [
+            _long("completeness", _completeness("v_articles", fields), ["missing", "completeness"], "field", "'articles'"),
+            _long("implications", _implications(), rules, "rule", '"table"'),
+            _long("check_digits", _CHECK_DIGITS, digits, '"column"', '"table"'),
+            _long("identifier_format", lengths_sql, lengths, '"column"', '"table"'),
+            _long("key_format", _KEY_FORMAT, formats, '"column"', '"table"'),
+        ]
+    )
+
+
+_FIELD_DETAILS = _union(
+    f"SELECT '{name}' AS result, count(*) AS rows FROM {_inner(sql)}"
+    for name, sql in (
+        ("implication_rows_articles", _implication_rows("articles")),
+        ("implication_rows_prices", _implication_rows("prices")),
+        ("check_digits_rows_articles_gtin", _CHECK_DIGIT_ROWS),
+        ("key_format_rows_articles_gtin", f"SELECT * FROM v_articles WHERE NOT {_FORMAT}"),
+    )
+)
+_VERDICTS = f"""
+SELECT "check", "table", field, metric, value, CAST(0.95 AS DOUBLE) AS minimum, CAST(NULL AS DOUBLE) AS maximum,
+  value >= 0.95 AS passed
+FROM {_inner(_field_metrics())} WHERE metric = 'completeness'"""
+
+
+def _history() -> str:
+    parts = []
+    for run, rest in (("even", 0), ("odd", 1)):
+        view = f"(SELECT * FROM v_articles WHERE article_id % 2 = {rest})"
+        complete = f"SELECT completeness BETWEEN 0.96 AND 1 AS fine FROM {_inner(_completeness(view, _MISSING))}"
+        unique = f"SELECT uniqueness BETWEEN 0.5 AND 0.98 AS fine FROM {_inner(_uniqueness(view, ['gtin']))}"
+        parts.append(
+            f"""SELECT '{run}' AS run_id, {_n("fine")} AS passed, {_n("NOT fine")} AS failed,
+  {_n("fine IS NULL")} AS undecided, {_n("NOT fine")} = 0 AS all_passed FROM ({complete} UNION ALL {unique})"""
+        )
+    return _union(parts)
+
+
+_ORACLES |= {
+    "implications": _implications(),
+    "implication_rows": _implication_rows("articles"),
+    "check_digits": _CHECK_DIGITS,
+    "check_digit_rows": _CHECK_DIGIT_ROWS,
+    "key_format": _KEY_FORMAT,
+    "value_shapes": _value_shapes("v_articles", {c: _MISSING[c] for c in ("name", "unit", "gtin")}),
+    "value_shapes_runs": _value_shapes_runs(),
+    "unusual_shape_rows": _UNUSUAL,
+    "distinct_sketches": _DISTINCT_SKETCHES,
+    "key_kinds": _KEY_KINDS,
+    "key_conflict_columns_nested": _NESTED_CONFLICTS,
+    "suite_of_field_rules": _field_metrics(),
+    "suite_field_details": _FIELD_DETAILS,
+    "verdicts": _VERDICTS,
+    "verdicts_of_history": _history(),
+    "csv_types": _CSV_TYPES,
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in _ORACLES.items()}

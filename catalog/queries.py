@@ -209,7 +209,151 @@ def _suite(t: Inputs, **options) -> dict[str, DataFrame]:
 
 
 def _panel(name: str) -> Callable[[Inputs], DataFrame]:
-    return lambda t: plans.report_panels(_suite(t))[name]
+    """A panel from a run of just the checks it shows."""
+
+    def query(t: Inputs) -> DataFrame:
+        results = plans.run_suite(_tables(t), plans.panel_rules(SUITE_RULES, [name]))
+        return plans.report_panels(results)[name]
+
+    return query
+
+
+# Rules across fields, in the German keys of a rule file.
+FIELD_RULES = {
+    "schwellenwerte": {"vollstaendigkeit_min": 0.95},
+    "pflichtfelder": {"articles": ["article_id", "name", "unit"]},
+    "gtin_check": {
+        "tabelle": "articles",
+        "spalte": "gtin",
+        "laenge": 13,
+        "sentinel_werte": SENTINEL_CODES,
+        "pruefziffer": True,
+    },
+    "schluesselformat": [{"tabelle": "articles", "spalte": "gtin", "muster": "4[0-9]{12}"}],
+    "einheiten": UNITS,
+    "feldabhaengigkeiten": [
+        {
+            "name": "centimetres need a length",
+            "tabelle": "articles",
+            "wenn": {"unit": {"in": "einheiten"}},
+            "dann": {"length_cm": {"ueber": 0, "max": 200}},
+        },
+        {
+            "name": "sentinel codes have no name",
+            "tabelle": "articles",
+            "wenn": {"gtin": 9999999999999},
+            "dann": {"oder": [{"name": None}, {"unit": ["mm (falsch)"]}]},
+        },
+        {
+            "name": "width is twice the size",
+            "tabelle": "articles",
+            "wenn": {"nicht": {"unit": None}, "width_cm": {"min": 20}},
+            "dann": {"height_cm": {"ueber": 25}, "length_cm": {"ungleich": 250}},
+            "fehlend": "auslassen",
+        },
+        {
+            "name": "francs are whole",
+            "tabelle": "prices",
+            "wenn": {"currency": {"gleich": "CHF"}},
+            "dann": {"price": {"min": 1, "fehlt": False}},
+        },
+    ],
+}
+FIELD_DETAILS = [
+    "implication_rows_articles",
+    "implication_rows_prices",
+    "check_digits_rows_articles_gtin",
+    "key_format_rows_articles_gtin",
+]
+
+
+def _field_rules(t: Inputs) -> list:
+    return plans.article_rules(FIELD_RULES)["implications"]
+
+
+def _field_suite(t: Inputs, details: bool = False) -> dict[str, DataFrame]:
+    rules = plans.article_rules(FIELD_RULES) | {"overview": False}
+    return plans.run_suite({"articles": t.v_articles, "prices": t.v_prices}, rules, details=details)
+
+
+def _field_details(t: Inputs) -> DataFrame:
+    results = _field_suite(t, details=True)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            results[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("result"), "rows")
+            for name in FIELD_DETAILS
+        ],
+    )
+
+
+def _history(t: Inputs) -> DataFrame:
+    """Verdicts per run over a history of two runs: articles with even and with odd numbers."""
+    spark = t.v_articles.sparkSession
+    path = f"{sources.use_checkpoint_folder(spark)}/history-{uuid.uuid4().hex}"
+    for run, rest in (("even", 0), ("odd", 1)):
+        part = t.v_articles.where(F.col("article_id") % 2 == rest)
+        results = {"completeness": op.completeness(part, ARTICLE_FIELDS), "uniqueness": op.uniqueness(part, ["gtin"])}
+        sources.append_metrics(results, path, run)
+    thresholds = [
+        {"check": "completeness", "metric": "completeness", "min": 0.96},
+        {"check": "uniqueness", "metric": "uniqueness", "field": "gtin", "min": 0.5, "max": 0.98},
+    ]
+    return plans.run_verdicts(plans.verdicts(spark.read.parquet(path), thresholds))
+
+
+def _sketches(t: Inputs) -> DataFrame:
+    """Distinct values by sketches of two parts of a table, merged, next to the exact counts."""
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice"]
+    parts = [op.distinct_sketches(t.lineitem.where(F.col("l_linenumber") % 2 == i), names) for i in (0, 1)]
+    merged = op.sketch_counts(op.merge_sketches(parts[0].unionByName(parts[1])))
+    exact = op.column_profile(t.lineitem, names).select("column", F.col("distinct").alias("exact"))
+    off = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * op.sketch_error()
+    joined = merged.join(exact.hint("merge"), "column")
+    return joined.select("column", "rows", "present", "exact", off.alias("within"))
+
+
+# What a CSV file holds as text, some of which only looks like a value of another type.
+CSV_CELLS = """CAST(s_suppkey AS STRING) AS key,
+  CASE s_suppkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' ELSE 'NA' END AS flag,
+  concat(lpad(s_suppkey % 50, 2, '0'), 'D') AS code,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'NA' ELSE concat('2024-01-', lpad(1 + s_suppkey % 28, 2, '0')) END AS day,
+  concat(lpad(s_suppkey % 24, 2, '0'), ':30') AS clock,
+  lpad(s_suppkey, 6, '0') AS zeros,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'NA' ELSE CAST(s_acctbal AS STRING) END AS amount,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'FALSE' END AS even"""
+
+
+def _csv_types(t: Inputs) -> DataFrame:
+    """A CSV written from a given table and read back in the types its cells spell."""
+    spark = t.supplier.sparkSession
+    path = f"{sources.use_checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    spark.sql(f"SELECT {CSV_CELLS} FROM {{s}}", s=t.supplier).write.option("header", True).csv(path)
+    spec = {"suppliers": {"path": path, "format": "csv"}}
+    found = sources.load_tables(spark, spec, check_names=False, null_tokens=["NA"])["suppliers"]
+    # One more column with the types, so that they are compared with the SQL side as well.
+    kinds = ", ".join(f"{n}:{kind}" for n, kind in found.dtypes)
+    return found.withColumn("kinds", F.lit(kinds))
+
+
+def _key_kinds(t: Inputs) -> DataFrame:
+    """Decimal keys against doubles that read the same, some of them shifted."""
+    child = t.orders.selectExpr(
+        "CAST(CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 0.005D ELSE o_totalprice END AS DECIMAL(20,4)) AS amount"
+    )
+    parent = t.orders.selectExpr("o_totalprice * 1D AS amount").unionByName(t.orders.selectExpr("1e8D + o_orderkey AS amount"))
+    return op.referential_integrity(child, parent, "amount", "amount")
+
+
+def _nested_conflicts(t: Inputs) -> DataFrame:
+    """Rows in conflict whose cells are structs of maps, laid out flat."""
+    nested = t.lineitem.selectExpr(
+        "l_orderkey AS k",
+        "named_struct('q', l_linenumber % 2, 'm', CASE l_linenumber % 3"
+        " WHEN 0 THEN map('a', l_suppkey % 2, 'b', 1L) ELSE map('b', 1L, 'a', l_suppkey % 2) END) AS s",
+    )
+    found = op.key_conflict_columns(nested, ["k"])
+    return found.selectExpr("k", "conflict_in", "s.q AS q", "s.m['a'] AS a", "s.m['b'] AS b")
 
 
 def _nested(t: Inputs) -> DataFrame:
@@ -386,6 +530,22 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
         t.v_categories, PROJECTIONS, PROJECTION_KEYS
     ),
     "entity_counts": lambda t: op.entity_counts(t.v_categories, ["article_id", "category"]),
+    # rules across fields, codes, sketches
+    "implications": lambda t: op.implications(
+        {"articles": t.v_articles, "prices": t.v_prices}, _field_rules(t)
+    ),
+    "implication_rows": lambda t: op.implication_rows(
+        t.v_articles, [r for r in _field_rules(t) if r["table"] == "articles"]
+    ),
+    "check_digits": lambda t: op.check_digits(t.v_articles, "gtin", 13, SENTINEL_CODES, table="articles"),
+    "check_digit_rows": lambda t: op.check_digit_rows(t.v_articles, "gtin", 13, SENTINEL_CODES),
+    "key_format": lambda t: op.key_format(t.v_articles, "gtin", "4[0-9]{12}", table="articles"),
+    "value_shapes": lambda t: op.value_shapes(t.v_articles, ["name", "unit", "gtin"]),
+    "value_shapes_runs": lambda t: op.value_shapes(t.customer, ["c_name", "c_mktsegment"], runs=True),
+    "unusual_shape_rows": lambda t: op.unusual_shape_rows(t.v_articles, "gtin", 0.05),
+    "distinct_sketches": _sketches,
+    "key_kinds": _key_kinds,
+    "key_conflict_columns_nested": _nested_conflicts,
     # report datasets
     "scorecard": _panel("scorecard"),
     "traffic_light": lambda t: plans.with_level(
@@ -400,6 +560,13 @@ QUERIES_BY_NAME: dict[str, Callable[[Inputs], DataFrame]] = {
     "preview": lambda t: sources.preview(t.v_articles, ["name", "article_id"]),
     "suite_metrics": lambda t: sources.metrics_of(_suite(t)),
     "suite_details": _suite_details,
+    "suite_of_field_rules": lambda t: sources.metrics_of(
+        {n: df for n, df in _field_suite(t).items() if n != "verdicts"}
+    ),
+    "suite_field_details": _field_details,
+    "verdicts": lambda t: _field_suite(t)["verdicts"],
+    "verdicts_of_history": _history,
+    "csv_types": _csv_types,
     "suite_of_rule_file": _german_suite,
     "suite_round_trip": _suite_round_trip,
 }

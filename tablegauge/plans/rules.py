@@ -21,6 +21,48 @@ def allowed_values(rules: Mapping[str, Any], allowed: str | Sequence[object]) ->
     return list(lookup(rules, allowed) if isinstance(allowed, str) else allowed)
 
 
+# The words of conditions in a German rule file.
+_CONDITION_WORDS = {
+    "und": "and",
+    "oder": "or",
+    "nicht": "not",
+    "gleich": "equals",
+    "ungleich": "differs",
+    "in": "in",
+    "nicht_in": "not_in",
+    "min": "min",
+    "max": "max",
+    "ueber": "above",
+    "unter": "below",
+    "muster": "matches",
+    "wie_spalte": "column",
+    "fehlt": "missing",
+}
+
+
+def article_condition(block: Mapping[str, Any], rules: Mapping[str, Any]) -> dict[str, Any]:
+    """A condition of :mod:`tablegauge.functions.conditions` from its German form; the values of
+    ``in`` and ``nicht_in`` may be a path into the rules."""
+    found: dict[str, Any] = {}
+    for name, test in block.items():
+        word = _CONDITION_WORDS.get(name)
+        if word in ("and", "or"):
+            found[word] = [article_condition(part, rules) for part in test]
+        elif word == "not":
+            found[word] = article_condition(test, rules)
+        elif isinstance(test, Mapping):
+            unknown = [t for t in test if t not in _CONDITION_WORDS]
+            if unknown:
+                raise ValueError(f"column {name!r}: no tests {unknown}; there are {[*_CONDITION_WORDS]}")
+            tests = {_CONDITION_WORDS[t]: value for t, value in test.items()}
+            for listed in {"in", "not_in"} & tests.keys():
+                tests[listed] = allowed_values(rules, tests[listed])
+            found[name] = tests
+        else:
+            found[name] = test
+    return found
+
+
 def article_rules(
     rules: Mapping[str, Any],
     config: Mapping[str, Any] | None = None,
@@ -116,6 +158,28 @@ def article_rules(
             "length": block["laenge"],
             "sentinels": block.get("sentinel_werte", []),
         }
+        if block.get("pruefziffer"):
+            suite["check_digits"] = dict(suite["identifier_format"])
+    if "schluesselformat" in rules:
+        suite["key_format"] = [
+            {"table": check["tabelle"], "column": check["spalte"], "pattern": check["muster"]}
+            for check in rules["schluesselformat"]
+        ]
+    if "feldabhaengigkeiten" in rules:
+        suite["implications"] = [
+            {
+                "name": rule["name"],
+                "table": rule["tabelle"],
+                "if": article_condition(rule["wenn"], rules),
+                "then": article_condition(rule["dann"], rules),
+                "missing": "skip" if rule.get("fehlend") == "auslassen" else "violation",
+            }
+            for rule in rules["feldabhaengigkeiten"]
+        ]
+    if "vollstaendigkeit_min" in limits:
+        suite["thresholds"] = [
+            {"check": "completeness", "metric": "completeness", "min": limits["vollstaendigkeit_min"]}
+        ]
     if "validitaet_vokabular" in rules and flag("extra_checks", "validitaet_vokabular"):
         suite["vocabulary_validity"] = vocabularies(rules["validitaet_vokabular"])
     if "atomicity_delimiters" in rules and flag("normalization", "check_1nf"):

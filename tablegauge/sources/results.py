@@ -219,7 +219,7 @@ def read_results(
     return results
 
 
-_FIELD_NAMES = ("field", "column", "columns", "metric", "segment", "kpi")
+_FIELD_NAMES = ("field", "column", "columns", "rule", "metric", "segment", "kpi")
 _METRIC_TYPES = (T.NumericType, T.BooleanType)
 
 

@@ -19,6 +19,7 @@ KINDS = {
     "double": "DOUBLE",
     "string": "VARCHAR",
     "boolean": "BOOLEAN",
+    "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
     "timestamp": "TIMESTAMP",
 }
