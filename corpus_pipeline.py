@@ -3,6 +3,11 @@
 Each stage takes the documents that its predecessor kept, as Parquet, and returns those it
 keeps; the last returns the pieces of packed sequences. A stage's table is written below the
 session's checkpoint folder and read back, so a lost executor costs only running tasks.
+
+Defined results, of every stage: null and empty texts are documents like any other (they have no
+toxic passage, are copies of each other, and are packed as the end id alone); a null id or
+source is one of its own; repeated rows are exact copies; long texts count whole; further
+columns, of any name, are carried up to the last stage; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,28 +19,32 @@ from tablegauge.llm.work import Scratch
 
 
 def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose toxic passages score 0.3 or more."""
+    """Drops the documents whose toxic passages score 0.3 or more, as learnt from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of equal texts."""
+    """Keeps the document with the smallest id of each class of texts that are equal but for white
+    space; of equal ids one."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates."""
+    """Keeps the document with the smallest id of each component of near duplicates; texts without
+    words are near each other."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document as often as the mix of sources wants it."""
+    """Takes every document as often as the mix of sources wants it: not at all, or up to three
+    times, as rows of their own; documents without words never."""
     return mixing.mixed_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences; one row per piece."""
+    """Packs the documents into sequences; one row per piece. ``row`` tells the copies of a
+    document apart that the mix took."""
     import public_tokenizers
 
     return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
