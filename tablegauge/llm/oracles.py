@@ -56,19 +56,24 @@ WITH d AS (
   SELECT * FROM m WHERE k < 3 OR NOT EXISTS (
     SELECT 1 FROM m AS b WHERE b.r = m.r AND b.k < 3 AND b.start < m.stop AND m.start < b.stop)
 ), o AS (
-  SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners
+  SELECT value, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners,
+         count(DISTINCT struct_pack(a := source, b := doc_id)) AS repositories
   FROM c JOIN d USING (r) GROUP BY value
+), l AS (
+  SELECT *, owners <= 2 AND repositories <= 10 AS live FROM o
 ), j AS (
-  SELECT r, k, kind, start, stop, owners <= 2 AS live, concat(kind, ':', start, ':', stop) AS span
-  FROM c JOIN o USING (value) WHERE k < 3 OR owners <= 2
+  SELECT r, k, kind, start, stop, live, owners, repositories, concat(kind, ':', start, ':', stop) AS span
+  FROM c JOIN l USING (value) WHERE k < 3 OR live
 ), s AS (
   SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
          string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base,
-         string_agg(span, ',' ORDER BY start, k) AS spans, count(*) FILTER (live) AS n_live
+         string_agg(span, ',' ORDER BY start, k) AS spans, count(*) FILTER (live) AS n_live,
+         max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM j GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN s USING (r)
 """
 

@@ -2,16 +2,19 @@
 
 Patterns find assignments, access keys and hex strings; a further pattern finds long tokens
 of letters and digits that no pattern names. Every candidate is hashed, and the corpus is
-asked how many owners, and how many of their repositories, hold the same value. What many
-owners hold is a copied example. What few owners hold looks live: such a token becomes a
-span of its own, and every span says what its value is.
+asked how many owners, and how many repositories of all owners, hold the same value. What many
+owners hold is a copied example, and so is what one owner holds in many repositories. What
+few owners hold in few repositories looks live: such a token becomes a span of its own, and
+every span says how many hold its value.
 
 All of it is column expressions. Counting goes from (value, owner, repository) to (value,
 owner) to value, each step with partial aggregation, so a value in a third of all documents
 stays a few rows per task; verdicts return by a merge join whose hot side can be split.
 
 Defined results: a null text is empty; a null owner or repository counts as one of its own;
-an empty table gives an empty result; repeated rows are scanned as often as they occur.
+an empty table gives an empty result; repeated rows are scanned as often as they occur, and are
+one repository; exactly as many owners or repositories as allowed still look live; long texts
+are scanned whole.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ PATTERNS = (
 )
 TOKEN = ("token", "[A-Za-z0-9+_=-]{20,}", 0, 20)
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 10
 CHUNK = 256
 
 
@@ -154,7 +158,12 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secret_spans(
-    docs: DataFrame, *, owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS
+    docs: DataFrame,
+    *,
+    owner: Column | None = None,
+    repository: Column | None = None,
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``base`` (spans of the patterns) and ``spans`` (these
     and live-looking tokens), in order; every span of ``spans`` has ``owners``,
@@ -168,7 +177,7 @@ def secret_spans(
     each = table.select("row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s"))
     each = each.select("row", "owner", "repository", "s", "s.value")
     counts = scratch.keep(ownership(each), "ownership")
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     named = F.col("s.kind") != TOKEN[0]
     judged = (
         each.join(counts.hint("merge"), "value")
@@ -191,7 +200,8 @@ def _listed(spans: str) -> Column:
 
 
 def secret_digests(docs: DataFrame, **parameters) -> DataFrame:
-    """Counts, the digest of the base spans, and all spans as text."""
+    """Counts, the digest of the base spans, all spans as text, and by how many owners and
+    repositories the most widely held of their values is held (0 without spans)."""
     found = secret_spans(docs, **parameters)
 
     def count(kind: str) -> Column:
@@ -203,4 +213,8 @@ def secret_digests(docs: DataFrame, **parameters) -> DataFrame:
         F.sha2(_listed("base"), 256).alias("base_sha256"),
         _listed("spans").alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        *[
+            F.coalesce(F.array_max(F.transform("spans", lambda s, n=n: s[n])), F.lit(0)).alias(f"most_{n}")
+            for n in ("owners", "repositories")
+        ],
     )
