@@ -133,10 +133,12 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``score`` (of the best path)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    # Plain values: executors need not have this package.
+    plain = (vocabulary.scores, vocabulary.has_bytes, vocabulary.unknown)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = Counter(Vocabulary(*shared.value))
         for batch in batches:
             found = [counter.text(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
