@@ -37,6 +37,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BLOCK = 512
 LANDING = 12  # documents per source whose outcomes are compared at the end
+MASK = (1 << 64) - 1
 FAN = 128  # blocks of one level that meet in one block of the next
 EPS = 1e-9
 
@@ -69,6 +70,18 @@ def source_targets(sizes: DataFrame, weights: tuple, max_copies: int, scratch: S
     return sources.withColumn("target", F.least(cap, F.col("weight") * level))
 
 
+def _draw(units: list, seed: int) -> float:
+    """A number from 0 to 1 that depends on the seed and every unit: flights that share two of
+    three units are drawn independently."""
+    state = seed & MASK
+    for u in units:  # the finalizer of SplitMix64 over each hash
+        state = (state ^ u[3] & MASK) + 0x9E3779B97F4A7C15 & MASK
+        state = (state ^ state >> 30) * 0xBF58476D1CE4E5B9 & MASK
+        state = (state ^ state >> 27) * 0x94D049BB133111EB & MASK
+        state ^= state >> 31
+    return (state >> 11) / (1 << 53)
+
+
 def _flight(units: list, rng_seed: int) -> None:
     """Moves the probabilities of up to three units [row, size, p, hash] until one is decided."""
     if len(units) == 3:
@@ -80,8 +93,7 @@ def _flight(units: list, rng_seed: int) -> None:
         way = [1.0, -1.0]
     up = min((1 - u[2]) / w if w > 0 else u[2] / -w for u, w in zip(units, way) if w)
     down = min(u[2] / w if w > 0 else (1 - u[2]) / -w for u, w in zip(units, way) if w)
-    draw = ((units[0][3] ^ units[1][3] ^ rng_seed) * 0x9E3779B97F4A7C15 >> 11 & (1 << 53) - 1) / (1 << 53)
-    step = up if draw * (up + down) < down else -down
+    step = up if _draw(units, rng_seed) * (up + down) < down else -down
     for u, w in zip(units, way):
         u[2] += step * w
         if u[2] < EPS:
