@@ -11,7 +11,8 @@ text; a text whose window hashes all differ needs no more than that test, and on
 others look up which windows occur again.
 
 Defined results: null and empty texts have no word and fail; a null host is a host of its
-own; an empty table gives an empty result; repeated rows count as often as they occur.
+own; an empty table gives an empty result; repeated rows count as often as they occur; long
+texts are measured whole; a rate of exactly ``max_rate`` is kept.
 """
 
 from __future__ import annotations

@@ -228,6 +228,14 @@ def test_warc_round_trip(spark):
     assert Counter(tuple(r[c] for c in columns) for r in got) == want
 
 
+def test_warc_further_columns_are_not_read(spark):
+    """Columns named as those of the records, or of the result, make no difference."""
+    rows = [(1, "http://a/", "x"), (2, "http://b/", "x"), (None, None, None)]
+    plain = pages(spark, rows)
+    clashing = plain.selectExpr("*", "'p' AS payload", "7 AS row", "'d' AS payload_digest", "'r' AS record_type", "map(1, 2) AS headers")
+    assert Counter(map(tuple, warc.archived_pages(clashing).collect())) == Counter(map(tuple, warc.archived_pages(plain).collect()))
+
+
 def test_warc_captures_are_nested(spark, tmp_path):
     warc.write_archives(pages(spark, [(1, "http://a/", "x"), (2, "http://b/", "y")]), str(tmp_path / "a"), min_bytes=5)
     found = warc.captures(warc.read_records(spark, str(tmp_path / "a"))).collect()
