@@ -46,7 +46,8 @@ FIXED = 1_000_000  # sums over words are whole numbers, so that they don't depen
 GAP = 0.3  # cost of every word, so that clean text scores below zero on average
 FLUSH = 200_000  # words a task counts before it passes them on
 THRESHOLD = 0.3
-REMEMBERED = 200_000  # unlisted words whose scores a task keeps
+POOLED = 30_000  # words whose n-grams are summed at once
+REMEMBERED = 400_000  # unlisted words whose scores a task keeps
 
 
 @dataclass
@@ -109,13 +110,21 @@ def _says(total: int, weight: int, kept: float) -> tuple[float, float]:
 
 def _expected(word: str, automaton, own: tuple[int, int]) -> tuple[float, float]:
     """What the strongest n-gram says of a word, and what it says without the word's ``own`` part."""
-    listed = free = (0.0, 0.0)
-    if len(automaton):
-        for _, (total, weight, kept) in automaton.iter(f" {word} "):
-            listed = max(listed, _says(total, weight, kept))
-            if weight > own[1]:
-                free = max(free, _says(total - own[0], weight - own[1], kept))
-    return listed[1], free[1]
+    if not len(automaton):
+        return 0.0, 0.0
+    listed, free, odds = (0.0, 0.0), 0.0, 0.0
+    own_total, own_weight = own
+    for _, (says, total, weight, kept) in automaton.iter(f" {word} "):
+        if says > listed:
+            listed = says
+        if weight > own_weight:
+            total, weight = total - own_total, weight - own_weight
+            strength = abs(total) / weight**0.5
+            if strength >= free:
+                found = kept * total / weight
+                if strength > free or found > odds:
+                    free, odds = strength, found
+    return listed[1], odds
 
 
 class Scores(dict):
@@ -211,7 +220,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         words = list(counts[0].keys() | counts[1].keys() | counts[2].keys())
-        clean, toxic, free = ([c[w] for w in words] for c in counts)
+        clean, toxic, free = ([c.get(w, 0) for w in words] for c in counts)
         both = [a + b + c for a, b, c in zip(clean, toxic, free)]
         for c in counts:
             c.clear()
@@ -269,24 +278,30 @@ def _prior(scored: DataFrame, slab: float | None = None) -> tuple[float, float]:
 
 def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the words' parts by n-gram: gram, total, weight."""
-    sums: dict[str, list[int]] = {}
 
-    def flush() -> pa.RecordBatch:
-        columns = [list(sums), [v[0] for v in sums.values()], [v[1] for v in sums.values()]]
-        sums.clear()
-        kinds = (pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "total", "weight"])
+    def pooled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        grams = [_grams(word) for word in table.column(0).to_pylist()]
+        odds, variance = (table.column(k).to_numpy() for k in (1, 2))
+        weight = 1 / (variance + 1)  # as in _own
+        word = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        coded = pa.array([g for some in grams for g in some], pa.string()).dictionary_encode()
+        place = coded.indices.to_numpy()
+        # Whole numbers far below 2^53: their sums in doubles are exact.
+        sums = [
+            np.bincount(place, weights=np.rint(part * FIXED)[word], minlength=len(coded.dictionary)).astype(np.int64)
+            for part in (odds * weight, weight)
+        ]
+        return pa.RecordBatch.from_arrays([coded.dictionary, *map(pa.array, sums)], ["gram", "total", "weight"])
 
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for word, odds, variance in zip(*(c.to_pylist() for c in batch.columns)):
-            total, weight = _own(odds, variance)
-            for gram in _grams(word):
-                both = sums.setdefault(gram, [0, 0])
-                both[0] += total
-                both[1] += weight
-            if len(sums) > FLUSH:
-                yield flush()
-    yield flush()
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= POOLED:
+            yield pooled(held)
+            held = []
+    if held:
+        yield pooled(held)
 
 
 def _learn(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, tuple[int, int, float]]]:
@@ -318,7 +333,7 @@ def _learn(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, tu
     shared = scored.sparkSession.sparkContext.broadcast(grams)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value)  # values: sums, and the share that shrinking leaves
+        automaton = _automaton({gram: (_says(*known), *known) for gram, known in shared.value.items()})
         for batch in batches:
             words, odds, variance = (batch.column(k).to_pylist() for k in range(3))
             both = [_expected(w, automaton, _own(o, v)) for w, o, v in zip(words, odds, variance)]
