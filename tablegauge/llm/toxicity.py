@@ -13,8 +13,8 @@ extreme-value law whose scale is solved from the word frequencies of clean text
 Altschul, 1990); the segments' normalised scores add up, each less the logarithm of the
 document's length, and a logistic curve turns the sum into a probability.
 
-Labels come from a sample of at most ``max_labelled`` labelled documents, chosen by hash:
-that bounds what is broadcast. Corpus frequencies cover every document. Scores are rounded to
+Labels come from a sample of at most ``max_labelled`` labelled documents with texts of at most
+``max_bytes`` together, chosen by hash: no word that is broadcast is not in them. Corpus frequencies cover every document. Scores are rounded to
 hundredths; the model lists the labelled words and n-grams whose scores that leaves different
 from what an unlisted one gets.
 
@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablegauge.llm.text import crc_remainder, rows_again, whole_row
@@ -40,6 +41,7 @@ from tablegauge.llm.work import Scratch
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_LABELLED = 50_000
+MAX_BYTES = 256 << 20  # of the labelled texts
 PRIOR = 0.2  # weight of the prior, as a share of the labelled words
 SHORTEST, LONGEST = 3, 6  # characters of an n-gram
 FIXED = 1_000_000  # sums over words are whole numbers, so that they don't depend on their order
@@ -247,6 +249,14 @@ def _sample(labels: DataFrame, keep: Column, max_labelled: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
 
 
+def _within(sample: DataFrame, rows: DataFrame, max_bytes: int) -> DataFrame:
+    """The labelled documents of a sample, in its order, whose texts have ``max_bytes`` together."""
+    size = F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size")
+    sized = rows.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), size)
+    so_far = F.sum("size").over(W.orderBy(F.xxhash64("id"), "id"))  # over the sample's few rows
+    return sized.withColumn("size", so_far).where(F.col("size") <= max_bytes).drop("size")
+
+
 def _shrink(odds, variance, prior: tuple[float, float]):
     """Posterior mean of log-odds that are 0, or with a share ``prior[0]`` normal with variance ``prior[1]``."""
     share, slab = prior
@@ -399,13 +409,15 @@ def fit(
     *,
     keep: Column | None = None,
     max_labelled: int = MAX_LABELLED,
+    max_bytes: int = MAX_BYTES,
     prior: float = PRIOR,
     gap: float = GAP,
 ) -> Model:
     """Learns from the labels (``doc_id``, ``toxic``); ``keep``: a condition on their ``id``."""
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.keep(_sample(labels, F.lit(True) if keep is None else keep, max_labelled), "sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sample = scratch.keep(_sample(labels, F.lit(True) if keep is None else keep, max_labelled), "labels")
+    sample = scratch.keep(_within(sample, rows, max_bytes), "sample")
     labelled = rows.join(F.broadcast(sample), "id", "left").select("text", "toxic")
     counted = labelled.mapInArrow(_count, "word string, n long, toxic long, clean long")
     words = scratch.keep(

@@ -143,6 +143,16 @@ def test_toxic_words_of_a_rarely_labelled_language(spark):
     assert {r.doc_id for r in rows if r.predicted} == {r[0] for r in toxic + new}
 
 
+def test_toxicity_learns_from_at_most_so_many_bytes(spark):
+    docs = documents(spark, [(i, "vile words here" if i % 2 else "kind words here", "en", "a") for i in range(40)])
+    train = labels(spark, [(i, 1, i % 2) for i in range(40)])
+    whole = toxicity.fit(docs, train, max_bytes=40 * 15)
+    assert whole.words == toxicity.fit(docs, train).words and whole.words["vile"] > 0
+    half = toxicity.fit(docs, train, max_bytes=40 * 15 // 2)
+    assert half.words["vile"] < whole.words["vile"]
+    assert toxicity.fit(docs, train, max_bytes=14).words == {}
+
+
 def test_maximal_segments():
     scores = [4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]
     assert toxicity.maximal_segments(scores) == [(0, 0, 4), (2, 2, 3), (4, 10, 7)]
