@@ -207,14 +207,15 @@ def secret_digests(docs: DataFrame, **parameters) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
+    def most(holders: str) -> Column:
+        return F.coalesce(F.array_max(F.transform("spans", lambda s: s[holders])), F.lit(0))
+
     return found.select(
         "doc_id",
         *[count(p[0]).alias(f"n_{p[0]}") for p in PATTERNS],
         F.sha2(_listed("base"), 256).alias("base_sha256"),
         _listed("spans").alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
-        *[
-            F.coalesce(F.array_max(F.transform("spans", lambda s, n=n: s[n])), F.lit(0)).alias(f"most_{n}")
-            for n in ("owners", "repositories")
-        ],
+        most("owners").alias("most_owners"),
+        most("repositories").alias("most_repositories"),
     )

@@ -72,7 +72,7 @@ def test_rounds(seed):
 
 ROWS = [(i, f"number {i} of many words " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(120)]
 ROWS += [(500, "<|endoftext|> is text", "en", "a"), (501, None, None, None), (502, "", "en", "b")]
-ROWS += [(7, "seven twice and more", "en", "a")] * 3
+ROWS += [(600, "thrice the same row", "en", "a")] * 3
 
 
 def pieces_of(spark, **parameters):
