@@ -1094,6 +1094,11 @@ _ORACLES |= {
     "value_shapes_runs": _value_shapes_runs(),
     "unusual_shape_rows": _UNUSUAL,
     "distinct_sketches": _DISTINCT_SKETCHES,
+    "column_profile_approximate": _union(
+        f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing, count(DISTINCT {c}) AS exact, true AS within
+FROM lineitem"""
+        for c in _SKETCHED
+    ),
     "key_kinds": _KEY_KINDS,
     "key_conflict_columns_nested": _NESTED_CONFLICTS,
     "suite_of_field_rules": _field_metrics(),

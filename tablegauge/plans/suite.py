@@ -100,7 +100,7 @@ class _Shared:
     """What checks on keys have in common, made at first use and kept where used again."""
 
     def __init__(self, tables: Mapping[str, DataFrame], rules: Mapping[str, Any], details: bool, settle):
-        self.tables, self.rules, self.settle = tables, rules, settle
+        self.tables, self.rules, self.details, self.settle = tables, rules, details, settle
         uses: dict[tuple[str, tuple[str, ...]], int] = {}
         self._orders: dict[tuple[str, tuple[str, ...]], list] = {}
         wanted = [("key_conflicts", "table", 1 + 2 * details), ("pair_consistency", "child", 1)]
@@ -147,7 +147,9 @@ class _Shared:
         if self._domains is None:
             children = self.children()
             links = self.links() + ([children] if children else [])
-            self._domains = key_domains(self.tables, links, self.settle)
+            # References of one kind are a single result, which reads the keys once.
+            several = children is not None and (self.details or len(links) > 1)
+            self._domains = key_domains(self.tables, links, self.settle if several else None)
         return self._domains
 
 
