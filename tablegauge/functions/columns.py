@@ -102,20 +102,38 @@ def exact_number(df: DataFrame, name: str) -> Column:
     the decimal of at most 15 digits (6 for a float) that reads as it, or else for the text that
     Spark writes. NaN is null, infinities keep their names.
     """
+    # A lambda's argument is computed once a row; written out, each use of the text would
+    # compute it anew.
+    return F.transform(F.array(_number_text(df, name)), _exact_form)[0]
+
+
+def _number_text(df: DataFrame, name: str) -> Column:
+    """The text that :func:`exact_number` reads a number from, with ``E`` before an exponent."""
     c, kind = number(df, name), type_of(df, name)
     text = c.cast("string")
-    if isinstance(kind, _FLOATS):
-        short = F.format_string("%.14e" if isinstance(kind, T.DoubleType) else "%.5e", c)
-        text = F.when(short.try_cast(kind) == c, short).otherwise(text)
-    digits = F.regexp_extract(text, r"^-?(\d+)", 1)
-    fraction = F.regexp_extract(text, r"\.(\d+)", 1)
-    power = F.coalesce(F.regexp_extract(text, r"[eE]([-+]?\d+)$", 1).try_cast("int"), F.lit(0))
-    significant = F.ltrim(F.concat(digits, fraction), F.lit("0"))
+    if not isinstance(kind, _FLOATS):
+        return text
+    double = isinstance(kind, T.DoubleType)
+    digits, smallest = (15, 2.2250738585072014e-308) if double else (6, 1.17549435e-38)
+    # A text with no more digits than that is the only such decimal that reads as the number,
+    # unless the number is subnormal. Only other numbers need the slower rounding.
+    short = F.replace(F.format_string(f"%.{digits - 1}e", c), F.lit("e"), F.lit("E"))
+    is_short = (F.length(text) <= digits + 1) & (F.abs(c) >= F.lit(smallest))
+    return F.when(is_short, text).when(short.try_cast(kind) == c, short).otherwise(text)
+
+
+def _exact_form(text: Column) -> Column:
+    mantissa = F.substring_index(text, "E", 1)
+    # Cast only where there is an exponent: a failing cast costs more than all the rest.
+    power = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(F.lit(0))
+    whole = F.substring_index(mantissa, ".", 1)
+    fraction = F.substr(mantissa, F.length(whole) + F.lit(2))
+    significant = F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("-0"))
     short = F.rtrim(significant, F.lit("0"))
     exponent = power - F.length(fraction) + F.length(significant) - F.length(short)
     sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     return (
-        F.when(digits == "", text)
+        F.when(F.contains(text, F.lit("Infinity")), text)
         .when(short == "", F.lit("0e0"))
         .otherwise(F.concat(sign, short, F.lit("e"), exponent.cast("string")))
     )

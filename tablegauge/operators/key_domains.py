@@ -22,6 +22,7 @@ from tablegauge.functions.columns import (
     comparable_column,
     exact_number,
     from_exact_number,
+    number,
     type_of,
 )
 from tablegauge.functions.rates import rate
@@ -110,15 +111,18 @@ def key_domain(
     for table, places in by_table.items():
         df = tables[table]
         if len(places) == 1:
-            keys = df.select(form(df, nodes[places[0]][1]).alias("key"), *[mask(places[0], m) for m in masks])
+            # Nulls go before the key gets its form, which a filter on it would compute a second time.
+            name = nodes[places[0]][1]
+            present = df.filter(number(df, name).isNotNull())
+            keys = present.select(form(df, name).alias("key"), *[mask(places[0], m) for m in masks])
         else:
             widest = T.LongType() if numeric and not exact and len(distinct) > 1 else None
             cells = [form(df, nodes[p][1]) for p in places]
             cells = [c.cast(widest) for c in cells] if widest else cells
             keys = df.select(
                 F.inline(F.array(*[F.struct(c.alias("key"), *[mask(p, m) for m in masks]) for c, p in zip(cells, places)]))
-            )
-        parts.append(keys.filter(F.col("key").isNotNull()))
+            ).filter(F.col("key").isNotNull())
+        parts.append(keys)
     every = reduce(DataFrame.unionByName, parts)
     found = every.groupBy("key").agg(*[F.bit_or(f"m{m}").alias(f"m{m}") for m in masks])
     return KeyDomain(list(nodes), kinds, exact, found if settle is None else settle(found))

@@ -22,6 +22,7 @@ from tablegauge.functions.columns import (
     from_exact_number,
     holds,
     key_pair,
+    number,
     restore,
     row_digest,
     type_of,
@@ -45,8 +46,9 @@ def key_presence(
     check_columns(right, [right_key])
     check_key_types(left, [left_key], right, [right_key])
 
-    def side(df: DataFrame, key: Column, is_left: bool) -> DataFrame:
-        return df.select(
+    # Nulls go before the key gets its form, which a filter on it would compute a second time.
+    def side(df: DataFrame, name: str, key: Column, is_left: bool) -> DataFrame:
+        return df.filter(number(df, name).isNotNull()).select(
             key.alias("key"),
             F.lit(is_left).alias("in_left"),
             F.lit(not is_left).alias("in_right"),
@@ -54,9 +56,8 @@ def key_presence(
 
     left_form, right_form = key_pair(left, left_key, right, right_key)
     found = (
-        side(left, left_form, True)
-        .unionByName(side(right, right_form, False))
-        .filter(F.col("key").isNotNull())
+        side(left, left_key, left_form, True)
+        .unionByName(side(right, right_key, right_form, False))
         .groupBy("key")
         .agg(F.bool_or("in_left").alias("in_left"), F.bool_or("in_right").alias("in_right"))
     )

@@ -168,3 +168,37 @@ def test_nested_values_in_key_checks(nested):
     assert op.dedupe_keep_first(nested, ["k"]).count() == 4
     assert op.projection(nested, ["s"]).count() == 5
     assert op.duplicate_row_count(nested).first().duplicate_rows == 2
+
+
+def test_the_exact_form_is_computed_once_a_row(spark):
+    decimals = spark.sql("SELECT CAST(id AS DECIMAL(20, 4)) AS k FROM range(3)")
+    doubles = spark.sql("SELECT CAST(id AS DOUBLE) AS k FROM range(3)")
+    tables, rules = {"a": decimals, "b": doubles}, [("a", "k", "b", "k")]
+    for found in (op.referential_integrity(decimals, doubles, "k", "k"), op.referential_integrity_rules(tables, rules)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # One text of the double is rounded, in a condition and its value, and none in a filter.
+        assert plan.count("format_string") == 2
+        assert found.first()["referenced"] == 3
+
+
+def test_exact_form_at_the_edges(spark):
+    tiny, inf = 4.9e-324, float("inf")
+    doubles = [tiny, -3 * tiny, 2.2250738585072014e-308, 1e7, 100000001.0, 2e23, 1e23, 0.1 + 0.2, 1 / 3, -12.5, -0.0, inf, -inf]
+    texts = ["49e-325", "-15e-324", "22250738585072014e-324", "1e7", "100000001e0", "2e23", "1e23", "3e-1"]
+    texts += ["3333333333333333e-16", "-125e-1", "0e0", "Infinity", "-Infinity"]
+    texts[7] = "30000000000000004e-17"
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(doubles)], "i int, v double")
+    assert [r.e for r in df.orderBy("i").select(exact_number(df, "v").alias("e")).collect()] == texts
+    floats = spark.createDataFrame([(i, v) for i, v in enumerate([0.1, 1.4e-45, -1e10, 123456.0, inf])], "i int, v float")
+    found = floats.orderBy("i").select(exact_number(floats, "v").alias("e"))
+    assert [r.e for r in found.collect()] == ["1e-1", "14013e-49", "-1e10", "123456e0", "Infinity"]
+    decimals = spark.sql(
+        "SELECT CAST(v AS DECIMAL(38, 20)) AS v FROM VALUES (1, '0'), (2, '-0.00000000000000000010'), (3, '1200'), (4, NULL) AS t(i, v) ORDER BY i"
+    )
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            found = [r.e for r in decimals.select(exact_number(decimals, "v").alias("e")).collect()]
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        assert found == ["0e0", "-1e-19", "12e2", None]
